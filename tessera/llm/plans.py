@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dup
+from tessera.llm import near_dup, vector_neighbors
 from tessera.runtime import load
 
 
@@ -16,8 +16,19 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(load(spark, sf_dir, "chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neighbors.neighbors(load(spark, sf_dir, "embedding_ledger")).drop("cosine")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_found)}
 SQL = {
+    "p5_found": """
+WITH r AS (SELECT embedding_profile AS p, record_kind AS k, text_hash AS h, vector AS v, dimension AS d, row_number() OVER (PARTITION BY embedding_profile, record_kind, text_hash ORDER BY updated_at DESC, vector DESC) AS i FROM embedding_ledger),
+u AS (SELECT p, k, h, list_transform(v, lambda x: x::DOUBLE) AS v FROM r WHERE i = 1 AND v IS NOT NULL AND len(v) = d
+  AND NOT list_bool_or(list_transform(v, lambda x: isnan(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+c AS (SELECT a.p, a.k, a.h, b.h AS n, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM u a JOIN u b ON a.p = b.p AND a.k = b.k AND a.h <> b.h),
+t AS (SELECT *, row_number() OVER (PARTITION BY p, k, h ORDER BY c DESC, n) AS i FROM c WHERE c >= 0.85)
+SELECT p AS embedding_profile, k AS record_kind, h AS text_hash, n AS neighbor_hash FROM t WHERE i <= 3""",
     "p2_found": r"""
 WITH b AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(substr(text, strpos(text, chr(10) || 'BODY:' || chr(10)) + 7)), '[a-z0-9_]+') AS w FROM chunks WHERE strpos(text, chr(10) || 'BODY:' || chr(10)) > 0),
 s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM b WHERE len(w) > 2),
