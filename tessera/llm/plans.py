@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dup, vector_neighbors
+from tessera.llm import documented, lookalikes, near_dup, vector_neighbors
 from tessera.runtime import load
 
 
@@ -20,7 +20,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neighbors.neighbors(load(spark, sf_dir, "embedding_ledger")).drop("cosine")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_alikes(load(spark, sf_dir, "documents"))
+
+
+def p9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.skeleton_groups(load(spark, sf_dir, "documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pairs(spark, sf_dir).select("id")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p9_found, p9_groups)}
 SQL = {
     "p5_found": """
 WITH r AS (SELECT embedding_profile AS p, record_kind AS k, text_hash AS h, vector AS v, dimension AS d, row_number() OVER (PARTITION BY embedding_profile, record_kind, text_hash ORDER BY updated_at DESC, vector DESC) AS i FROM embedding_ledger),
