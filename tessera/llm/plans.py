@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import documented, lookalikes, near_dup, vector_neighbors
+from tessera.llm import documented, lookalikes, near_dup, splitting, vector_neighbors
 from tessera.runtime import load
 
 
@@ -20,6 +20,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neighbors.neighbors(load(spark, sf_dir, "embedding_ledger")).drop("cosine")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_texts(load(spark, sf_dir, "chunks"), with_text=False).filter("part_total > 1").select("chunk_id").distinct()
+
+
+def p6_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_texts(load(spark, sf_dir, "chunks"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alikes(load(spark, sf_dir, "documents"))
 
@@ -36,8 +44,10 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p9_found, p9_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p9_found, p9_groups)}
 SQL = {
+    "p6_found": r"""SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND (octet_length(encode(text)) > 12000
+      OR len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')) > 512)""",
     "p5_found": """
 WITH r AS (SELECT embedding_profile AS p, record_kind AS k, text_hash AS h, vector AS v, dimension AS d, row_number() OVER (PARTITION BY embedding_profile, record_kind, text_hash ORDER BY updated_at DESC, vector DESC) AS i FROM embedding_ledger),
 u AS (SELECT p, k, h, list_transform(v, lambda x: x::DOUBLE) AS v FROM r WHERE i = 1 AND v IS NOT NULL AND len(v) = d
