@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import documented, lookalikes, near_dup, splitting, vector_neighbors
+from tessera.llm import documented, lookalikes, mixing, near_dup, packing, splitting, vector_neighbors
 from tessera.runtime import load
 
 
@@ -28,6 +28,22 @@ def p6_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(load(spark, sf_dir, "chunks"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_capacity"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, sf_dir), load(spark, sf_dir, "pack_capacity"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alikes(load(spark, sf_dir, "documents"))
 
@@ -44,7 +60,7 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p9_found, p9_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_groups)}
 SQL = {
     "p6_found": r"""SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND (octet_length(encode(text)) > 12000
       OR len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')) > 512)""",
