@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import data_queries
+from tessera.plans import data_queries, index_queries, search_queries
 
-MODULES = [data_queries]
+MODULES = [data_queries, index_queries, search_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p4_summary(spark, sf_dir)
+    return search_queries.exact_search_topk(spark, sf_dir)

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,14 @@ def is_blank(c: Column | str) -> Column:
     return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
+def one_per_id(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row per id: that of the smallest commit hash (rows of an id are meant to agree otherwise)."""
+    if "commit_hash" not in df.columns:
+        return df.dropDuplicates([key])
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("commit_hash"))
+    return df.withColumn("__i", F.row_number().over(order)).filter("__i = 1").drop("__i")
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16, spread: str | None = None) -> DataFrame:
     """Equi join whose left keys may be hot: left rows of a key go to `salts` tasks, right rows are repeated.
 
