@@ -49,7 +49,7 @@ def empty(spark: SparkSession, relation: str) -> DataFrame:
 
 def conform(df: DataFrame, relation: str) -> DataFrame:
     """The relation's columns in order and type; missing ones null, others dropped. A wrong type fails at once."""
-    want = DataFrame.schema.fget(empty(df.sparkSession, relation))
+    want = empty(df.sparkSession, relation).schema
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want))
 
 

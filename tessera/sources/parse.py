@@ -194,7 +194,7 @@ def project_signals(df: DataFrame) -> DataFrame:
     """invariants, calls and flags folded from the signals of each row."""
     of = lambda t, k: F.array_distinct(F.transform(F.filter("signals", lambda s: s.type == t), lambda s: s.payload[k]))
     return df.withColumns({"invariants": of("code.invariant", "expression"), "calls": of("code.call", "target"),
-                           "is_serialization_boundary": F.exists("signals", lambda s: s.type == "boundary.serialization"), "implicit_contract": F.element_at(of("test.implicit_contract", "text"), 1)})
+                           "is_serialization_boundary": F.exists("signals", lambda s: s.type == "boundary.serialization"), "implicit_contract": F.try_element_at(of("test.implicit_contract", "text"), F.lit(1))})
 
 
 def languages(spark: SparkSession) -> DataFrame:

@@ -40,9 +40,9 @@ def virtualenv_roots(paths: DataFrame, path: str = "path") -> DataFrame:
     return marked.unionByName(both).distinct()
 
 
-def without_virtualenvs(files: DataFrame, path: str = "path") -> DataFrame:
-    """Drops files below a virtualenv: each path is posted under its ancestors, so the join is an equi join."""
-    roots = virtualenv_roots(files, path)
+def without_virtualenvs(files: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
+    """Drops files below a virtualenv of the whole listing: each path is posted under its ancestors, so the join is an equi join."""
+    roots = virtualenv_roots(listing, path)
     parts = F.split(F.col(path), "/")
     above = files.select(F.col(path).alias("__f"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("root"))
     bad = above.join(roots, "root", "left_semi").select(F.col("__f").alias(path)).distinct()
@@ -59,10 +59,11 @@ def language_of(path: Column | str = "path") -> Column:
 
 def source_files(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
     """path, language, content_hash, content, modified: indexable text files. Binary files and files that aren't UTF-8 are left out."""
-    rows = raw_files(spark, root).filter(supported() & ~excluded())
+    listing = raw_files(spark, root)
+    rows = listing.filter(supported() & ~excluded())
     if not hidden:
         rows = rows.filter(~F.substring_index("path", "/", -1).startswith("."))
-    rows = without_virtualenvs(rows).filter(~looks_binary("content"))
+    rows = without_virtualenvs(rows, listing).filter(~looks_binary("content"))
     text = F.col("content").cast("string")
     return rows.filter(F.is_valid_utf8(text)).select("path", language_of().alias("language"), F.sha2("content", 256).alias("content_hash"), text.alias("content"), "modified")
 
