@@ -14,7 +14,7 @@ EXCLUDED = [".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__
 
 
 def raw_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path, modified, size, content of all files below the root; content is read only where a plan uses it."""
+    """path, modified, size, content of all files below the root; content is read only where a plan uses it. Spark leaves out files of 0 bytes."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)

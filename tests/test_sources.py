@@ -10,7 +10,7 @@ from tessera.sources import coverage_files, parse, scan, settings, sinks
 @pytest.fixture
 def tree(tmp_path):
     for p, b in {
-        "src/a.py": b"x = 1\n", "src/b.min.js": b"1", "src/c.js": b"let a\n", "node_modules/d.js": b"1", "env/pyvenv.cfg": b"", "env/lib/python3/site-packages/m.py": b"1", "alt/bin/python3": b"", "alt/lib/python3.9/site-packages/k.py": b"1",
+        "src/a.py": b"x = 1\n", "src/b.min.js": b"1", "src/c.js": b"let a\n", "node_modules/d.js": b"1", "env/pyvenv.cfg": b"home", "env/lib/python3/site-packages/m.py": b"1", "alt/bin/python3": b"elf", "alt/lib/python3.9/site-packages/k.py": b"1",
         "src/bin.py": b"a\x00b", "src/bad.py": b"\xff\xfe", "notes.txt": b"t", "src/.hidden.py": b"1",
     }.items():
         f = tmp_path / p
