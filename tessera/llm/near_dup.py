@@ -307,9 +307,10 @@ def components(links: DataFrame, vertices: DataFrame, a: str = "rid_a", b: str =
 
 
 def groups(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per chunk with a set: chunk_id, class_id (equal sets), group_id (linked classes), links (linked other classes).
+    """One row per chunk: chunk_id, class_id (equal sets), group_id (linked classes), links (linked other classes).
 
-    Copies are not expanded into pairs, so a group of copies of any size costs one row per copy.
+    Copies are not expanded into pairs, so a group of copies of any size costs one row per copy. An id with several texts is named in
+    the group of its smallest class. Ids without a set are their own class and group.
     """
     links, members = similar(chunks, id_col, text_col, **how)
     named = members.groupBy("rid").agg(F.min("id").alias("class_id"))
@@ -317,4 +318,6 @@ def groups(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
     first = group.groupBy("group_id").agg(F.min("class_id").alias("group_name"))
     count = links.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
     info = group.join(first, "group_id").join(count, "rid", "left").select("rid", "class_id", F.col("group_name").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(info, "rid").select(F.col("id").alias("chunk_id"), "class_id", "group_id", "links")
+    have = members.join(info, "rid").groupBy("id").agg(F.min(F.struct("class_id", "group_id", "links")).alias("r"))
+    every = chunks.select(F.col(id_col).cast("string").alias("id")).filter("id IS NOT NULL").distinct()
+    return every.join(have, "id", "left").select(F.col("id").alias("chunk_id"), F.coalesce("r.class_id", "id").alias("class_id"), F.coalesce("r.group_id", "id").alias("group_id"), F.coalesce("r.links", F.lit(0)).alias("links"))
