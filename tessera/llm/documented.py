@@ -94,17 +94,25 @@ class Lexed:
         return not before.strip() and not self.text[end : stop if stop >= 0 else len(self.text)].strip()
 
     def comments(self) -> dict[int, str]:
-        """Line on which it ends: a block comment, or the run of comment lines up to there."""
+        """Line on which it ends: a block comment, or a whole run of comment lines."""
         out: dict[int, str] = {}
-        runs: dict[int, str] = {}
+        run: list[str] = []
+        last = -1
         for kind, s, e in self.tokens:
             if kind != "comment" or not self._whole(s, e):
                 continue
-            body, first, last = self.text[s:e], self.line(s), self.line(max(s, e - 1))
+            body, line = self.text[s:e], self.line(max(s, e - 1))
             if body.startswith("/*"):
-                out[last] = body
-            else:
-                runs[last] = out[last] = runs[first - 1] + "\n" + body if first - 1 in runs else body
+                out[line] = body
+                continue
+            if self.line(s) != last + 1:
+                if run:
+                    out[last] = "\n".join(run)
+                run = []
+            run.append(body)
+            last = line
+        if run:
+            out[last] = "\n".join(run)
         return out
 
     def functions(self) -> Iterator[tuple[int, int, str | None]]:
@@ -113,14 +121,23 @@ class Lexed:
         inside = set()
         for s, e in spans:
             inside.update(range(self.line(s) + 1, self.line(max(s, e - 1)) + 1))
+        opened: dict[int, int] = {}  # line within brackets: the line where the outermost one opens
+        depth = 0
+        for kind, s, _ in self.tokens:
+            if kind == "open":
+                outer, depth = (self.line(s) if not depth else outer), depth + 1
+            elif kind == "close" and depth:
+                depth -= 1
+                if not depth:
+                    opened.update(dict.fromkeys(range(outer + 1, self.line(s) + 1), outer))
         n = len(self.starts)
         for line in range(1, n + 1):
             row = self.row(line)
             if line in inside or not _DEF.match(row):
                 continue
             first = line
-            while first > 1 and first - 1 not in inside and self.row(first - 1).lstrip().startswith("@"):
-                first -= 1
+            while first > 1 and self.row(up := opened.get(first - 1, first - 1)).lstrip().startswith("@") and up not in inside:
+                first = up
             depth, end = 0, None
             i, pos = bisect_right(self.at, self.starts[line - 1] - 1), self.starts[line - 1]
             while end is None:
@@ -147,19 +164,30 @@ class Lexed:
                     last = below
             yield first, last, doc
 
-    def block_end(self, line: int) -> int:
-        """Last line of the declaration that begins on a line: its braces' end, or its semicolon before any brace."""
-        i, depth = bisect_right(self.at, self.starts[line - 1] - 1), 0
-        for kind, s, e in self.tokens[i:]:
+    def ends(self) -> list[int]:
+        """For each token: the last line of the declaration that goes on there; its braces' end, or its semicolon before any brace."""
+        match: dict[int, int] = {}
+        stack: list[int] = []
+        for i, (kind, _, _) in enumerate(self.tokens):
             if kind == "open":
-                depth += 1
-            elif kind == "close":
-                depth -= 1
-                if depth < 0 or depth == 0 and self.text[s] == "}":
-                    return self.line(s)
-            elif kind == "end" and depth == 0:
-                return self.line(s)
-        return len(self.starts)
+                stack.append(i)
+            elif kind == "close" and stack:
+                match[stack.pop()] = i
+        n = len(self.tokens)
+        out = [len(self.starts)] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            kind, s, _ = self.tokens[i]
+            if kind in ("close", "end"):
+                out[i] = self.line(s)
+            elif kind == "open":
+                j = match.get(i, n)
+                out[i] = len(self.starts) if j == n else self.line(self.tokens[j][1]) if self.text[s] == "{" else out[j + 1]
+            else:
+                out[i] = out[i + 1]
+        return out
+
+    def block_end(self, line: int, ends: list[int]) -> int:
+        return ends[bisect_right(self.at, self.starts[line - 1] - 1)]
 
 
 def lex_files(source_texts: DataFrame) -> DataFrame:
@@ -170,8 +198,10 @@ def lex_files(source_texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("comment", pa.string()), ("literal", pa.string()), ("code", pa.string())])
         for b in batches:
             out: list[dict] = []
+            size = 0
             for path, language, text in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content"))):
                 f = Lexed(text, (language or "").strip().lower())
                 rows: dict[int, dict] = {n + 1: {"comment": c} for n, c in f.comments().items()}
@@ -179,11 +209,17 @@ def lex_files(source_texts: DataFrame) -> DataFrame:
                     for first, last, doc in f.functions():
                         rows.setdefault(first, {}).update(literal=doc, code="\n".join(map(f.row, range(first, last + 1))))
                 else:
+                    ends = f.ends()
                     for n in rows:
                         if n <= len(f.starts) and f.row(n).strip():
-                            rows[n]["code"] = "\n".join(map(f.row, range(n, f.block_end(n) + 1)))
-                out += [{"path": path, "line": n, "comment": r.get("comment"), "literal": r.get("literal"), "code": r.get("code")} for n, r in rows.items()]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("line", pa.int32()), ("comment", pa.string()), ("literal", pa.string()), ("code", pa.string())]))
+                            rows[n]["code"] = "\n".join(map(f.row, range(n, f.block_end(n, ends) + 1)))
+                for n, r in rows.items():
+                    out.append({"path": path, "line": n, "comment": r.get("comment"), "literal": r.get("literal"), "code": r.get("code")})
+                    size += sum(len(x) for x in r.values() if x)
+                    if size > 1 << 25:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = source_texts.select("path", "language", "content").filter("path IS NOT NULL AND content IS NOT NULL")
     return rows.mapInArrow(run, "path string, line int, comment string, literal string, code string")

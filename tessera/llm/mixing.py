@@ -34,6 +34,7 @@ from tessera.runtime import Scratch
 
 BUCKETS, ROUNDS, BINS, TEMPER, PRIOR_WORDS = 4096, 25, 4096, 32, 2000
 _WORD = re.compile(r"\w+")
+REPORT = "source string, weight double, max_repeats int, reachable_weight double, available_tokens long, labelled_tokens long, soft_tokens double, share double, most_repeats int"
 
 
 def _features(text: str, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +148,9 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     plan = targets.filter("source IS NOT NULL AND weight > 0").groupBy("source").agg(F.max("weight").alias("w"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("cap")).orderBy("source").collect()  # one row per source
     sources, k = [r.source for r in plan], len(plan)
     weight, caps = np.array([r.w for r in plan], float), np.array([r.cap for r in plan], float)
+    if not k:
+        kind = dict(docs.dtypes)[id_col]
+        return spark.createDataFrame([], f"doc_id {kind}, source string, tokens bigint, repeats int"), spark.createDataFrame([], REPORT)
     weight /= max(weight.sum(), 1e-300)
     model = learn(docs, sources, text_col, source_col)
     rows = scratch.cut(members(docs, sources, model, id_col, text_col, source_col, vocabulary), "members")
@@ -156,7 +160,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     total = float(total_tokens) if total_tokens else float((caps * labelled / weight)[full].min()) * weight[full].sum() if full.any() else 0.0
     target = np.where(full, weight / max(weight[full].sum(), 1e-300) * total, 0.0)
     loose = rows.filter("source IS NULL").select("doc_id", "tokens", "soft", "u")
-    rho, steps, start = fit(loose, labelled, target, caps) if k else (np.zeros(0), np.zeros((0, 0)), 0.0)
+    rho, steps, start = fit(loose, labelled, target, caps)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,7 +192,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
             left -= t
         else:
             edge[s], rest[s] = BINS, 0.0
-    table = spark.createDataFrame([(s, int(whole[i]), int(edge[s])) for i, s in enumerate(sources)] or [("", 0, 0)], "source string, whole int, edge int")
+    table = spark.createDataFrame([(s, int(whole[i]), int(edge[s])) for i, s in enumerate(sources)], "source string, whole int, edge int")
     near = named.join(F.broadcast(table), "source")
     fine: dict[str, list[tuple[int, int]]] = {}
     for r in near.filter(F.floor(F.col("u") / BINS) == F.col("edge")).groupBy("source", "u").agg(F.sum("tokens").alias("t")).orderBy("source", "u").toLocalIterator():  # at most BINS rows a source
@@ -204,17 +208,15 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
         limits.append((s, int(whole[i]), limit if able else 0))
         short.append((s, limit, float(left) if able else 0.0))
     # the gap that is left goes to the one further document that fills it best
-    gaps = named.join(F.broadcast(spark.createDataFrame(short or [("", 0, 0.0)], "source string, upto long, gap double")), "source").filter("gap > 0 AND u >= upto")
+    gaps = named.join(F.broadcast(spark.createDataFrame(short, "source string, upto long, gap double")), "source").filter("gap > 0 AND u >= upto")
     best = gaps.groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("off"), "doc_id", "gap")).alias("b")).collect()  # one row per source
     last = {r.source: r.b.doc_id for r in best if r.b.off < r.b.gap}
-    table = spark.createDataFrame([(*x, last.get(x[0])) for x in limits] or [("", 0, 0, None)], f"source string, whole int, upto long, last {kind}")
+    table = spark.createDataFrame([(*x, last.get(x[0])) for x in limits], f"source string, whole int, upto long, last {kind}")
     repeats = (F.col("whole") + F.when((F.col("u") < F.col("upto")) | F.col("doc_id").eqNullSafe(F.col("last")), 1).otherwise(0)).cast("int")
     labelled_rows = named.join(F.broadcast(table), "source").withColumn("repeats", repeats).filter("repeats > 0").select("doc_id", "source", "tokens", "repeats")
     chosen = scratch.cut(labelled_rows.unionByName(drawn.select("doc_id", "source", "tokens", "repeats")), "chosen")
     got = chosen.filter("source IS NOT NULL").groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("labelled_tokens"), F.max("repeats").alias("most_repeats"))
-    info = spark.createDataFrame([(s, plan[i].w, plan[i].cap, float(weight[i] / weight[full].sum()) if full[i] else 0.0, int(labelled[i]), float(soft[i])) for i, s in enumerate(sources)], "source string, weight double, max_repeats int, reachable_weight double, available_tokens long, soft_tokens double") if k else None
-    if info is None:
-        return chosen, spark.createDataFrame([], "source string, weight double, max_repeats int, reachable_weight double, available_tokens long, labelled_tokens long, soft_tokens double, share double, most_repeats int")
+    info = spark.createDataFrame([(s, plan[i].w, plan[i].cap, float(weight[i] / weight[full].sum()) if full[i] else 0.0, int(labelled[i]), float(soft[i])) for i, s in enumerate(sources)], "source string, weight double, max_repeats int, reachable_weight double, available_tokens long, soft_tokens double")
     both = info.join(got, "source", "left").withColumns({"labelled_tokens": F.coalesce("labelled_tokens", F.lit(0).cast("long")), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
     all_tokens = both.agg(F.sum(F.col("labelled_tokens") + F.col("soft_tokens")).alias("all_tokens"))
     report = both.withColumn("__k", F.lit(1)).join(F.broadcast(all_tokens.withColumn("__k", F.lit(1))), "__k").drop("__k")
