@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import Scratch
+
 # Letters that share a shape, written as pairs of one letter and its Latin prototype.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ҮY ХX ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ӀI ѵv"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC Ϳ" + "J οo νv ϲc ϳj"
@@ -83,13 +85,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def look_alikes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b), smaller first: documents whose texts differ and whose skeletons are equal."""
-    rows = digests(docs, id_col, text_col)
-    mixed = rows.groupBy("shape", "form").agg(F.count("*")).groupBy("shape").agg(F.count("*").alias("forms")).filter("forms > 1").select("shape")
-    some = rows.join(mixed, "shape").distinct()
-    a = some.select("shape", F.col("form").alias("fa"), F.col("id").alias("a"))
-    b = some.select("shape", F.col("form").alias("fb"), F.col("id").alias("b"))
-    return a.join(b, "shape").filter("fa <> fb AND a < b").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    """(doc_id_a, doc_id_b), smaller first: documents whose texts differ and whose skeletons are equal.
+
+    Texts are paired before their documents are joined, so copies of one text never meet each other.
+    """
+    rows = Scratch(docs.sparkSession, "lookalikes").cut(digests(docs, id_col, text_col), "digests")
+    forms = rows.select("shape", "form").distinct()
+    mixed = forms.groupBy("shape").agg(F.count("*").alias("forms")).filter("forms > 1").select("shape")
+    some = forms.join(mixed, "shape")
+    pairs = some.select("shape", F.col("form").alias("fa")).join(some.select("shape", F.col("form").alias("fb")), "shape").filter("fa < fb").select("fa", "fb")
+    a, b = rows.select(F.col("form").alias("fa"), F.col("id").alias("a")), rows.select(F.col("form").alias("fb"), F.col("id").alias("b"))
+    out = pairs.join(a, "fa").join(b, "fb").filter("a <> b")
+    return out.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
 def skeleton_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
