@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.runtime import Scratch
 
 K, LEAST = 3, 0.85
-SAMPLE, CELLS_MOST, PROBES, RERANK = 16384, 2048, 12, 64
+SAMPLE, CELLS_MOST, PROBES, RERANK = 16384, 2048, 20, 64
 T = 0.2
 MEMBERS, QUERIES = 4096, 16384
 MODELS_MB = 64
