@@ -86,8 +86,8 @@ def edge_ids_and_text(spark, d):
 c AS (SELECT *, regexp_matches(l, '\.(c|cc|cpp|cs|go|h|hpp|java|js|jsx|kt|m|php|py|rb|rs|swift|ts|tsx)$|(^|/)src(/|$)') AS s,
   regexp_matches(l, '(^|/)tests?(/|$)|(^|/)test_[^/]*$|_test\.(py|go)$') OR contains(b, '.spec.') AS t,
   contains(l, '/docs/') OR contains(l, '/doc/') OR starts_with(l, 'docs/') OR regexp_matches(regexp_replace(b, '(.)\.[^.]*$', '\1'), 'readme|changelog|changes|history|news|release-notes') AS k FROM p)
-SELECT path, s AS is_source, t AS is_test, k AS is_docs, CASE WHEN s THEN 1.0 WHEN t THEN 0.82 WHEN k THEN 0.28 ELSE 0.66 END AS code_score,
-  CASE WHEN k THEN 1.0 WHEN s THEN 0.30 WHEN t THEN 0.22 ELSE 0.28 END AS docs_score,
+SELECT path, s AS is_source, t AS is_test, k AS is_docs, CAST(CASE WHEN s THEN 1.0 WHEN t THEN 0.82 WHEN k THEN 0.28 ELSE 0.66 END AS DOUBLE) AS code_score,
+  CAST(CASE WHEN k THEN 1.0 WHEN s THEN 0.30 WHEN t THEN 0.22 ELSE 0.28 END AS DOUBLE) AS docs_score,
   CASE WHEN regexp_matches(l, '(^|/)src(/|$)') THEN 'src' WHEN regexp_matches(l, '(^|/)tests(/|$)') THEN 'tests' WHEN regexp_matches(l, '(^|/)scripts(/|$)') THEN 'scripts' ELSE 'other' END AS path_class,
   regexp_extract(b, '[^.](\.[^.]+)$', 1) AS extension FROM c""")
 def path_classes(spark, d):
@@ -171,7 +171,7 @@ fq AS (SELECT fqname AS key, max((file_path, start_line, end_line, id, kind)) AS
 here AS (SELECT name, file_path, min((file_path, start_line, id, kind)) AS r FROM sym GROUP BY ALL),
 nm AS (SELECT name, count(*) AS n, min((file_path, start_line, id, kind)) AS r FROM sym GROUP BY ALL)
 SELECT DISTINCT sid AS id, target, CASE WHEN t = '' THEN 'unresolved:<empty>' WHEN a.key IS NOT NULL THEN a.r[4] WHEN b.key IS NOT NULL THEN b.r[4] WHEN nm.n = 1 THEN nm.r[3] WHEN here.name IS NOT NULL THEN here.r[3] WHEN nm.name IS NOT NULL THEN nm.r[3] ELSE 'unresolved:' || t END AS to_id,
-  CASE WHEN t = '' THEN 0.15 WHEN a.key IS NOT NULL THEN 0.95 WHEN b.key IS NOT NULL THEN 0.9 WHEN nm.n = 1 THEN CASE WHEN nm.r[1] = f THEN 0.85 ELSE 0.75 END WHEN here.name IS NOT NULL THEN 0.65 WHEN nm.name IS NOT NULL THEN 0.45 ELSE 0.15 END AS confidence
+  CAST(CASE WHEN t = '' THEN 0.15 WHEN a.key IS NOT NULL THEN 0.95 WHEN b.key IS NOT NULL THEN 0.9 WHEN nm.n = 1 THEN CASE WHEN nm.r[1] = f THEN 0.85 ELSE 0.75 END WHEN here.name IS NOT NULL THEN 0.65 WHEN nm.name IS NOT NULL THEN 0.45 ELSE 0.15 END AS DOUBLE) AS confidence
 FROM x LEFT JOIN fq a ON a.key = t LEFT JOIN fq b ON b.key = cf || '.' || t AND cf <> '' LEFT JOIN here ON here.name = string_split(t, '.')[-1] AND here.file_path = f LEFT JOIN nm ON nm.name = string_split(t, '.')[-1]""")
 def edge_resolve_tiers(spark, d):
     s = one_per_id(load(spark, d, "symbols"))
@@ -276,7 +276,7 @@ def constraining_tests(spark, d):
     return U.constraining_tests(load(spark, d, "symbols"))
 
 
-@query(f"""WITH {_SYM} SELECT id AS symbol_id, CASE WHEN len(covered_by) > 0 THEN 'low' ELSE 'high' END AS risk, CASE WHEN len(covered_by) > 0 THEN 0 WHEN len(invariants) > 0 THEN 2 ELSE 1 END AS n_warnings FROM sym""")
+@query(f"""WITH {_SYM} SELECT id AS symbol_id, CASE WHEN len(covered_by) > 0 THEN 'low' ELSE 'high' END AS risk, CAST(CASE WHEN len(covered_by) > 0 THEN 0 WHEN len(invariants) > 0 THEN 2 ELSE 1 END AS BIGINT) AS n_warnings FROM sym""")
 def untested_behaviors(spark, d):
     return U.untested(load(spark, d, "symbols")).select("symbol_id", "risk", F.size("warnings").cast("long").alias("n_warnings"))
 

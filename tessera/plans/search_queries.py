@@ -39,7 +39,7 @@ _DEF, _IMP = r"'^\s*(?:async\s+def|def|class|function|func|interface|struct|trai
 
 
 @query(rf"""WITH {_SRC}, {_LINES}, h AS (SELECT path, line, text, regexp_matches(text, 'registry') AS a, regexp_matches(text, 'order') AS b, regexp_matches(text, 'tuple') AS c FROM lines_)
-SELECT path, line, CAST(a::INT + 2 * b::INT + 4 * c::INT AS BIGINT) AS mask, round(greatest(0, least(1, 0.9 + CASE WHEN regexp_matches(text, {_DEF}) THEN 0.10 ELSE 0 END + CASE WHEN {_SOURCE} THEN 0.14 ELSE 0 END - CASE WHEN {_TEST} THEN 0.01 ELSE 0 END)), 6) AS raw_score,
+SELECT path, line, CAST(a::INT + 2 * b::INT + 4 * c::INT AS BIGINT) AS mask, CAST(round(greatest(0, least(1, 0.9 + CASE WHEN regexp_matches(text, {_DEF}) THEN 0.10 ELSE 0 END + CASE WHEN {_SOURCE} THEN 0.14 ELSE 0 END - CASE WHEN {_TEST} THEN 0.01 ELSE 0 END)), 6) AS DOUBLE) AS raw_score,
   CASE WHEN regexp_matches(text, {_IMP}) THEN 'import' WHEN regexp_matches(text, {_DEF}) AND regexp_matches(text, '(^|[^A-Za-z0-9_])(registry|order|tuple)($|[^A-Za-z0-9_])') THEN 'definition' ELSE 'reference' END AS match_role
 FROM h WHERE a OR b OR c""")
 def exact_matches(spark, d):
@@ -76,7 +76,7 @@ def symbol_search_topk(spark, d):
 
 
 @query(r"""WITH s AS (SELECT DISTINCT name, regexp_matches(lower(file_path), '\.(py|js|ts|go|rs|java)$|(^|/)src(/|$)') AS src FROM symbols), m AS (SELECT name, src, lower(name) AS n FROM s)
-SELECT name, round(max(CASE WHEN n = 'registry' THEN 1.0 WHEN contains(n, 'registry') OR contains('registry', n) THEN 0.74 ELSE 0 END), 6) AS score FROM m GROUP BY name HAVING score > 0""")
+SELECT name, CAST(round(max(CASE WHEN n = 'registry' THEN 1.0 WHEN contains(n, 'registry') OR contains('registry', n) THEN 0.74 ELSE 0 END), 6) AS DOUBLE) AS score FROM m GROUP BY name HAVING score > 0""")
 def symbol_match_scores(spark, d):
     s = load(spark, d, "symbols").select("name").distinct()
     return s.withColumn("score", F.round(O.match_score(F.col("name"), analyze("Registry")), 6)).filter("score > 0")
