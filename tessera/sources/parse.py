@@ -1,7 +1,8 @@
 """Source text to symbols: Python by its own syntax tree, other languages by a brace scanner over lexed text.
 
 What the scanner covers: functions, methods, classes, interfaces, traits, structs and enums of JavaScript, TypeScript, Go, Rust, Java, C
-and C++ whose declaration begins on its own line; assignments of functions to names in JavaScript. Macros and computed names are not seen.
+and C++ whose declaration begins on its own line; in JavaScript functions that are assigned to names, members of bound objects and property descriptors; in C++ what
+macros with plain arguments declare. Computed names are not seen.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import synthetic
+
 # Parts of names that mark a boundary of serialisation.
 SERIALIZATION = ["serialize", "deserialize", "to_dict", "from_dict", "to_json", "from_json", "parse"]
 DDL = (
@@ -165,8 +168,30 @@ def _comment_above(lines: list[str], first: int) -> str | None:
     return "\n".join(lines[j + 1 : i + 1]).strip() or None
 
 
+def parse_bound(path: str, text: str, language: str, repo: str, known: list[dict]) -> list[dict]:
+    """Functions bound to properties, and macro-made symbols; what a declaration has already named is left out."""
+    blank, lines = _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text), text.split("\n")
+    found = synthetic.cpp_macros(text) if language == "cpp" else synthetic.javascript(text, blank)
+    have = {(r["name"], r["start_line"]) for r in known} | {(r["kind"], r["fqname"]) for r in known}
+    line = lambda p: text.count("\n", 0, p) + 1
+    out = []
+    for kind, owner, name, start, end in found:
+        first = line(start)
+        around = [r for r in known if r["kind"] in _CONTAINERS and r["start_line"] <= first <= r["end_line"]] if language == "cpp" else []
+        fq = ".".join(x for x in ((around[-1]["fqname"] if around else None), owner) if x)
+        box = [{"id": None, "fqname": fq}] if fq else []
+        calls = [c for c in dict.fromkeys(x.strip() for x in _CALL.findall(blank[start:end].split("{", 2)[-1])) if c.split(".")[0] not in _NOT_CALLS] if language != "cpp" else []
+        r = _row(path, repo, language, kind, name, box, first, line(max(start, end - 1)), lines, lines[first - 1].strip(), _comment_above(lines, first), calls, [])
+        if (name, first) not in have and (kind, r["fqname"]) not in have:
+            have.add((name, first))
+            out.append(r)
+    return out
+
+
 def parse_text(path: str, language: str, text: str, repo: str) -> list[dict]:
     rows = parse_python(path, text, repo) if language == "python" else parse_braces(path, text, language, repo)
+    if language in ("javascript", "typescript", "tsx", "cpp"):
+        rows += parse_bound(path, text, language, repo, rows)
     return sorted({r["id"]: r for r in rows}.values(), key=lambda r: (r["file_path"], r["start_line"], r["end_line"], r["id"]))
 
 

@@ -117,3 +117,17 @@ def test_sql_functions(spark):
     with pytest.raises(KeyError):
         sql_register.provider("absent")
     assert parse.languages(spark).filter("language = 'rust' AND imports").count() == 1
+
+
+def test_bound_functions():
+    text = "const api = {\n  load: function (a) { go(a); },\n  save(x) {\n    put(x)\n  },\n  n: 1,\n  run: async () => { z() },\n};\nconst p = api;\nObject.defineProperty(p, 'size', {\n  get: function () { return 1; }\n});\n// Object.defineProperty(p, 'no', { get() {} })\n"
+    rows = {r["fqname"]: r for r in parse.parse_text("d/x.js", "javascript", text, "r")}
+    assert {k: (r["kind"], r["start_line"]) for k, r in rows.items()} == {"api.load": ("method", 2), "api.save": ("method", 3), "api.run": ("method", 7), "api.size": ("method", 10)}
+    assert rows["api.load"]["calls"] == ["go"]
+
+
+def test_macro_symbols():
+    text = "#define MAKE(T) class T { \\\n };\n#define METHOD(O, F) int O::F(int a) { return a; }\nMAKE(Widget)\nMETHOD(Widget, run)\nclass Known {\n};\nMAKE(Known)\nMAKE(1x)\n"
+    rows = parse.parse_text("d/x.cpp", "cpp", text, "r")
+    assert {(r["kind"], r["fqname"].split("x.")[-1]) for r in rows if r["name"] in ("Widget", "run")} == {("class", "Widget"), ("method", "Widget.run")}
+    assert len([r for r in rows if r["name"] == "Known"]) == 1
