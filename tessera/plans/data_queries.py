@@ -61,6 +61,11 @@ f AS (
   FROM d WHERE rn = 1)
 """
 
+_ABOVE = """,
+ring AS (SELECT w.id, min(w.steps) AS s FROM w JOIN f g ON g.id = w.cur AND g.depth = -1 GROUP BY w.id),
+up AS (SELECT w.cur AS ancestor_id, w.id AS descendant_id, CAST(w.steps AS INTEGER) AS distance FROM w JOIN f ON f.id = w.id LEFT JOIN ring e ON e.id = w.id WHERE f.depth >= 0 OR (f.depth = -2 AND w.steps <= e.s))
+"""
+
 _ORPHANS = r"""
 gone AS (SELECT path FROM file_changes GROUP BY path HAVING arg_max(op, seq) = 'deleted'),
 rec AS (
@@ -92,6 +97,10 @@ report AS (
 
 SQL = {
     "p1_found": f"WITH {_NODES} SELECT id, root_id, CAST(depth AS INTEGER) AS depth FROM f",
+    "p1_paths": f"""WITH {_NODES} {_ABOVE}, p AS (SELECT descendant_id AS id, string_agg(coalesce(l.name, '?'), '.' ORDER BY distance DESC) AS names, count(*) AS k FROM up JOIN l ON l.id = ancestor_id GROUP BY 1)
+      SELECT l.id, coalesce(f.root_id, l.id) AS root_id, CAST(coalesce(f.depth, 0) AS INTEGER) AS depth, coalesce(p.names || '.', '') || coalesce(l.name, '?') AS path, CAST(coalesce(p.k, 0) AS INTEGER) AS n_above
+      FROM l LEFT JOIN f ON f.id = l.id LEFT JOIN p ON p.id = l.id""",
+    "p1_descendants": f"WITH {_NODES} {_ABOVE} SELECT * FROM up",
     "p1_circles": f"WITH {_NODES} SELECT root_id, count(*) FILTER (depth = -1) AS on_circle, count(*) FILTER (depth = -2) AS leading_in FROM f WHERE depth < 0 GROUP BY root_id",
     "p4_found": f"WITH {_ORPHANS} SELECT * FROM report WHERE state IS NOT NULL",
     "p4_summary": f"WITH {_ORPHANS} SELECT table_name, period, state, count(*) AS n FROM report WHERE state IS NOT NULL GROUP BY ALL",

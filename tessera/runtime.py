@@ -71,19 +71,6 @@ def one_per_id(df: DataFrame, key: str = "id") -> DataFrame:
     return df.withColumn("__i", F.row_number().over(order)).filter("__i = 1").drop("__i")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16, spread: str | None = None) -> DataFrame:
-    """Equi join whose left keys may be hot: left rows of a key go to `salts` tasks, right rows are repeated.
-
-    right must be small or unique per key. spread: the left column whose hash picks the salt.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"a salted join can't be {how}")
-    pick = F.pmod(F.xxhash64(*([spread] if spread else left.columns)), F.lit(salts)).cast("int")
-    a = left.withColumn("__salt", pick)
-    b = right.withColumn("__salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
-    return a.join(b, [*on, "__salt"], how).drop("__salt")
-
-
 def build_session(app: str = "tessera", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings that the operators assume; on a cluster give only what the cluster doesn't set."""
     b = SparkSession.builder.appName(app)
