@@ -203,7 +203,7 @@ def containers(docs: DataFrame, capacities: DataFrame, id_col: str = "doc_id", t
 
     out_names = ["container_kind", "container_id", "doc_id", "copy", "piece", "pieces", "from_token", "tokens"]
     ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("container_kind", "size", "part").orderBy("doc_id", "copy", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(offsets.select("container_kind", "size", "part", "before")), ["container_kind", "size", "part"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
+    ranked = ranked.join(offsets.select("container_kind", "size", "part", "before"), ["container_kind", "size", "part"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
     kind = dict(sized.dtypes)["doc_id"]
     return ranked.mapInArrow(place, f"container_kind string, container_id bigint, doc_id {kind}, copy int, piece bigint, pieces bigint, from_token bigint, tokens bigint")
 

@@ -156,8 +156,11 @@ def _models(classes: DataFrame) -> list[tuple[str, str, int, np.ndarray, np.ndar
     """profile, kind, dimension, centres, book of each group of vectors; one group's sample is at most SAMPLE vectors."""
     group = ["profile", "kind", "dims"]
     sizes = classes.groupBy(group).agg(F.count("*").alias("n"))
+    # about twice the sample by hash before the window, so that what a task receives doesn't grow with the number of tasks
+    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")) * float(1 << 30)
+    near = classes.join(sizes, group).filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= share)
     w = Window.partitionBy(group).orderBy(F.xxhash64("key"), "key")
-    sample = classes.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= SAMPLE).join(sizes, group)
+    sample = near.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= SAMPLE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         centres, book = fit(_unit(_vectors(pdf.vec.tolist())), cell_count(int(pdf.n.iloc[0])))
