@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import Scratch, is_blank
 
-LEVELS = 32
+LEVELS = 12
 
 
 def parent_links(nodes: DataFrame, id_col: str = "id", parent_col: str = "container_id", name_col: str = "name") -> DataFrame:
@@ -42,8 +42,8 @@ def _grow(scratch: Scratch, links: DataFrame, frontier: DataFrame, label: str, l
             "id", "root_id", (F.col("depth") + step).cast("int").alias("depth"),
             *([F.concat_ws(".", "path", F.coalesce("name", F.lit("?"))).alias("path"), F.concat("above", F.array("parent")).alias("above")] if paths else []),
         )
-        frontier = scratch.cut(down, f"{label}{len(found)}")
-        if frontier.isEmpty():
+        frontier, n = scratch.counted(down, f"{label}{len(found)}")
+        if not n:
             return found
         found.append(frontier)
     return found
@@ -95,9 +95,9 @@ def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "container
     roots = first(links.filter("parent IS NULL").withColumn("root_id", F.col("id")), 0)
     below = _grow(scratch, links, roots, "level", levels, paths, 1)
     reached = _union([roots, *below])
-    rest = scratch.cut(links.filter("parent IS NOT NULL").join(reached.select("id"), "id", "left_anti"), "rest")
+    rest, n_rest = scratch.counted(links.filter("parent IS NOT NULL").join(reached.select("id"), "id", "left_anti"), "rest")
     parts = [reached]
-    if not rest.isEmpty():
+    if n_rest:
         deep, loops = _double(scratch, rest, reached)
         if not paths:
             parts += [deep, loops]

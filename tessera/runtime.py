@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The written table and its number of rows, which is observed while it is written."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, name: str) -> None:
         """For a table that no later plan reads."""
         _delete(self.spark, f"{self.root}/{name}")
