@@ -5,12 +5,29 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they need no path of their own to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    here = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="tessera-code-"), "tessera-code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(target))
+    sc._tessera_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +61,7 @@ class Scratch:
     """Written tables of one run in the shared folder; a lost executor re-reads them instead of recomputing."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(_delete, spark, self.root)
 
@@ -92,4 +110,6 @@ def build_session(app: str = "tessera", master: str | None = None, partitions: i
     }
     if partitions:
         conf["spark.sql.shuffle.partitions"] = str(partitions)
-    return b.config(map=conf).getOrCreate()
+    spark = b.config(map=conf).getOrCreate()
+    ship(spark)
+    return spark
