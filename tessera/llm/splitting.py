@@ -22,6 +22,7 @@ limits must be at least 32 words and 64 bytes; bytes that are no UTF-8 (files on
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,9 +44,11 @@ def ranges_of_texts(items: DataFrame, id_col: str, text_col: str, size: int = RA
     """item (digest of id and text), id, length, at (first byte of the range), before (bytes of halo before it), part (binary with both halos)."""
     raw = items.select(F.col(id_col).cast("string").alias("id"), F.encode(text_col, "utf-8").alias("raw")).filter("id IS NOT NULL AND raw IS NOT NULL")
     whole = raw.withColumns({"item": F.md5(F.concat(F.encode("id", "utf-8"), F.encode(F.lit("\n"), "utf-8"), "raw")), "length": F.octet_length("raw").cast("long")})
-    cut = whole.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1).cast("long"), F.lit(size).cast("long"))))
-    lead = F.least(F.col("at"), F.lit(halo))
-    return cut.select("item", "id", "length", "at", lead.cast("int").alias("before"), F.substring("raw", (F.col("at") - lead + 1).cast("int"), (lead + F.lit(size + halo)).cast("int")).alias("part"))
+    # the parts are cut before they are spread over rows, so that no row carries the whole text
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1).cast("long"), F.lit(size).cast("long"))
+    lead = lambda at: F.least(at, F.lit(halo).cast("long"))
+    part = lambda at: F.struct(at.alias("at"), lead(at).cast("int").alias("before"), F.substring(F.col("raw"), (at - lead(at) + 1).cast("int"), (lead(at) + F.lit(size + halo)).cast("int")).alias("part"))
+    return whole.select("item", "id", "length", F.inline(F.transform(starts, part)))
 
 
 def ranges_of_files(spark: SparkSession, paths: list[str], size: int = RANGE, halo: int = HALO) -> DataFrame:
@@ -179,10 +182,13 @@ def _per_range(rows: DataFrame, pick, ddl: str) -> DataFrame:
 def pieces(ranges: DataFrame, words: int = WORDS, limit: int = BYTES, overlap: float = OVERLAP, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """(pieces, ranges): item, id, part_index (from 1), part_total, from_byte (with overlap), start_byte, end_byte of every oversized item."""
     scratch = Scratch(ranges.sparkSession, "split")
-    rows = scratch.cut(measured(ranges, words, limit, size).dropDuplicates(["item", "at"]), "ranges")
+    # the ranges of a long item go to other tasks; items of one range stay where they are
+    one, several = ranges.filter(F.col("length") <= size), ranges.filter(F.col("length") > size).repartition("item", "at")
+    found = measured(one, words, limit, size).unionByName(measured(several, words, limit, size))
+    rows = scratch.cut(found.dropDuplicates(["item", "at"]), "ranges")
     before = Window.partitionBy("item").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.select("item", "at", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("base"))
-    room = UNIT * (1 - SLACK - overlap)
+    room, ov = UNIT * (1 - SLACK - overlap), int(UNIT * overlap)
     totals = rows.groupBy("item").agg(F.min("id").alias("id"), F.max("length").alias("length"), F.sum("cost").alias("total"), F.sum("words").alias("words"))
     over = totals.filter((F.col("words") > words) | (F.col("length") > limit)).select("item", "id", "length", "total", F.ceil(F.col("total") / room).cast("long").alias("m"))
     here = rows.select("item", "at", "segs", "cost").join(base, ["item", "at"]).join(over.select("item", "total", "m"), "item")
@@ -193,13 +199,19 @@ def pieces(ranges: DataFrame, words: int = WORDS, limit: int = BYTES, overlap: f
             k = round(pos / step)
             if 1 <= k < r["m"] and abs(pos - k * step) <= UNIT * SLACK / 2:
                 best[k] = max(best.get(k, (-1,)), (strength, -int(abs(pos - k * step)), -off, pos))
-        return ((r["item"], k, s, d, -o, pos) for k, (s, d, o, pos) in best.items())
-
-    found = _per_range(here, cuts_in, "item string, k bigint, strength int, near bigint, off bigint, pos bigint")
-    cuts = scratch.cut(found.groupBy("item", "k").agg(F.max(F.struct("strength", "near", (-F.col("off")).alias("o"), "pos")).alias("c")).select("item", "k", (-F.col("c.o")).alias("off"), "c.pos"), "cuts")
-    ov = int(UNIT * overlap)
+        at = [pos for _, pos, _ in places]
+        for k, (s, d, o, pos) in best.items():
+            lead = None
+            if at[0] <= pos - ov or places[0][0] == 0:  # else the overlap begins in a range before
+                fit = places[bisect_left(at, pos - ov) : bisect_left(at, pos)]
+                lead = min((x for x, _, t in fit if t > 1), default=fit[0][0] if fit else -o)
+            yield r["item"], k, s, d, -o, pos, lead
+
+    found = _per_range(here, cuts_in, "item string, k bigint, strength int, near bigint, off bigint, pos bigint, lead bigint")
+    best = F.max(F.struct("strength", "near", (-F.col("off")).alias("o"), "pos", "lead")).alias("c")
+    cuts = scratch.cut(found.groupBy("item", "k").agg(best).select("item", "k", (-F.col("c.o")).alias("off"), "c.pos", F.col("c.lead").alias("near_lead")), "cuts")
     slot = lambda c: F.floor(c / UNIT)
-    asked = cuts.withColumn("slot", F.explode(F.sequence(slot(F.greatest(F.lit(0), F.col("pos") - ov)), slot(F.col("pos")))))
+    asked = cuts.filter("near_lead IS NULL").drop("near_lead").withColumn("slot", F.explode(F.sequence(slot(F.greatest(F.lit(0), F.col("pos") - ov)), slot(F.col("pos")))))
     given = here.withColumn("slot", F.explode(F.sequence(slot(F.col("base")), slot(F.col("base") + F.col("cost")))))
 
     def lead_in(r: dict, places: list) -> Iterator[tuple]:
@@ -210,7 +222,7 @@ def pieces(ranges: DataFrame, words: int = WORDS, limit: int = BYTES, overlap: f
     lead = _per_range(asked.withColumnRenamed("off", "cut").join(given.drop("cost", "total", "m"), ["item", "slot"]), lead_in, "item string, k bigint, any_off bigint, line_off bigint")
     lead = lead.groupBy("item", "k").agg(F.coalesce(F.min("line_off"), F.min("any_off")).alias("lead"))
     first = over.select("item", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("start_byte"), F.lit(0).cast("long").alias("from_byte"))
-    rest = cuts.join(lead, ["item", "k"], "left").select("item", "k", F.col("off").alias("start_byte"), F.coalesce("lead", "off").alias("from_byte"))
+    rest = cuts.join(lead, ["item", "k"], "left").select("item", "k", F.col("off").alias("start_byte"), F.coalesce("near_lead", "lead", "off").alias("from_byte"))
     order = Window.partitionBy("item").orderBy("k")
     every = first.unionByName(rest).join(over.select("item", "id", "length"), "item")
     out = every.select("item", "id", F.row_number().over(order).alias("part_index"), F.count("*").over(Window.partitionBy("item")).cast("int").alias("part_total"), "from_byte", "start_byte", F.coalesce(F.lead("start_byte").over(order), "length").alias("end_byte"))
