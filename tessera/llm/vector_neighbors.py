@@ -7,7 +7,9 @@ error across it, because that is what changes the largest inner products. Every
 table of 16 inner products per pair of dimensions is made once, the codes of the cell are looked up in it (two codes to a byte), and the best
 are scored again in double precision on the vectors as they were given.
 
-What is approximate: which cells are searched and which `rerank` vectors of a cell are scored exactly. Returned cosines are exact.
+What that finds only sets each query's floor: its k-th cosine so far, or `least`. Then the search is completed without a limit on cells or
+members: the angle to a member is at least the difference of the query's and the member's angles to the member's centre, so a cell is passed over
+only if no member of it can reach the floor; all members of the others are scored. The result is exact.
 Cells and queries are cut into blocks of bounded size, so a crowded cell spreads over tasks. Vectors that are equal bit by bit are
 searched once; the copies get their results by a join.
 
@@ -35,6 +37,9 @@ SAMPLE, CELLS_MOST, PROBES, RERANK = 16384, 2048, 20, 64
 T = 0.2
 MEMBERS, QUERIES = 4096, 16384
 MODELS_MB = 64
+# The completion: vectors of a tile on either side, queries scored at once, hits kept before they are cut to the best, hits of a query in a cell
+# from which the cell is scored in doubles; what single precision and the rounding to 9 places may hide.
+TILE, STEP, HITS, FEW, SLACK, PLACES = 32768, 2048, 500_000, 8, 1e-5, 1e-9
 
 
 def eta(dims: int, t: float = T) -> float:
@@ -152,6 +157,85 @@ def cell_count(n: int) -> int:
     return int(min(CELLS_MOST, max(1, round(2 * n**0.5)), max(1, n // 8)))
 
 
+def _exact_unit(v: np.ndarray) -> np.ndarray:
+    d = v.astype(np.float64)
+    d /= np.abs(d).max(1, keepdims=True)
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
+def complete(
+    asked: np.ndarray, qid: np.ndarray, floor: np.ndarray, given: np.ndarray, mid: np.ndarray, home: np.ndarray, names: np.ndarray, centres: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine): of each query the k best members with at least its floor. Members are in order of their cells, then names."""
+    dims = given.shape[1]
+    m = _exact_unit(given)
+    short, rank = m.astype(np.float32), np.argsort(np.argsort(names, kind="stable"))
+    cut = [0, *(np.flatnonzero(np.diff(home)) + 1), len(home)]
+    cells = [(a, b) for a, b in zip(cut, cut[1:])]
+    c = centres[[home[a] for a, _ in cells]].astype(np.float64)[:, :dims]
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    beta = [np.arccos(np.clip(m[a:b] @ c[i], -1, 1)) for i, (a, b) in enumerate(cells)]
+    low, high = np.array([x.min() for x in beta]), np.array([x.max() for x in beta])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for s in range(0, len(asked), STEP):
+        q, ids, bar = _exact_unit(asked[s : s + STEP]), qid[s : s + STEP], floor[s : s + STEP].copy()
+        q32, hits, held = q.astype(np.float32), [], 0
+        angle = np.arccos(np.clip(q @ c.T, -1, 1))
+        gap = np.maximum(np.maximum(angle - high, low - angle), 0) - 1e-6
+        for i in np.argsort(gap.min(0), kind="stable"):
+            a, b = cells[i]
+            rows = np.flatnonzero(np.cos(np.maximum(gap[:, i], 0)) >= bar - PLACES)
+            if not len(rows):
+                continue
+            for at in range(a, b, 4096):
+                to = min(b, at + 4096)
+                hit = q32[rows] @ short[at:to].T >= (bar[rows] - SLACK).astype(np.float32)[:, None]
+                many = hit.sum(1) > max(FEW, k)
+                if many.any():  # scored in doubles; of equal cosines the smaller names
+                    r = rows[many]
+                    cos = np.round(q[r] @ m[at:to].T, 9)
+                    cos[ids[r][:, None] == mid[None, at:to]] = -2
+                    kth = np.partition(cos, -k, axis=1)[:, -k][:, None]
+                    equal = cos == kth
+                    keep = (cos > kth) | (equal & (np.cumsum(equal, axis=1) <= k - (cos > kth).sum(1, keepdims=True)))
+                    x, y = np.nonzero(keep & (cos >= bar[r][:, None] - PLACES))
+                    hits.append((r[x], y + at, cos[x, y]))
+                    held += len(x)
+                    bar[r] = np.maximum(bar[r], kth[:, 0])
+                    hit[many] = False
+                x, y = np.nonzero(hit)
+                x, y = rows[x], y + at
+                other = ids[x] != mid[y]
+                x, y = x[other], y[other]
+                if len(x):
+                    cos = np.round((q[x] * m[y]).sum(1), 9)
+                    ok = cos >= bar[x] - PLACES
+                    hits.append((x[ok], y[ok], cos[ok]))
+                    held += int(ok.sum())
+                if held > HITS:
+                    hits = [_best(hits, rank, k)]
+                    x, _, cos = hits[0]
+                    held = len(x)
+                    full = np.bincount(x, minlength=len(q)) >= k
+                    worst = np.full(len(q), 2.0)
+                    np.minimum.at(worst, x, cos)
+                    bar[full] = np.maximum(bar[full], worst[full])
+        if hits:
+            x, y, cos = _best(hits, rank, k)
+            ok = cos >= floor[s : s + STEP][x]
+            out.append((x[ok] + s, y[ok], cos[ok]))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _best(hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y, cos = (np.concatenate(z) for z in zip(*hits))
+    order = np.lexsort((rank[y], -cos, x))
+    x, y, cos = x[order], y[order], cos[order]
+    first = np.searchsorted(x, x, side="left")
+    keep = np.arange(len(x)) - first < k
+    return x[keep], y[keep], cos[keep]
+
+
 def _models(classes: DataFrame) -> list[tuple[str, str, int, np.ndarray, np.ndarray]]:
     """profile, kind, dimension, centres, book of each group of vectors; one group's sample is at most SAMPLE vectors."""
     group = ["profile", "kind", "dims"]
@@ -239,7 +323,31 @@ def _search(classes: DataFrame, models: list, scratch: Scratch, label: str, k: i
 
     found = members.unionByName(queries).groupBy("g", "cell", "mb", "qb").applyInArrow(cell, "rid bigint, other bigint, name string, cos double")
     w = Window.partitionBy("rid").orderBy(F.desc("cos"), "name")
-    return found.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k).drop("i")
+    best = lambda df: df.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k).drop("i")
+    kth = best(found).groupBy("rid").agg(F.count("*").alias("n"), F.min("cos").alias("kth")).filter(F.col("n") >= k).select("rid", "kth")
+    asked = placed.select("g", "rid", "name", "vec", "home").join(kth, "rid", "left").withColumn("floor", F.coalesce("kth", F.lit(float(least)))).drop("kth")
+
+    def tile(t: pa.Table) -> pa.Table:
+        centres = shared.value[t.column("g")[0].as_py()][3]
+        own = t.column("floor").is_null()
+        mem, ask = t.filter(own), t.filter(pa.compute.invert(own))
+        empty = pa.table({"rid": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
+        if not len(mem) or not len(ask):
+            return empty
+        mem = mem.sort_by([("home", "ascending"), ("name", "ascending")])
+        names, mid, qid = mem.column("name"), mem.column("rid").to_numpy(), ask.column("rid").to_numpy()
+        q, m, cos = complete(_vectors(ask.column("vec").to_pylist()), qid, ask.column("floor").to_numpy(), _vectors(mem.column("vec").to_pylist()), mid, mem.column("home").to_numpy(), names.to_numpy(), centres, k)
+        return pa.table({"rid": qid[q], "other": mid[m], "name": names.take(pa.array(m)), "cos": cos}, schema=empty.schema)
+
+    n = placed.groupBy("g").agg(F.count("*").alias("n"))
+    # few vectors are split by queries, so that they spread over tasks
+    tiles = n.select("g", F.ceil(F.col("n") / TILE).cast("int").alias("mbs"), F.greatest(F.ceil(F.col("n") / TILE), F.least(F.lit(4), F.ceil(F.col("n") / 4096))).cast("int").alias("qbs"))
+    sides = [asked.withColumn("floor", F.lit(None).cast("double")), asked]
+    own, ask = (x.join(F.broadcast(tiles), "g") for x in sides)
+    own = own.withColumn("mb", spread("mbs")).withColumn("qb", every("qbs"))
+    ask = ask.withColumn("qb", spread("qbs")).withColumn("mb", every("mbs"))
+    cols = ["g", "mb", "qb", "rid", "name", "vec", "home", "floor"]
+    return best(own.select(cols).unionByName(ask.select(cols)).groupBy("g", "qb", "mb").applyInArrow(tile, "rid bigint, other bigint, name string, cos double"))
 
 
 def neighbors(ledger: DataFrame, k: int = K, least: float = LEAST, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:

@@ -79,3 +79,30 @@ def test_few_and_none(spark):
     assert found(spark, [row("a", [1, 2])]) == set() and found(spark, []) == set()
     assert found(spark, [row("a", [1, 2]), row("b", [2, 4.0])]) == {("p", "chunk", "a", "b"), ("p", "chunk", "b", "a")}
     assert found(spark, [row("a", [1e-30, 2e-30]), row("b", [1e30, 2e30])]) == {("p", "chunk", "a", "b"), ("p", "chunk", "b", "a")}
+
+
+def matrix_brute(rows, k=3, least=0.85):
+    x = np.array([r[3] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c, names, out = np.round(x @ x.T, 9), np.array([r[2] for r in rows]), set()
+    np.fill_diagonal(c, -2)
+    for i, row_ in enumerate(c):
+        near = np.flatnonzero(row_ >= least)
+        out |= {(*rows[i][:3], str(names[j])) for j in near[np.lexsort((names[near], -row_[near]))][:k]}
+    return out
+
+
+def test_clump_of_nearly_equal_vectors(spark):
+    r = np.random.default_rng(5)
+    near = r.normal(size=48) + r.normal(size=(1500, 48)) * 0.05
+    rows = cloud(1500, 48, 6) + [row(f"near{i:05d}", v) for i, v in enumerate(near.astype(np.float32))]
+    want = matrix_brute(rows)
+    assert found(spark, rows) == want
+    assert found(spark, rows, probes=1, rerank=3) == want
+
+
+def test_cosines_that_are_equal_to_nine_places(spark):
+    r = np.random.default_rng(6)
+    v = (r.normal(size=16) + r.normal(size=(400, 16)) * 1e-6).astype(np.float32)
+    rows = [row(f"t{i:05d}", x) for i, x in enumerate(v)]
+    assert found(spark, rows) == matrix_brute(rows)
