@@ -190,11 +190,11 @@ class Lexed:
         return ends[bisect_right(self.at, self.starts[line - 1] - 1)]
 
 
-def lex_files(source_texts: DataFrame) -> DataFrame:
+def lex_files(source_texts: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """path, line, comment, literal, code: what stands above and below each line that can begin a function.
 
     comment ends on the line above; literal and code belong to a Python function that begins on the line; for the other languages code is the
-    block that begins there.
+    block that begins there. starts (path, starts): further lines of a file for which code is asked, with a comment above or not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def lex_files(source_texts: DataFrame) -> DataFrame:
         for b in batches:
             out: list[dict] = []
             size = 0
-            for path, language, text in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content"))):
+            for path, language, text, asked in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content", "starts"))):
                 f = Lexed(text, (language or "").strip().lower())
                 rows: dict[int, dict] = {n + 1: {"comment": c} for n, c in f.comments().items()}
                 if f.python:
@@ -210,6 +210,9 @@ def lex_files(source_texts: DataFrame) -> DataFrame:
                         rows.setdefault(first, {}).update(literal=doc, code="\n".join(map(f.row, range(first, last + 1))))
                 else:
                     ends = f.ends()
+                    for n in asked or []:
+                        if 1 <= n <= len(f.starts):
+                            rows.setdefault(n, {})
                     for n in rows:
                         if n <= len(f.starts) and f.row(n).strip():
                             rows[n]["code"] = "\n".join(map(f.row, range(n, f.block_end(n, ends) + 1)))
@@ -222,6 +225,7 @@ def lex_files(source_texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = source_texts.select("path", "language", "content").filter("path IS NOT NULL AND content IS NOT NULL")
+    rows = rows.withColumn("starts", F.lit(None).cast("array<int>")) if starts is None else rows.join(starts.select("path", "starts"), "path", "left")
     return rows.mapInArrow(run, "path string, line int, comment string, literal string, code string")
 
 
@@ -260,7 +264,8 @@ def pairs(symbols: DataFrame, source_texts: DataFrame) -> DataFrame:
     cols = ["name", "kind", "language", "signature", "docstring", "file_path", "start_line"]
     mine = symbols.select("id", *cols).filter("id IS NOT NULL AND kind IS NOT NULL").withColumn("kind", F.lower(F.regexp_replace("kind", r"(?U)^\s+|\s+$", "")))
     mine = mine.filter(F.col("kind").isin("function", "method")).groupBy("id").agg(F.min(F.struct(*cols)).alias("r")).select("id", "r.*")
-    found = lex_files(source_texts).groupBy("path", "line").agg(*(F.min(c).alias(c) for c in ("comment", "literal", "code")))
+    starts = mine.groupBy(F.col("file_path").alias("path")).agg(F.collect_set("start_line").alias("starts"))
+    found = lex_files(source_texts, starts).groupBy("path", "line").agg(*(F.min(c).alias(c) for c in ("comment", "literal", "code")))
     both = mine.join(found, (F.col("file_path") == F.col("path")) & (F.col("start_line") == F.col("line")), "left")
     doc = F.coalesce(*(F.when(~is_blank(c), F.col(c)) for c in ("docstring", "literal", "comment")))
     rows = both.withColumn("doc", doc).filter("doc IS NOT NULL").select("id", "name", "kind", "language", "signature", "code", "doc")

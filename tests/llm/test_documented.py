@@ -103,3 +103,12 @@ def test_unclosed_and_long_files(spark):
 
 def test_empty(spark):
     assert D.pairs(spark.createDataFrame([], SYM), spark.createDataFrame([], SRC)).count() == 0
+
+
+def test_code_without_a_comment_above(spark):
+    text = "class A {\n  @Override\n  public int f(int x) {\n    return x;\n  }\n\n  int g() { return 1; }\n}\n"
+    doc = "Gives back whatever number the caller passed along here."
+    S = "id string, name string, kind string, language string, signature string, docstring string, file_path string, start_line int"
+    symbols = [("s", "f", "method", "java", "f", doc, "a.java", 2), ("t", "g", "method", "java", "g", doc, "a.java", 7), ("u", "h", "method", "java", "h", doc, "none.java", 1)]
+    got = {r.id: r.code for r in D.pairs(spark.createDataFrame(symbols, S), spark.createDataFrame([("a.java", "java", text)], "path string, language string, content string")).collect()}
+    assert got == {"s": "  @Override\n  public int f(int x) {\n    return x;\n  }", "t": "  int g() { return 1; }", "u": None}
