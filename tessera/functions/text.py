@@ -171,9 +171,10 @@ def strip_docstring(c: Column | str) -> Column:
     return F.when(col(c).contains("\n"), F.concat(head, F.lit("\n"), tail)).otherwise(col(c))
 
 
-def prepare_code(c: Column | str, language: Column | str, most: int = 4000) -> Column:
+def prepare_code(c: Column | str, language: Column | str, most: int | None = 4000) -> Column:
     body = F.when(F.lower(col(language)) == "python", strip_docstring(c)).otherwise(col(c))
-    return F.left(F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit(most))
+    bare = F.regexp_replace(body, r"^\s+|\s+$", "")
+    return bare if most is None else F.left(bare, F.lit(most))
 
 
 def strip_quotes(c: Column | str) -> Column:

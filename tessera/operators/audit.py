@@ -21,8 +21,17 @@ def threshold(kind: str = "kind", base: float = THRESHOLD, by_kind: dict[str, fl
     return out
 
 
-def scores(symbols: DataFrame, code: DataFrame, min_chars: int = 0, min_code: int = MIN_CODE, max_code: int = MAX_CODE) -> DataFrame:
-    """id, semantic_score, skip_reason of the symbols with documentation and code (code: id, code)."""
+def whole_code(chunks: DataFrame) -> DataFrame:
+    """id, code: all parts of a symbol by chunk_part_index; of the later ones the lines below BODY:. Parts of equal text count once."""
+    one = chunks.filter("symbol_id IS NOT NULL AND text IS NOT NULL").groupBy("symbol_id", "chunk_id").agg(F.min(F.struct(F.coalesce("chunk_part_index", F.lit(0)).alias("i"), "text")).alias("r"))
+    parts = one.groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("r.i", "chunk_id", "r.text"))).alias("parts"))
+    texts = F.array_distinct(F.transform("parts", lambda p: p.text))
+    body = lambda t: F.when(t.contains("\nBODY:\n"), F.regexp_replace(t, r"(?s)^.*?\nBODY:\n", "")).otherwise(t)
+    return parts.select(F.col("symbol_id").alias("id"), F.array_join(F.transform(texts, lambda t, i: F.when(i == 0, t).otherwise(body(t))), "\n").alias("code"))
+
+
+def scores(symbols: DataFrame, code: DataFrame, min_chars: int = 0, min_code: int = MIN_CODE, max_code: int | None = MAX_CODE) -> DataFrame:
+    """id, semantic_score, skip_reason of the symbols with documentation and code (code: id, code; max_code None: the whole code)."""
     has = F.coalesce("docstring", F.lit("")) != ""
     rows = one_per_id(symbols).filter(has).select("id", "docstring", "language").join(code.select("id", "code").dropDuplicates(["id"]), "id", "left").withColumn("cleaned", prepare_code("code", "language", max_code))
     n_doc, n_code = F.length(F.trim("docstring")), F.length(F.trim("cleaned"))

@@ -256,9 +256,8 @@ def audit_missing(spark, d):
 
 @query()
 def audit_similarity(spark, d):
-    code = load(spark, d, "chunks").filter("symbol_id IS NOT NULL").groupBy(F.col("symbol_id").alias("id")).agg(F.min("text").alias("code"))
     s = load(spark, d, "symbols")
-    return A.audit(s, A.scores(s, code)).select("symbol_id", F.array_join("warnings", ";").alias("warnings"), F.round("semantic_score", 6).alias("semantic_score"), "skip_reason")
+    return A.audit(s, A.scores(s, A.whole_code(load(spark, d, "chunks")), max_code=None)).select("symbol_id", F.array_join("warnings", ";").alias("warnings"), F.round("semantic_score", 6).alias("semantic_score"), "skip_reason")
 
 
 @query(f"""WITH {_SYM}, a AS (SELECT id, file_path, CASE WHEN regexp_matches(file_path, '/src/') THEN 'src' WHEN regexp_matches(file_path, '/tests/') THEN 'tests' WHEN regexp_matches(file_path, '/scripts/') THEN 'scripts' ELSE 'other' END AS c

@@ -162,3 +162,14 @@ def test_line_packing_equals_the_plain_fold():
         rows = [r.choice(["", "  ", "x" * r.randrange(30), " é" * r.randrange(9), "\ty "]) for _ in range(r.randrange(1, 25))]
         most = r.randrange(5, 90)
         assert C.pack_lines(rows, 7, 3, most) == plain(rows, 7, 3, most)
+
+
+def test_audit_scores_whole_code(spark):
+    ddl = "symbol_id string, chunk_id string, chunk_part_index int, text string"
+    long = "x" * 5000
+    rows = [("s", "2", 2, "h\nBODY:\na = 2"), ("s", "1", 1, "h\nBODY:\nz = 1"), ("s", "1", 1, "h\nBODY:\nz = 1"), ("s", "10", 10, f"h\nBODY:\n{long} end"), (None, "3", 1, "no")]
+    code = A.whole_code(spark.createDataFrame(rows, ddl))
+    assert [tuple(r) for r in code.collect()] == [("s", f"h\nBODY:\nz = 1\na = 2\n{long} end")]
+    s = spark.createDataFrame([("s", "some documentation", "go", "c")], "id string, docstring string, language string, commit_hash string")
+    whole, cut = (A.scores(s, code, max_code=m).first().semantic_score for m in (None, 4000))
+    assert whole != cut
