@@ -21,7 +21,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_texts(load(spark, sf_dir, "chunks"), with_text=False).filter("part_total > 1").select("chunk_id").distinct()
+    return splitting.oversized_texts(load(spark, sf_dir, "chunks"))
 
 
 def p6_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

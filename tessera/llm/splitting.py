@@ -10,7 +10,7 @@ offsets: the bytes of each range that they touch, put together in order.
 
 Boundaries, strongest first: the line of a definition without indentation, of any definition, a line after a blank one, a line with less
 indentation than the one before, any other line; in lines longer than `grain` bytes the first word of each grain; in words longer than that the
-first character of each grain.
+first character of each grain, and in blank runs longer than that the first blank of each grain.
 
 Overlap: a piece begins with the last segments before its cut, at most `overlap` of the limit, from a line's begin if there is one.
 
@@ -109,9 +109,12 @@ def boundaries(part: bytes, before: int, at: int, size: int, grain: int) -> list
         from_ = s if i or whole else s - grain - 1  # the begin of a part stands deep in its line
         if e - from_ <= grain or e <= before:
             continue
-        last = s
+        last = last_end = s
         for w in _WORD.finditer(part, s, e):
             p, q = w.span()
+            if p - last_end > grain:
+                marks.update((g - at + before, 1) for g in range(-(-(at - before + last_end + 1) // grain) * grain, at - before + p, grain))
+            last_end = q
             if p - from_ > grain and (at - before + p) // grain != (at - before + last) // grain:
                 marks.setdefault(p, 1)
             last = p
@@ -122,6 +125,8 @@ def boundaries(part: bytes, before: int, at: int, size: int, grain: int) -> list
                         k += 1
                     if k < q:
                         marks.setdefault(k, 0)
+        if e - last_end > grain:
+            marks.update((g - at + before, 1) for g in range(-(-(at - before + last_end + 1) // grain) * grain, at - before + e, grain))
     return sorted((p, k) for p, k in marks.items() if p >= before)
 
 
@@ -179,18 +184,32 @@ def _per_range(rows: DataFrame, pick, ddl: str) -> DataFrame:
     return rows.mapInArrow(run, ddl)
 
 
+def _measured_once(ranges: DataFrame, words: int, limit: int, size: int) -> DataFrame:
+    # the ranges of a long item go to other tasks; items of one range stay where they are
+    one, several = ranges.filter(F.col("length") <= size), ranges.filter(F.col("length") > size).repartition("item", "at")
+    return measured(one, words, limit, size).unionByName(measured(several, words, limit, size)).dropDuplicates(["item", "at"])
+
+
+def oversized(rows: DataFrame, words: int = WORDS, limit: int = BYTES) -> DataFrame:
+    """item, id, length, total, words of the measured items that are over a limit."""
+    totals = rows.groupBy("item").agg(F.min("id").alias("id"), F.max("length").alias("length"), F.sum("cost").alias("total"), F.sum("words").alias("words"))
+    return totals.filter((F.col("words") > words) | (F.col("length") > limit))
+
+
+def oversized_texts(items: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = WORDS, limit: int = BYTES, size: int = RANGE) -> DataFrame:
+    """The ids of the items over a limit."""
+    rows = _measured_once(ranges_of_texts(items, id_col, text_col, size), words, limit, size).drop("segs", "own")
+    return oversized(rows, words, limit).select(F.col("id").alias(id_col)).distinct()
+
+
 def pieces(ranges: DataFrame, words: int = WORDS, limit: int = BYTES, overlap: float = OVERLAP, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """(pieces, ranges): item, id, part_index (from 1), part_total, from_byte (with overlap), start_byte, end_byte of every oversized item."""
     scratch = Scratch(ranges.sparkSession, "split")
-    # the ranges of a long item go to other tasks; items of one range stay where they are
-    one, several = ranges.filter(F.col("length") <= size), ranges.filter(F.col("length") > size).repartition("item", "at")
-    found = measured(one, words, limit, size).unionByName(measured(several, words, limit, size))
-    rows = scratch.cut(found.dropDuplicates(["item", "at"]), "ranges")
+    rows = scratch.cut(_measured_once(ranges, words, limit, size), "ranges")
     before = Window.partitionBy("item").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.select("item", "at", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("base"))
     room, ov = UNIT * (1 - SLACK - overlap), int(UNIT * overlap)
-    totals = rows.groupBy("item").agg(F.min("id").alias("id"), F.max("length").alias("length"), F.sum("cost").alias("total"), F.sum("words").alias("words"))
-    over = totals.filter((F.col("words") > words) | (F.col("length") > limit)).select("item", "id", "length", "total", F.ceil(F.col("total") / room).cast("long").alias("m"))
+    over = oversized(rows, words, limit).select("item", "id", "length", "total", F.ceil(F.col("total") / room).cast("long").alias("m"))
     here = rows.select("item", "at", "segs", "cost").join(base, ["item", "at"]).join(over.select("item", "total", "m"), "item")
 
     def cuts_in(r: dict, places: list) -> Iterator[tuple]:

@@ -77,3 +77,10 @@ def test_cuts_prefer_definitions(spark):
 
 def test_empty(spark):
     assert S.split_texts(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_long_blank_runs(spark):
+    texts = {"a": "HEADER\nBODY:\nx" + " " * 13000 + "y", "b": "x " + "\t" * 30000, "c": " " * 12000, "d": " " * 12001}
+    items = spark.createDataFrame([(i, t, "f") for i, t in texts.items()], DDL)
+    check(S.split_texts(items).collect(), texts, S.WORDS, S.BYTES, S.OVERLAP)
+    assert {r.chunk_id for r in S.oversized_texts(items).collect()} == {"a", "b", "d"}
