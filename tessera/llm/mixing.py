@@ -14,7 +14,9 @@ Total size: by default the largest for which every source that has documents can
 may be asked for; sources that can't reach their weight then come out at their cap, and the report says so. A source without documents
 contributes nothing; the weights of the others are reached relative to each other, and the report has both shares.
 
-Defined cases: null ids or texts are left out; an empty text has no tokens and no repeats. Copies under other ids count as documents.
+Defined cases: null ids or texts are left out; an empty text has no tokens and no repeats. Equal texts are one document, whatever their ids: caps,
+tokens and most_repeats are per text, and its repeats are handed to its ids in turn. Of a text with several sources that with the smallest cap counts (of
+equal caps, the smallest name), and it has none without a source beside it. The classifier learns from all rows.
 Targets with a null source, or a null or non-positive weight, are left out, repeated ones counted once with the smallest cap; a null cap is 1. Empty tables give empty results; further columns are ignored.
 """
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.token_counts import VOCABULARY, count
@@ -88,11 +90,29 @@ def members(docs: DataFrame, sources: list[str], model: np.ndarray, id_col: str,
             texts, labels = b.column("text").to_pylist(), b.column("source").to_pylist()
             known = [s if s in where else None for s in labels]
             soft = [None if s else posterior(shared.value, t, seen).tolist() for s, t in zip(known, texts)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(known, pa.string()), pa.array([count(t, vocabulary) for t in texts], pa.int64()), pa.array(soft, pa.list_(pa.float64())), b.column("u")], ["doc_id", "source", "tokens", "soft", "u"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(known, pa.string()), pa.array([count(t, vocabulary) for t in texts], pa.int64()), pa.array(soft, pa.list_(pa.float64())), b.column("u"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], ["doc_id", "source", "tokens", "soft", "u", "text_key"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(BINS * BINS)))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, source string, tokens bigint, soft array<double>, u bigint")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, source string, tokens bigint, soft array<double>, u bigint, text_key binary")
+
+
+def _texts(rows: DataFrame, sources: list[str], caps: np.ndarray) -> DataFrame:
+    """One row per text: source (null if none is known), doc_id and u of its smallest id there, copies (ids there), tokens, soft, text_key."""
+    plan = rows.sparkSession.createDataFrame([(s, int(c)) for s, c in zip(sources, caps)], "source string, cap int")
+    each = rows.groupBy("text_key", "source").agg(F.min(F.struct("doc_id", "u")).alias("d"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("soft").alias("soft"))
+    best = each.join(F.broadcast(plan), "source", "left").groupBy("text_key").agg(F.min(F.struct(F.coalesce("cap", F.lit((1 << 31) - 1)).alias("cap"), "source", "d", "copies", "tokens", "soft")).alias("b"))
+    return best.select("b.d.doc_id", "b.source", "b.tokens", "b.soft", "b.d.u", "text_key", "b.copies")
+
+
+def _hand_out(chosen: DataFrame, texts: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """The repeats of each text, given to its ids in turn."""
+    t = chosen.join(texts.select("doc_id", "text_key", "copies"), "doc_id").drop("doc_id").withColumnRenamed("source", "of")
+    order = Window.partitionBy("text_key", "source").orderBy("doc_id")
+    ids = rows.select("text_key", "source", "doc_id").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most)
+    mine = (F.floor(F.col("repeats") / F.col("copies")) + (F.col("i") <= F.col("repeats") % F.col("copies")).cast("int")).cast("int")
+    both = t.join(ids, "text_key").filter(F.col("of").eqNullSafe(F.col("source")))
+    return both.select("doc_id", "source", "tokens", mine.alias("repeats")).filter("repeats > 0")
 
 
 def _rates(soft: np.ndarray, steps: np.ndarray, start: float) -> np.ndarray:
@@ -153,7 +173,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
         return spark.createDataFrame([], f"doc_id {kind}, source string, tokens bigint, repeats int"), spark.createDataFrame([], REPORT)
     weight /= max(weight.sum(), 1e-300)
     model = learn(docs, sources, text_col, source_col)
-    rows = scratch.cut(members(docs, sources, model, id_col, text_col, source_col, vocabulary), "members")
+    every = scratch.cut(members(docs, sources, model, id_col, text_col, source_col, vocabulary), "members")
+    rows = scratch.cut(_texts(every, sources, caps), "texts")
     have = {r.source: r.t for r in rows.filter("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row per source
     labelled = np.array([have.get(s, 0) for s in sources], float)
     full = labelled > 0
@@ -221,4 +242,4 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     all_tokens = both.agg(F.sum(F.col("labelled_tokens") + F.col("soft_tokens")).alias("all_tokens"))
     report = both.withColumn("__k", F.lit(1)).join(F.broadcast(all_tokens.withColumn("__k", F.lit(1))), "__k").drop("__k")
     share = F.coalesce((F.col("labelled_tokens") + F.col("soft_tokens")) / F.nullif("all_tokens", F.lit(0)), F.lit(0.0))
-    return chosen, report.select("source", "weight", "max_repeats", F.round("reachable_weight", 6).alias("reachable_weight"), "available_tokens", "labelled_tokens", F.round("soft_tokens", 3).alias("soft_tokens"), F.round(share, 6).alias("share"), "most_repeats")
+    return _hand_out(chosen, rows, every, max(1, int(caps.max()))), report.select("source", "weight", "max_repeats", F.round("reachable_weight", 6).alias("reachable_weight"), "available_tokens", "labelled_tokens", F.round("soft_tokens", 3).alias("soft_tokens"), F.round(share, 6).alias("share"), "most_repeats")

@@ -73,3 +73,15 @@ def test_nulls_and_empty(spark):
     chosen, rep = run(spark, rows, TARGETS + [(None, 0.5, 1, 0.0), ("a", None, 1, 0.0), ("b", 0.4, None, 0.0)])
     assert {r.doc_id for r in chosen} <= {r[0] for r in rows} - {None, 900, 901} and rep["b"].max_repeats == 1
     assert run(spark, [], TARGETS)[0] == [] and run(spark, docs(5), [])[0] == []
+
+
+def test_copies_of_a_text_share_its_cap(spark):
+    copied = "b1 b2 b3 b4 b5 b6 b7 the of and"
+    rows = [r for r in docs(60, 4, 0) if r[2] == "b"] + [(1000 + i, copied, "b", "b") for i in range(60)] + [(2000 + i, copied, s, "b") for i, s in enumerate([None, None, "c"])]
+    chosen, rep = run(spark, rows, [("b", 1.0, 2, 0.0)])
+    text, times = {r[0]: r[1] for r in rows}, {}
+    for r in chosen:
+        times[text[r.doc_id]] = times.get(text[r.doc_id], 0) + r.repeats
+    assert len({r.doc_id for r in chosen}) == len(chosen)
+    assert set(times.values()) == {2} and set(times) == set(text.values()) and rep["b"].most_repeats == 2
+    assert rep["b"].labelled_tokens == 2 * rep["b"].available_tokens
