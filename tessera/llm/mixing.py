@@ -11,7 +11,7 @@
    are read from token sums by hash bin, refined once within the bin that is cut; the gap that is left goes to the one document that fills it best.
 
 Total size: by default the largest for which every source that has documents can reach its weight within its cap. A larger total
-may be asked for; sources that can't reach their weight then come out at their cap, and the report says so. A source without documents
+may be asked for ("labelled": all tokens of labelled texts); sources that can't reach their weight then come out at their cap, and the report says so. A source without documents
 contributes nothing; the weights of the others are reached relative to each other, and the report has both shares.
 
 Defined cases: null ids or texts are left out; an empty text has no tokens and no repeats. Equal texts are one document, whatever their ids: caps,
@@ -158,7 +158,7 @@ def fit(loose: DataFrame, labelled: np.ndarray, target: np.ndarray, caps: np.nda
     return rho, steps, start
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(chosen, report). chosen: doc_id, source, tokens, repeats (at least 1). report: one row per source.
 
     report: source, weight, max_repeats, reachable_weight (relative to the sources that have documents), available_tokens, labelled_tokens, soft_tokens
@@ -178,7 +178,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     have = {r.source: r.t for r in rows.filter("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row per source
     labelled = np.array([have.get(s, 0) for s in sources], float)
     full = labelled > 0
-    total = float(total_tokens) if total_tokens else float((caps * labelled / weight)[full].min()) * weight[full].sum() if full.any() else 0.0
+    total = labelled.sum() if total_tokens == "labelled" else float(total_tokens) if total_tokens else float((caps * labelled / weight)[full].min()) * weight[full].sum() if full.any() else 0.0
     target = np.where(full, weight / max(weight[full].sum(), 1e-300) * total, 0.0)
     loose = rows.filter("source IS NULL").select("doc_id", "tokens", "soft", "u")
     rho, steps, start = fit(loose, labelled, target, caps)

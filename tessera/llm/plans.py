@@ -44,6 +44,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached if as many tokens are asked for as the labelled texts have, so that small sources come to their caps."""
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), total_tokens="labelled")[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alikes(load(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p8_full_shares, p9_found, p9_groups)}
 SQL = {
     "p6_found": r"""SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND (octet_length(encode(text)) > 12000
       OR len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')) > 512)""",

@@ -85,3 +85,9 @@ def test_copies_of_a_text_share_its_cap(spark):
     assert len({r.doc_id for r in chosen}) == len(chosen)
     assert set(times.values()) == {2} and set(times) == set(text.values()) and rep["b"].most_repeats == 2
     assert rep["b"].labelled_tokens == 2 * rep["b"].available_tokens
+
+
+def test_all_labelled_tokens_as_total(spark):
+    rows = [r for r in docs(60, 4, 0) if r[2] == "b"]
+    _, rep = run(spark, rows, [("b", 1.0, 3, 0.0)], total_tokens="labelled")
+    assert rep["b"].labelled_tokens == rep["b"].available_tokens and rep["b"].most_repeats == 1
