@@ -1,12 +1,16 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants and circles.
 
-Method: frontier joins, one level per step, start at the roots and extend path and depth of each node; the
-ancestor list of a node yields its (ancestor, descendant) pairs. Nodes that no frontier reaches lie on a circle,
-lead into one, or sit deeper than `levels`; pointer doubling over those few tells the three apart in log(n) steps.
-
-Every table between two steps is written to the shared folder, so a step's plan is short and a lost executor costs
-one step. A frontier that is small by its file size is broadcast by the planner; a large one is sort-merged, and AQE
-splits the task of a parent with very many children (the parent side has one row per key).
+Method: frontier joins, level by level, start at the roots and extend path and depth of each node until no node is left below the frontier.
+Nodes that no frontier reaches lie on a circle or lead into one: pointer doubling over those few finds the circles, and frontiers that start there
+reach what leads in. Ancestor pairs yield the descendants: the pairs at the largest distance so far are joined with all pairs, so each pair is made once and
+the rounds are the logarithm of the depth.
+
+Every level is written to the shared folder, so a step's plan is short and a lost executor costs one step. A frontier that is small by its file size
+is broadcast by the planner; a large one is sort-merged, and AQE splits the task of a parent with very many children (the parent side has one row
+per key). When half of the links that a step reads are behind the frontier they are left out of the next ones, so all steps together read the links about
+twice. Chains deeper than PATIENCE levels are rare and thin, so a step per level would cost more than its rows: from there on a hop may bridge several
+levels (the links joined with themselves, as long as they stay under ROWS or the number of links), and a frontier join extends paths and depths
+by all of them at once.
 
 Defined cases: rows with a null id are left out. Rows repeated under one id count once, with the smallest non-null
 parent and name. A null, blank or unknown parent makes a root. A node that is its own parent is a circle of one.
@@ -15,12 +19,13 @@ An empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.runtime import Scratch, is_blank
 
-LEVELS = 12
+#: Levels joined one by one before hops may bridge several; steps between two widenings; rows that the widened hops may have at least.
+PATIENCE, STEPS, ROWS = 64, 8, 1 << 23
 
 
 def parent_links(nodes: DataFrame, id_col: str = "id", parent_col: str = "container_id", name_col: str = "name") -> DataFrame:
@@ -33,88 +38,108 @@ def parent_links(nodes: DataFrame, id_col: str = "id", parent_col: str = "contai
     return one.join(ids, one.parent == ids.pid, "left").select("id", F.col("pid").alias("parent"), "name")
 
 
-def _grow(scratch: Scratch, links: DataFrame, frontier: DataFrame, label: str, levels: int | None, paths: bool, step: int) -> list[DataFrame]:
-    """Tables of the levels below `frontier` (columns id, root_id, depth and, with paths, path and above)."""
-    found = []
-    while levels is None or len(found) < levels:
-        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", *(["path", "above"] if paths else []))
-        down = links.filter("parent IS NOT NULL").join(up, "parent").select(
-            "id", "root_id", (F.col("depth") + step).cast("int").alias("depth"),
-            *([F.concat_ws(".", "path", F.coalesce("name", F.lit("?"))).alias("path"), F.concat("above", F.array("parent")).alias("above")] if paths else []),
-        )
-        frontier, n = scratch.counted(down, f"{label}{len(found)}")
-        if not n:
-            return found
-        found.append(frontier)
-    return found
+def _hops(links: DataFrame, paths: bool) -> DataFrame:
+    """(top, id, parent, dist and, with paths, names): top is `dist` levels above id, names are those below top down to id."""
+    return links.filter("parent IS NOT NULL").select(F.col("parent").alias("top"), "id", "parent", F.lit(1).alias("dist"), *([F.coalesce("name", F.lit("?")).alias("names")] if paths else []))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _widened(hops: DataFrame, reach: int, paths: bool) -> DataFrame:
+    """Hops of up to twice the reach: the longest ones joined with all that begin where they end."""
+    long = hops.filter(F.col("dist") == reach).select("top", F.col("id").alias("mid"), *([F.col("names").alias("upper")] if paths else []))
+    far = long.join(hops.withColumnRenamed("top", "mid"), "mid").select("top", "id", "parent", (F.col("dist") + reach).alias("dist"), *([F.concat_ws(".", "upper", "names").alias("names")] if paths else []))
+    return hops.unionByName(far)
 
 
-def _double(scratch: Scratch, rest: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deep, loops) of the nodes that no frontier reached.
+def _grow(scratch: Scratch, links: DataFrame, frontier: DataFrame, label: str, left: int, paths: bool, step: int, patience: int, rows: int) -> tuple[DataFrame | None, int]:
+    """(all that hangs below `frontier`, how many of the `left` links no frontier reached).
 
-    deep: id, root_id, depth of those that hang below a reached node. loops: id, root_id, depth -1 or -2.
+    frontier: id, root_id, depth and, with paths, path and n_above. The result also has parent.
     """
-    top = reached.select(F.col("id").alias("jump"), F.col("root_id").alias("r"), F.col("depth").alias("d"))
-    now = scratch.cut(
-        rest.select("id", F.col("parent").alias("jump")).withColumn("low", F.least("id", "jump")).join(top, "jump", "left")
-        .select("id", "jump", "low", F.lit(1).cast("long").alias("steps"), F.col("r").alias("root_id"), (F.col("d") + 1).cast("int").alias("depth")), "jump0")
+    hops, reach, steps, k, held, since, room = _hops(links, paths), 1, 0, 0, left, [], max(left, rows)
+    extra = ["path", "n_above"] if paths else []
+    while left:
+        up = frontier.select(F.col("id").alias("top"), "root_id", "depth", *extra)
+        down = hops.join(up, "top").select(
+            "id", "parent", "root_id", (F.col("depth") + F.col("dist") * step).cast("int").alias("depth"), (F.col("dist") == reach).alias("edge"),
+            *([F.concat_ws(".", "path", "names").alias("path"), (F.col("n_above") + F.col("dist")).cast("int").alias("n_above")] if paths else []),
+        )
+        seen = Observation()
+        found = scratch.cut(down.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edge")), f"{label}/{k:06d}")
+        got, k, steps = seen.get, k + 1, steps + 1
+        left -= got["n"]
+        if not got["edge"]:
+            break
+        frontier = found.filter("edge")
+        since.append(found)
+        widen = k >= patience and (reach == 1 or steps >= STEPS) and 2 * reach * left * (max(1, reach // 8) if paths else 1) <= room
+        if left and (left * 2 <= held or widen):
+            behind = scratch.several([f"{label}/{i:06d}" for i in range(k - len(since), k)], found.schema).select("id")
+            hops, held, since = hops.join(behind, "id", "left_anti"), left, []
+            if widen:
+                hops, reach, steps = _widened(hops, reach, paths), reach * 2, 0
+            hops = scratch.cut(hops, f"{label}-hops/{k:06d}")
+    return (scratch.several([f"{label}/{i:06d}" for i in range(k)], found.schema).drop("edge") if k else None), left
+
+
+def _circles(scratch: Scratch, rest: DataFrame) -> DataFrame:
+    """(id, parent, root_id) of the nodes on circles; `rest` (id, parent) holds circles and what leads into them, so each parent is in it."""
+    now = scratch.cut(rest.select("id", "parent", F.col("parent").alias("jump"), F.least("id", "parent").alias("low")), "jump0")
     k, before = 0, None
     while True:
-        open_, done = now.filter("root_id IS NULL"), now.filter("root_id IS NOT NULL")
-        stat = open_.agg(F.count("*").alias("n"), F.count_distinct("jump").alias("images"), F.sum(F.xxhash64("low").cast("decimal(38,0)")).alias("lows")).first()
-        if stat.n == 0 or (stat.n, stat.images, stat.lows) == before:
+        stat = now.agg(F.count_distinct("jump").alias("images"), F.sum(F.xxhash64("low").cast("decimal(38,0)")).alias("lows")).first()
+        if (stat.images, stat.lows) == before:
             break  # with steady images and minima every jump ends on a circle and every low covers it
-        before, k = (stat.n, stat.images, stat.lows), k + 1
-        over = now.select(F.col("id").alias("jump"), F.col("jump").alias("j2"), F.col("low").alias("l2"), F.col("steps").alias("s2"), F.col("root_id").alias("r2"), F.col("depth").alias("d2"))
-        moved = open_.join(over, "jump").select(
-            "id", F.col("j2").alias("jump"), F.least("low", "l2").alias("low"), (F.col("steps") + F.col("s2")).alias("steps"),
-            F.col("r2").alias("root_id"), (F.col("d2") + F.col("steps")).cast("int").alias("depth"))
-        now = scratch.cut(done.unionByName(moved), f"jump{k}")
-    on = open_.select(F.col("jump").alias("id")).distinct()
-    lows = open_.join(on, "id", "left_semi").select(F.col("id").alias("jump"), F.col("low").alias("root_id"))
-    loops = open_.select("id", "jump").join(lows, "jump").join(on.withColumn("hit", F.lit(True)), "id", "left").select("id", "root_id", F.when(F.col("hit"), -1).otherwise(-2).cast("int").alias("depth"))
-    return done.select("id", "root_id", "depth"), loops
+        before, k = (stat.images, stat.lows), k + 1
+        over = now.select(F.col("id").alias("jump"), F.col("jump").alias("j2"), F.col("low").alias("l2"))
+        now = scratch.cut(now.join(over, "jump").select("id", "parent", F.col("j2").alias("jump"), F.least("low", "l2").alias("low")), f"jump{k}")
+        scratch.drop(f"jump{k - 1}")
+    on = now.select(F.col("jump").alias("id")).distinct()
+    return now.join(on, "id", "left_semi").select("id", "parent", F.col("low").alias("root_id"))
 
 
-def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "container_id", name_col: str = "name", paths: bool = True, levels: int = LEVELS) -> DataFrame:
-    """One row per id: id, parent, root_id, depth and, with paths, path (names joined by a full stop) and above (ancestor ids, topmost first).
+def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "container_id", name_col: str = "name", paths: bool = True, patience: int = PATIENCE, rows: int = ROWS) -> DataFrame:
+    """One row per id: id, parent, root_id, depth and, with paths, path (names joined by a full stop) and n_above (how many names are before its own).
 
     depth is the number of steps to the root; -1 on a circle, -2 where the id leads into one; root_id is then the
-    smallest id on the circle. Path and above of an id that leads into a circle begin at the circle.
+    smallest id on the circle. The path of an id that leads into a circle begins at the circle, that of one on a circle is its name.
     """
     scratch = Scratch(nodes.sparkSession, "tree")
-    links = scratch.cut(parent_links(nodes, id_col, parent_col, name_col), "links")
-    first = lambda df, depth: df.select("id", "root_id", F.lit(depth).cast("int").alias("depth"), *([F.coalesce("name", F.lit("?")).alias("path"), F.array().cast("array<string>").alias("above")] if paths else []))
+    seen = Observation()
+    links = scratch.cut(parent_links(nodes, id_col, parent_col, name_col).observe(seen, F.count("parent").alias("n")), "links")
+    name = F.coalesce("name", F.lit("?")).alias("path")
+    first = lambda df, depth: df.select("id", "parent", "root_id", F.lit(depth).cast("int").alias("depth"), *([name, F.lit(0).alias("n_above")] if paths else []))
     roots = first(links.filter("parent IS NULL").withColumn("root_id", F.col("id")), 0)
-    below = _grow(scratch, links, roots, "level", levels, paths, 1)
-    reached = _union([roots, *below])
-    rest, n_rest = scratch.counted(links.filter("parent IS NOT NULL").join(reached.select("id"), "id", "left_anti"), "rest")
-    parts = [reached]
-    if n_rest:
-        deep, loops = _double(scratch, rest, reached)
-        if not paths:
-            parts += [deep, loops]
-        else:
-            on = scratch.cut(loops.filter("depth = -1").select("id", "root_id").join(links.select("id", "name"), "id"), "circles")
-            rings = first(on, -1)
-            entry = first(on, -2)
-            inner = rest.join(on.select("id"), "id", "left_anti")
-            parts += [rings, *_grow(scratch, inner, entry, "tail", None, paths, 0)]
-            if len(below) == levels:
-                parts += _grow(scratch, inner, below[-1], "deep", None, paths, 1)
-    return _union(parts).join(links.select("id", "parent"), "id")
+    below, left = _grow(scratch, links, roots, "level", seen.get["n"], paths, 1, patience, rows)
+    out = roots if below is None else roots.unionByName(below)
+    if not left:
+        return out
+    rest = links.filter("parent IS NOT NULL")
+    rest = scratch.cut(rest if below is None else rest.join(below.select("id"), "id", "left_anti"), "rest")
+    seen = Observation()
+    on = _circles(scratch, rest)
+    on = scratch.cut((on.join(rest.select("id", "name"), "id") if paths else on).observe(seen, F.count(F.lit(1)).alias("n")), "circles")
+    rings, entry = first(on, -1), first(on, -2)
+    tails, _ = _grow(scratch, rest.join(on.select("id"), "id", "left_anti"), entry, "tail", left - seen.get["n"], paths, 0, patience, rows)
+    out = out.unionByName(rings)
+    return out if tails is None else out.unionByName(tails)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, distance) from the ancestor lists of `hierarchy(paths=True)`."""
-    return tree.select(F.posexplode("above").alias("i", "ancestor_id"), F.col("id").alias("descendant_id"), F.size("above").alias("n")).select("ancestor_id", "descendant_id", (F.col("n") - F.col("i")).cast("int").alias("distance"))
+    """(ancestor_id, descendant_id, distance) of the rows of `hierarchy`: every id with all ids inside it.
+
+    What leads into a circle is below the circle's id where it enters; ids on a circle have no ancestors.
+    """
+    scratch = Scratch(tree.sparkSession, "descendants")
+    links = tree.filter("parent IS NOT NULL AND depth <> -1").select(F.col("parent").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(1).alias("distance"))
+    every, n = scratch.counted(links, "pairs/00")
+    reach, k = 1, 0
+    while n:
+        long = every.filter(F.col("distance") == reach).select("ancestor_id", F.col("descendant_id").alias("mid"))  # one row per mid
+        far = long.join(every.withColumnRenamed("ancestor_id", "mid"), "mid").select("ancestor_id", "descendant_id", (F.col("distance") + reach).alias("distance"))
+        k += 1
+        _, n = scratch.counted(far, f"pairs/{k:02d}")
+        every, reach = scratch.several([f"pairs/{i:02d}" for i in range(k + 1)], links.schema), 2 * reach
+    return every
 
 
 def circles(tree: DataFrame) -> DataFrame:

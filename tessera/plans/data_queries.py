@@ -14,11 +14,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.hierarchy(load(spark, sf_dir, "symbols")).selectExpr("id", "root_id", "depth", "path", "size(above) AS n_above")
+    return H.hierarchy(load(spark, sf_dir, "symbols")).select("id", "root_id", "depth", "path", "n_above")
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.descendants(H.hierarchy(load(spark, sf_dir, "symbols")))
+    return H.descendants(H.hierarchy(load(spark, sf_dir, "symbols"), paths=False))
 
 
 def p1_circles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,10 @@ class Scratch:
         out = self.cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
         return out, seen.get["n"]
 
+    def several(self, names: list[str], schema) -> DataFrame:
+        """Tables of one schema that were written before, as one scan."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{n}" for n in names))
+
     def drop(self, name: str) -> None:
         """For a table that no later plan reads."""
         _delete(self.spark, f"{self.root}/{name}")

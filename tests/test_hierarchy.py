@@ -27,24 +27,36 @@ def table(spark, parent):
     return spark.createDataFrame([(k, v, f"n{k}", "x", "y", "z") for k, v in parent.items()], DDL)
 
 
-@pytest.mark.parametrize("levels,paths", [(2, False), (2, True), (32, False), (32, True)])
-def test_against_brute_force(spark, levels, paths):
-    rng = random.Random(levels * 2 + paths)
+@pytest.mark.parametrize("patience,paths", [(2, False), (2, True), (64, False), (64, True)])
+def test_against_brute_force(spark, patience, paths):
+    rng = random.Random(patience * 2 + paths)
     ids = [f"{i:03d}" for i in range(120)]
     parent = {x: rng.choice([None, " ", "", "gone", *ids, *ids[:4]]) for x in ids}
     parent |= {f"c{i:03d}": f"c{i + 1:03d}" for i in range(12)} | {"c012": None, "s": "s", "t": "s"}
-    rows = H.hierarchy(table(spark, parent), paths=paths, levels=levels).collect()
+    tree = H.hierarchy(table(spark, parent), paths=paths, patience=patience)
+    rows = tree.collect()
     assert {r.id: (r.root_id, r.depth) for r in rows} == brute(parent) and len(rows) == len(parent)
+    by = {r.id: r for r in rows}
+    above = {}
+    for r in rows:
+        x, above[r.id] = r, []
+        while x.parent and x.depth != -1:
+            x = by[x.parent]
+            above[r.id].append(x.id)
+    assert {r.id: r.parent for r in rows} == {k: v if v in parent else None for k, v in parent.items()}
+    got = H.descendants(tree).collect()
+    assert {(r.ancestor_id, r.descendant_id, r.distance) for r in got} == {(a, x, i + 1) for x, up in above.items() for i, a in enumerate(up)} and len(got) == sum(map(len, above.values()))
     if paths:
-        by = {r.id: r for r in rows}
         for r in rows:
-            if r.depth >= 0:
-                assert len(r.above) == r.depth and r.path.count(".") == r.depth
-                assert r.above == (by[r.parent].above + [r.parent] if r.parent else [])
-            elif r.depth == -1:
-                assert r.above == []
-            else:
-                assert by[r.above[0]].depth == -1 and r.above[-1] == r.parent
+            assert r.n_above == len(above[r.id]) and r.path == ".".join(f"n{a}" for a in [*above[r.id][::-1], r.id])
+
+
+def test_a_deep_chain_in_few_steps(spark):
+    n = 400
+    rows = spark.range(n).selectExpr("CAST(id AS STRING) AS id", "IF(id > 0, CAST(id - 1 AS STRING), NULL) AS container_id", "CAST(id % 7 AS STRING) AS name")
+    got = {r.id: r for r in H.hierarchy(rows, patience=6).collect()}
+    assert len(got) == n and all(r.depth == int(r.id) == r.n_above and r.root_id == "0" for r in got.values())
+    assert got["399"].path == ".".join(str(i % 7) for i in range(n))
 
 
 def test_descendants_and_circles(spark):
