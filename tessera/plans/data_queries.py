@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy as H
 from tessera.operators import orphans as O
@@ -41,7 +42,14 @@ def p4_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.orphan_keys(O.key_counts(*_orphan_tables(spark, sf_dir))).select("kind", "scope", "ref", "refs", "live", "removed")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circles, p4_found, p4_summary, p4_keys)}
+def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_found from counts that are kept over batches; the last one takes back what files lost that were removed in the later half of the changes."""
+    tables = _orphan_tables(spark, sf_dir)
+    middle = tables[-1].agg(F.floor((F.min("seq") + F.max("seq")) / 2).cast("long").alias("m")).first().m
+    return O.report_in_batches(*tables, upto_seq=middle or 0)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circles, p4_found, p4_summary, p4_keys, p4_batches)}
 
 _NODES = r"""
 RECURSIVE n AS (
@@ -103,6 +111,7 @@ SQL = {
     "p1_descendants": f"WITH {_NODES} {_ABOVE} SELECT * FROM up",
     "p1_circles": f"WITH {_NODES} SELECT root_id, count(*) FILTER (depth = -1) AS on_circle, count(*) FILTER (depth = -2) AS leading_in FROM f WHERE depth < 0 GROUP BY root_id",
     "p4_found": f"WITH {_ORPHANS} SELECT * FROM report WHERE state IS NOT NULL",
+    "p4_batches": f"WITH {_ORPHANS} SELECT * FROM report WHERE state IS NOT NULL",
     "p4_summary": f"WITH {_ORPHANS} SELECT table_name, period, state, count(*) AS n FROM report WHERE state IS NOT NULL GROUP BY ALL",
     "p4_keys": f"""WITH {_ORPHANS} SELECT r.kind, r.scope, r.ref, r.refs, coalesce(h.live, 0) AS live, coalesce(h.removed, 0) AS removed
       FROM (SELECT kind, scope, ref, count(*) AS refs FROM rec GROUP BY ALL) r LEFT JOIN have h ON r.kind = h.kind AND r.scope = h.scope AND r.ref = h.ref

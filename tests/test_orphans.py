@@ -77,9 +77,27 @@ def test_counts_continue_from_a_state(spark):
     whole = {tuple(r) for r in O.key_counts(ch, sy, co, ex, fc).collect()}
     refs = O.references(ch, sy, co, ex)
     first = O.apply_deltas(None, O.reference_deltas(refs), O.KEY)
-    assert {tuple(r) for r in O.apply_deltas(first, O.existence_deltas(sy, co, fc), O.KEY).collect()} == whole
-    minus = O.reference_deltas(refs).selectExpr("kind", "scope", "ref", "-refs AS refs", "live", "removed", "born", "asked")
-    assert O.apply_deltas(first, minus, O.KEY).count() == 0
+    both = O.apply_deltas(first, O.existence_deltas(O.existing(sy, co), O.removed_files(fc)), O.KEY)
+    assert {tuple(r) for r in O.key_totals(both, O.KEY).collect()} == whole
+    assert O.apply_deltas(first, O.reference_deltas(refs, -1), O.KEY).count() == 0
+
+
+def test_batches_with_removals_equal_one_pass(spark):
+    for seed in range(3):
+        data = make(seed + 20)
+        for upto in (-1, 25, 60):
+            rows = [tuple(r) for r in O.report_in_batches(*frames(spark, data), upto_seq=upto).collect()]
+            assert set(rows) == brute(*data) and len(rows) == len(set(rows))
+
+
+def test_the_removal_of_the_earliest_row_moves_the_time(spark):
+    """Rows born at 10 and 90, a reference at 50: in time until the first row is removed, late after that, in time when it comes back."""
+    sy = [("a", "n", "f", "r", "p1", None, None, "c10", 1), ("a", "n", "f", "r", "p2", None, None, "c90", 1)]
+    co, ch = [("c10", t(1)), ("c50", t(5)), ("c90", t(9))], [("k", "a", "c50", "x")]
+    for fc, want in (([], set()), ([(1, "deleted", "p1")], {"late"}), ([(1, "deleted", "p1"), (2, "added", "p1")], set()), ([(1, "deleted", "p1"), (2, "deleted", "p2")], {"deleted"})):
+        for upto in (0, 1):
+            got = O.report_in_batches(*frames(spark, (ch, sy, co, [], fc)), upto_seq=upto).collect()
+            assert {r.state for r in got} == want, (fc, upto)
 
 
 def test_empty(spark):
