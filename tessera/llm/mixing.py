@@ -1,20 +1,23 @@
 """Mixing sources to target weights with soft membership.
 
-1. A classifier learns the sources from the labelled table: naive Bayes over hashed words. Its counts are sums over all labelled documents,
+1. The texts are read once: tokens, a digest and the counts of hashed words of every document are written. Equal texts are one text from here on.
+2. A classifier learns the sources from the labelled table: naive Bayes over the hashed words of all labelled documents. Its counts are sums,
    one row per source and bucket, so neither its fit nor its size depends on how the documents are spread.
-2. A document with a known source belongs to it. One without (or with a source that has no target) belongs to the sources by the
-   classifier's posteriors, tempered by the number of its words.
-3. Nonnegative rates are fitted so that the expected tokens of every source meet its target: projected gradient descent on the squared
-   relative errors. Labelled documents of a source share their rate, so they enter as one sum per source; each round is one distributed pass over the
-   unlabelled documents, whose rates follow from the gradients so far. A rate is at most the source's max_repeats (1 for unlabelled documents).
-4. Rates become whole repeats: the whole part for all, and one more for the documents whose hash lies under a threshold. The thresholds
-   are read from token sums by hash bin, refined once within the bin that is cut; the gap that is left goes to the one document that fills it best.
-
-Total size: by default the largest for which every source that has documents can reach its weight within its cap. A larger total
-may be asked for ("labelled": all tokens of labelled texts); sources that can't reach their weight then come out at their cap, and the report says so. A source without documents
-contributes nothing; the weights of the others are reached relative to each other, and the report has both shares.
-
-Defined cases: null ids or texts are left out; an empty text has no tokens and no repeats. Equal texts are one document, whatever their ids: caps,
+3. Every text is a soft member of all sources: by the classifier's posteriors (tempered by the number of its words), of which a known source
+   takes TRUST and the posteriors the rest; a text without a source has the posteriors alone.
+4. Every text has its own nonnegative rate, at most the max_repeats of its source (1 without a source). Projected gradient descent fits the rates so
+   that the expected tokens of every source meet its target in the least-squares sense. A step is one vector with a number per source; a round is one distributed
+   pass that sums the expected tokens by source, and rates follow from the steps so far, so nothing is kept per text.
+5. Rates become whole repeats. A text without a source is drawn by its rate. Of a source's texts the j-th repeat joins at (j - u) / rate, u being the text's hash in
+   0..1; the repeats that join first are taken until the source has its tokens. The cut is read from token sums by bin, refined within the bin that is cut, and the
+   gap that is left is filled from a bounded list of texts of all sizes.
+
+Total size: by default as many tokens as all texts have. A source has attained its part if it has weight x total tokens; one whose texts don't suffice comes
+out at its cap, all its texts repeated max_repeats times, and the report says what is missing. Asked for are also "labelled" (tokens of labelled
+texts), "reachable" (the largest total at which every source that has texts attains its part; the scarcest source bounds it) or a number. A source without
+texts contributes nothing.
+
+Defined cases: null ids or texts are left out; an empty text has no tokens and no repeats. Equal texts are one text, whatever their ids: caps,
 tokens and most_repeats are per text, and its repeats are handed to its ids in turn. Of a text with several sources that with the smallest cap counts (of
 equal caps, the smallest name), and it has none without a source beside it. The classifier learns from all rows.
 Targets with a null source, or a null or non-positive weight, are left out, repeated ones counted once with the smallest cap; a null cap is 1. Empty tables give empty results; further columns are ignored.
@@ -34,9 +37,16 @@ from pyspark.sql import functions as F
 from tessera.llm.token_counts import VOCABULARY, count
 from tessera.runtime import Scratch
 
-BUCKETS, ROUNDS, BINS, TEMPER, PRIOR_WORDS = 4096, 25, 4096, 32, 2000
+BUCKETS, BINS, TEMPER, PRIOR_WORDS = 4096, 4096, 32, 2000
+#: Share of a known source in a text's membership; rounds at most, and the relative error at which they end; the least rate by which a text may join.
+TRUST, ROUNDS, ENOUGH, LEAST = 0.9, 25, 2e-3, 1e-3
+#: Texts per source and power of two of tokens that the last gap may be filled from.
+SPARE = 4
 _WORD = re.compile(r"\w+")
-REPORT = "source string, weight double, max_repeats int, reachable_weight double, available_tokens long, labelled_tokens long, soft_tokens double, share double, most_repeats int"
+REPORT = (
+    "source string, weight double, max_repeats int, reachable_weight double, available_texts long, available_tokens long, asked_tokens long, labelled_tokens long, soft_tokens double, "
+    "shortfall_tokens long, share double, expected_share double, repeated_texts long, most_repeats int"
+)
 
 
 def _features(text: str, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,202 +54,300 @@ def _features(text: str, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(b, return_counts=True)
 
 
-def learn(docs: DataFrame, sources: list[str], text_col: str = "text", source_col: str = "source") -> np.ndarray:
-    """Log probabilities (sources x buckets + 1); the last column is the source's prior. All labelled documents count."""
-    where = {s: i for i, s in enumerate(sources)}
+def _packed(k: np.ndarray, n: np.ndarray) -> bytes:
+    return np.stack([k, n], 1).astype("<u4").tobytes() if len(k) else b""
+
+
+def _unpacked(col: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of the packed features of a batch."""
+    kn = np.frombuffer(b"".join(col), "<u4").reshape(-1, 2)
+    return np.repeat(np.arange(len(col)), [len(f) // 8 for f in col]), kn[:, 0].astype(np.int64), kn[:, 1].astype(np.int64)
+
+
+def read(docs: DataFrame, sources: list[str], id_col: str, text_col: str, source_col: str, vocabulary: str) -> DataFrame:
+    """doc_id, source (null if it has no target), tokens, u (hash of the id in 0..BINS*BINS-1), text_key, words (packed features)."""
+    known = set(sources)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros((len(sources), BUCKETS + 1), np.int64), {}
+        seen: dict[str, int] = {}
         for b in batches:
-            for text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                k, n = _features(text, seen)
-                total[where[source], k] += n
-                total[where[source], BUCKETS] += 1
+            texts, labels = b.column("text").to_pylist(), b.column("source").to_pylist()
             if len(seen) > 500_000:
                 seen.clear()
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["s", "b", "n"])
-
-    rows = docs.select(F.col(text_col).alias("text"), F.col(source_col).alias("source")).filter(F.col("text").isNotNull() & F.col("source").isin(sources))
-    got = rows.mapInArrow(run, "s bigint, b bigint, n bigint").groupBy("s", "b").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(sources), BUCKETS + 1))
-    for r in got.toLocalIterator():  # at most one row per source and bucket
-        counts[r.s, r.b] = r.n
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([s if s in known else None for s in labels], pa.string()), pa.array([count(t, vocabulary) for t in texts], pa.int64()), b.column("u"),
+                 pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([_packed(*_features(t, seen)) for t in texts], pa.binary())],
+                ["doc_id", "source", "tokens", "u", "text_key", "words"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(BINS * BINS)))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, source string, tokens bigint, u bigint, text_key binary, words binary")
+
+
+def learn_words(rows: DataFrame, sources: list[str]) -> np.ndarray:
+    """Log probabilities (sources x buckets + 1) from source and words; the last column is the source's prior. All labelled rows count."""
+    where, wide = {s: i for i, s in enumerate(sources)}, BUCKETS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sources) * wide, np.int64)
+        for b in batches:
+            at = np.array([where[s] for s in b.column("source").to_pylist()], np.int64)
+            row, k, n = _unpacked(b.column("words").to_pylist())
+            total += np.bincount(at[row] * wide + k, n, len(total)).astype(np.int64)
+            total += np.bincount(at * wide + BUCKETS, minlength=len(total))
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "n"])
+
+    counts = np.zeros((len(sources), wide))
+    for r in rows.select("source", "words").filter(F.col("source").isin(sources)).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():  # at most one row per source and bucket
+        counts[divmod(r.i, wide)] = r.n
     # a small source borrows from the whole table, else rare words would speak for it
     whole = counts[:, :BUCKETS].sum(0) + 0.01
     words, docs_of = counts[:, :BUCKETS] + PRIOR_WORDS * whole / whole.sum(), counts[:, BUCKETS:] + 0.5
     return np.hstack([np.log(words / words.sum(1, keepdims=True)), np.log(docs_of / docs_of.sum())])
 
 
-def posterior(model: np.ndarray, text: str, seen: dict[str, int]) -> np.ndarray:
-    """Soft membership; long texts would all be certain, so their evidence counts as that of TEMPER words."""
-    k, n = _features(text, seen)
-    score = model[:, BUCKETS] + (model[:, k] @ n) * min(1.0, TEMPER / max(1, n.sum())) if len(k) else model[:, BUCKETS].copy()
-    p = np.exp(score - score.max())
-    return p / p.sum()
-
-
-def members(docs: DataFrame, sources: list[str], model: np.ndarray, id_col: str, text_col: str, source_col: str, vocabulary: str) -> DataFrame:
-    """doc_id, source (null if unlabelled), tokens, soft (posteriors of unlabelled documents), u (hash of the id in 0..BINS*BINS-1)."""
-    where = {s: i for i, s in enumerate(sources)}
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def learn(docs: DataFrame, sources: list[str], text_col: str = "text", source_col: str = "source") -> np.ndarray:
+    """The classifier of a table of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for b in batches:
-            texts, labels = b.column("text").to_pylist(), b.column("source").to_pylist()
-            known = [s if s in where else None for s in labels]
-            soft = [None if s else posterior(shared.value, t, seen).tolist() for s, t in zip(known, texts)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(known, pa.string()), pa.array([count(t, vocabulary) for t in texts], pa.int64()), pa.array(soft, pa.list_(pa.float64())), b.column("u"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], ["doc_id", "source", "tokens", "soft", "u", "text_key"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([_packed(*_features(t, seen)) for t in b.column(0).to_pylist()], pa.binary())], ["source", "words"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(BINS * BINS)))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, source string, tokens bigint, soft array<double>, u bigint, text_key binary")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(source_col).alias("source")).filter("text IS NOT NULL AND source IS NOT NULL")
+    return learn_words(rows.mapInArrow(run, "source string, words binary"), sources)
 
 
-def _texts(rows: DataFrame, sources: list[str], caps: np.ndarray) -> DataFrame:
-    """One row per text: source (null if none is known), doc_id and u of its smallest id there, copies (ids there), tokens, soft, text_key."""
-    plan = rows.sparkSession.createDataFrame([(s, int(c)) for s, c in zip(sources, caps)], "source string, cap int")
-    each = rows.groupBy("text_key", "source").agg(F.min(F.struct("doc_id", "u")).alias("d"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("soft").alias("soft"))
-    best = each.join(F.broadcast(plan), "source", "left").groupBy("text_key").agg(F.min(F.struct(F.coalesce("cap", F.lit((1 << 31) - 1)).alias("cap"), "source", "d", "copies", "tokens", "soft")).alias("b"))
-    return best.select("b.d.doc_id", "b.source", "b.tokens", "b.soft", "b.d.u", "text_key", "b.copies")
+def posteriors(model: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Soft membership by words (rows x sources); long texts would all be certain, so their evidence counts as that of TEMPER words."""
+    out = np.empty((len(words), len(model)))
+    for i, w in enumerate(words):
+        kn = np.frombuffer(w, "<u4").reshape(-1, 2)
+        n = kn[:, 1].astype(float)
+        out[i] = (model[:, kn[:, 0]] @ n) * min(1.0, TEMPER / max(1.0, n.sum()))
+    out += model[:, BUCKETS]
+    out = np.exp(out - out.max(1, keepdims=True))
+    return out / out.sum(1, keepdims=True)
 
 
-def _hand_out(chosen: DataFrame, texts: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """The repeats of each text, given to its ids in turn."""
-    t = chosen.join(texts.select("doc_id", "text_key", "copies"), "doc_id").drop("doc_id").withColumnRenamed("source", "of")
-    order = Window.partitionBy("text_key", "source").orderBy("doc_id")
-    ids = rows.select("text_key", "source", "doc_id").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most)
-    mine = (F.floor(F.col("repeats") / F.col("copies")) + (F.col("i") <= F.col("repeats") % F.col("copies")).cast("int")).cast("int")
-    both = t.join(ids, "text_key").filter(F.col("of").eqNullSafe(F.col("source")))
-    return both.select("doc_id", "source", "tokens", mine.alias("repeats")).filter("repeats > 0")
+def posterior(model: np.ndarray, text: str, seen: dict[str, int]) -> np.ndarray:
+    return posteriors(model, [_packed(*_features(text, seen))])[0]
+
+
+def distinct_texts(rows: DataFrame, sources: list[str], caps: np.ndarray) -> DataFrame:
+    """One row per text: label (position of its source, -1 without one), doc_id and u of its smallest id there, tokens, text_key, words."""
+    plan = rows.sparkSession.createDataFrame([(s, i, int(c)) for i, (s, c) in enumerate(zip(sources, caps))], "source string, label int, cap int")
+    most = F.lit((1 << 31) - 1)
+    one = F.min(F.struct(F.coalesce("cap", most).alias("cap"), "source", "doc_id", "u", "tokens", F.coalesce("label", F.lit(-1)).alias("label"), "words"))
+    best = rows.join(F.broadcast(plan), "source", "left").groupBy("text_key").agg(one.alias("b"))
+    return best.select("b.doc_id", "b.label", "b.tokens", "b.u", "text_key", "b.words")
+
+
+def with_membership(texts: DataFrame, model: np.ndarray, trust: float = TRUST) -> DataFrame:
+    """label, tokens, u, doc_id, text_key and soft, the membership in all sources as packed floats."""
+    shared, cols = texts.sparkSession.sparkContext.broadcast(model), ["doc_id", "label", "tokens", "u", "text_key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = posteriors(shared.value, b.column("words").to_pylist())
+            label = b.column("label").to_numpy()
+            own = np.flatnonzero(label >= 0)
+            m[own] *= 1 - trust
+            m[own, label[own]] += trust
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array([x.tobytes() for x in m.astype(np.float32)], pa.binary())], [*cols, "soft"])
+
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, label int, tokens bigint, u bigint, text_key binary, soft binary")
+
 
+class Rates:
+    """The rates of texts after the steps of the descent."""
 
-def _rates(soft: np.ndarray, steps: np.ndarray, start: float) -> np.ndarray:
-    """Rates of unlabelled documents after the given gradient steps, each kept within 0 and 1."""
-    r = np.full(len(soft), start)
-    for g in steps:
-        r = np.clip(r - soft @ g, 0, 1)
-    return r
+    def __init__(self, start: np.ndarray, caps: np.ndarray):
+        self.start, self.caps, self.steps = start, np.append(caps, 1.0), np.zeros((0, len(start)))  # the last cap is that of label -1
 
+    def of(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(rates, memberships) of a batch with label and soft."""
+        k = len(self.start)
+        soft = np.frombuffer(b"".join(b.column("soft").to_pylist()), np.float32).reshape(b.num_rows, k).astype(np.float64)
+        label = b.column("label").to_numpy()
+        cap = self.caps[label]
+        r = np.minimum(np.where(label >= 0, self.start[label], soft @ np.minimum(self.start, 1.0)), cap)
+        for g in self.steps:
+            r = np.clip(r - soft @ g, 0, cap)
+        return r, soft
 
-def _pass(loose: DataFrame, steps: np.ndarray, start: float, k: int) -> np.ndarray:
-    """Expected tokens of every source from the unlabelled documents."""
+
+def _sums(texts: DataFrame, make, n: int) -> np.ndarray:
+    """Sums over all texts of the vectors of length n that `make` returns for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros(n)
         for b in batches:
             if b.num_rows:
-                soft = np.array(b.column("soft").to_pylist())
-                total += (_rates(soft, steps, start) * b.column("tokens").to_numpy()) @ soft
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], ["s", "t"])
+                total += make(b)
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "t"])
 
-    out = np.zeros(k)
-    for r in loose.mapInArrow(run, "s bigint, t double").groupBy("s").agg(F.sum("t").alias("t")).collect():  # one row per source
-        out[r.s] = r.t
+    out = np.zeros(n)
+    for r in texts.mapInArrow(run, "i bigint, t double").groupBy("i").agg(F.sum("t").alias("t")).toLocalIterator():  # at most n rows
+        out[r.i] = r.t
     return out
 
 
-def fit(loose: DataFrame, labelled: np.ndarray, target: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(rates of labelled documents per source, steps of the unlabelled ones, their first rate)."""
-    k = len(target)
-    start = float(min(1.0, target.sum() / max(1.0, labelled.sum())))
-    rho, steps = np.minimum(caps, np.divide(target, labelled, out=np.zeros(k), where=labelled > 0)), np.zeros((0, k))
-    scale = np.maximum(target, 1.0)
-    mass = _pass(loose, steps, 1.0, k)  # all unlabelled tokens by source: the step size that can't overshoot
-    curve = mass / scale
-    for _ in range(ROUNDS):
-        error = (labelled * rho + _pass(loose, steps, start, k) - target) / scale
-        if np.abs(error).max() < 1e-4:
-            break
-        # labelled rates take an exact step along their own axis, which the projection keeps within the caps
-        rho = np.clip(rho - np.divide(error * scale, labelled, out=np.zeros(k), where=labelled > 0), 0, caps)
-        steps = np.vstack([steps, error / max(1.0, curve.sum()) * np.minimum(1.0, scale / scale.max())])
-    return rho, steps, start
+def fit(texts: DataFrame, target: np.ndarray, start: np.ndarray, caps: np.ndarray, rounds: int = ROUNDS) -> tuple[Rates, np.ndarray]:
+    """(rates, expected tokens by source): projected gradient descent on the squared errors of the expected tokens of every source.
+
+    The squares are scaled by each source's own curvature and rates by their tokens, so the step that can't overshoot is the inverse of the largest row sum.
+    """
+    k, rates, rows = len(target), Rates(start, caps), texts.select("label", "tokens", "soft")
+
+    def curve(b: pa.RecordBatch) -> np.ndarray:
+        _, m = rates.of(b)
+        return ((m * b.column("tokens").to_numpy()[:, None]).T @ m).ravel()
+
+    gram = _sums(rows, curve, k * k).reshape(k, k)
+    own = np.maximum(np.diag(gram), 1e-9)
+    pace = 1 / max(1.0, (gram / own[:, None]).sum(1).max())
+    for i in range(rounds + 1):
+
+        def expected(b: pa.RecordBatch) -> np.ndarray:
+            r, m = rates.of(b)
+            return (r * b.column("tokens").to_numpy()) @ m
+
+        got = _sums(rows, expected, k)
+        error = got - target
+        if i == rounds or np.abs(error).max(initial=0) <= ENOUGH * max(1.0, target.sum()) / k:
+            return rates, got
+        rates.steps = np.vstack([rates.steps, pace * error / own])
+
+
+def _join_at(rates: Rates, b: pa.RecordBatch, most: int) -> np.ndarray:
+    """Where each repeat of the labelled texts of a batch joins (rows x most), in 0..1; later ones than the text's cap never do (2)."""
+    r, _ = rates.of(b)
+    u = b.column("u").to_numpy() / (BINS * BINS)
+    j = np.arange(1, most + 1)
+    at = (j - u[:, None]) / np.maximum(r, LEAST)[:, None]
+    return np.where(j <= rates.caps[b.column("label").to_numpy()][:, None], at / (1 + at), 2.0)
+
+
+def _cuts(labelled: DataFrame, rates: Rates, quota: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cut, gap) by source: repeats that join before the cut are taken, gap tokens of the quota are then open."""
+    k = len(quota)
+    low, gap, width = np.zeros(k), quota.astype(float).copy(), 1.0
+    for _ in range(2):
+        start, w = low.copy(), width
+
+        def histogram(b: pa.RecordBatch) -> np.ndarray:
+            at, label = _join_at(rates, b, most), b.column("label").to_numpy()
+            pos = np.floor((at - start[label][:, None]) / w * BINS)
+            row, col = np.nonzero((pos >= 0) & (pos < BINS))
+            return np.bincount(label[row] * BINS + pos[row, col].astype(np.int64), b.column("tokens").to_numpy()[row], k * BINS)
+
+        sums = _sums(labelled, histogram, k * BINS).reshape(k, BINS)
+        reached = sums.cumsum(1)
+        fit_ = (reached <= gap[:, None] + 1e-6).sum(1)  # bins that are taken whole
+        gap -= np.where(fit_ > 0, np.take_along_axis(reached, np.maximum(fit_ - 1, 0)[:, None], 1)[:, 0], 0.0)
+        low, width = start + fit_ * w / BINS, w / BINS
+    return low, gap
+
+
+def _fill(spare: list[tuple[int, object]], gap: float) -> list[object]:
+    """Ids of texts (tokens, id) that fill a gap: largest first while they fit, then the one that comes nearest."""
+    out, rest = [], sorted(spare, key=lambda x: (-x[0], str(x[1])))
+    for t, d in list(rest):
+        if t <= gap:
+            out.append(d)
+            rest.remove((t, d))
+            gap -= t
+    near = min(rest, key=lambda x: abs(x[0] - gap), default=None)
+    return [*out, near[1]] if near and abs(near[0] - gap) < gap else out
+
+
+def _hand_out(chosen: DataFrame, rows: DataFrame, sources: list[str], most: int) -> DataFrame:
+    """doc_id, source, tokens, repeats: the repeats of each text, given to its ids in turn; no text has more than `most`, so its first ids suffice."""
+    plan = rows.sparkSession.createDataFrame([*enumerate(sources)], "label int, of string")
+    t = chosen.select("text_key", "label", "tokens", "repeats").join(F.broadcast(plan), "label", "left").drop("label")
+    order = Window.partitionBy("text_key", "source").orderBy("doc_id")
+    ids = rows.select("text_key", "source", "doc_id").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most)
+    both = t.join(ids, "text_key").filter(F.col("of").eqNullSafe(F.col("source"))).withColumn("copies", F.count("*").over(Window.partitionBy("text_key")))
+    mine = (F.floor(F.col("repeats") / F.col("copies")) + (F.col("i") <= F.col("repeats") % F.col("copies")).cast("int")).cast("int")
+    return both.select("doc_id", "source", "tokens", mine.alias("repeats")).filter("repeats > 0")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(chosen, report). chosen: doc_id, source, tokens, repeats (at least 1). report: one row per source.
 
-    report: source, weight, max_repeats, reachable_weight (relative to the sources that have documents), available_tokens, labelled_tokens, soft_tokens
-    (expected from documents without a source), share (of all tokens of the mixture), most_repeats.
+    report: source, weight, max_repeats, reachable_weight (relative to the sources that have texts), available_texts and available_tokens (each text once), asked_tokens
+    (weight x total), labelled_tokens, soft_tokens (expected from texts without a source), shortfall_tokens (asked for, but not there even with all repeats), share (of all
+    tokens of the mixture), expected_share (by the memberships of all texts), repeated_texts (taken more than once), most_repeats.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     plan = targets.filter("source IS NOT NULL AND weight > 0").groupBy("source").agg(F.max("weight").alias("w"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("cap")).orderBy("source").collect()  # one row per source
-    sources, k = [r.source for r in plan], len(plan)
-    weight, caps = np.array([r.w for r in plan], float), np.array([r.cap for r in plan], float)
+    sources, k, kind = [r.source for r in plan], len(plan), dict(docs.dtypes)[id_col]
     if not k:
-        kind = dict(docs.dtypes)[id_col]
         return spark.createDataFrame([], f"doc_id {kind}, source string, tokens bigint, repeats int"), spark.createDataFrame([], REPORT)
-    weight /= max(weight.sum(), 1e-300)
-    model = learn(docs, sources, text_col, source_col)
-    every = scratch.cut(members(docs, sources, model, id_col, text_col, source_col, vocabulary), "members")
-    rows = scratch.cut(_texts(every, sources, caps), "texts")
-    have = {r.source: r.t for r in rows.filter("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row per source
-    labelled = np.array([have.get(s, 0) for s in sources], float)
-    full = labelled > 0
-    total = labelled.sum() if total_tokens == "labelled" else float(total_tokens) if total_tokens else float((caps * labelled / weight)[full].min()) * weight[full].sum() if full.any() else 0.0
-    target = np.where(full, weight / max(weight[full].sum(), 1e-300) * total, 0.0)
-    loose = rows.filter("source IS NULL").select("doc_id", "tokens", "soft", "u")
-    rho, steps, start = fit(loose, labelled, target, caps)
+    weight, caps = np.array([r.w for r in plan], float), np.array([max(0, r.cap) for r in plan], float)
+    weight, most = weight / weight.sum(), max(1, int(caps.max()))
+    rows = scratch.cut(read(docs, sources, id_col, text_col, source_col, vocabulary), "rows")
+    model = learn_words(rows, sources)
+    texts = scratch.cut(with_membership(distinct_texts(rows, sources, caps), model), "texts")
+    have = {r.label: r for r in texts.groupBy("label").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}  # one row per source
+    tokens, number = np.array([have[i].t if i in have else 0 for i in range(k)], float), [have[i].n if i in have else 0 for i in range(k)]
+    full = tokens > 0
+    if total_tokens is None:
+        total = float(sum(r.t for r in have.values()))
+    elif total_tokens == "labelled":
+        total = tokens.sum()
+    elif total_tokens == "reachable":
+        total = float((caps * tokens / weight)[full].min()) * weight[full].sum() if full.any() else 0.0
+    else:
+        total = float(total_tokens)
+    # with "reachable" the weights of the sources that have texts are relative to each other
+    asked = weight * total / (weight[full].sum() if total_tokens == "reachable" and full.any() else 1.0)
+    loose = _sums(texts.filter("label < 0").select("tokens", "soft"), lambda b: b.column("tokens").to_numpy() @ np.frombuffer(b"".join(b.column("soft").to_pylist()), np.float32).reshape(b.num_rows, k).astype(float), k)
+    target = np.minimum(asked, caps * tokens + loose)
+    start = np.minimum(np.divide(target, tokens, out=np.zeros(k), where=full), caps)
+    rates, expected = fit(texts, target, start, caps)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = _rates(np.array(b.column("soft").to_pylist()).reshape(b.num_rows, -1), steps, start) if b.num_rows else np.zeros(0)
-            keep = np.floor(r) + (b.column("u").to_numpy() < (r - np.floor(r)) * BINS * BINS)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None] * b.num_rows, pa.string()), b.column("tokens"), pa.array(keep.astype(np.int32)), b.column("soft")], ["doc_id", "source", "tokens", "repeats", "soft"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    drawn = scratch.cut(loose.mapInArrow(draw, f"doc_id {kind}, source string, tokens bigint, repeats int, soft array<double>").filter("repeats > 0 AND tokens > 0"), "drawn")
-    soft = np.zeros(k)
-    for r in drawn.select(F.posexplode("soft").alias("s", "p"), "tokens").groupBy("s").agg(F.sum(F.col("p") * F.col("tokens")).alias("t")).collect():  # one row per source
-        soft[r.s] = r.t
-    # what the draw left open is the labelled documents' part
-    quota = np.clip(target - soft, 0, caps * labelled)
-    whole = np.floor(np.divide(quota, labelled, out=np.zeros(k), where=full) + 1e-12)
-    open_ = quota - whole * labelled
-    bins: dict[tuple[str, int], int] = {}
-    named = rows.filter("source IS NOT NULL AND tokens > 0")
-    for r in named.groupBy("source", F.floor(F.col("u") / BINS).alias("bin")).agg(F.sum("tokens").alias("t")).toLocalIterator():  # at most BINS rows a source
-        bins[r.source, r.bin] = r.t
-    edge, rest = {}, {}
-    for i, s in enumerate(sources):
-        left = open_[i]
-        for j in range(BINS):
-            t = bins.get((s, j), 0)
-            if t > left:
-                edge[s], rest[s] = j, left
-                break
-            left -= t
-        else:
-            edge[s], rest[s] = BINS, 0.0
-    table = spark.createDataFrame([(s, int(whole[i]), int(edge[s])) for i, s in enumerate(sources)], "source string, whole int, edge int")
-    near = named.join(F.broadcast(table), "source")
-    fine: dict[str, list[tuple[int, int]]] = {}
-    for r in near.filter(F.floor(F.col("u") / BINS) == F.col("edge")).groupBy("source", "u").agg(F.sum("tokens").alias("t")).orderBy("source", "u").toLocalIterator():  # at most BINS rows a source
-        fine.setdefault(r.source, []).append((r.u, r.t))
-    limits, short = [], []
-    for i, s in enumerate(sources):
-        limit, left = edge[s] * BINS, rest[s]
-        for u, t in fine.get(s, []):
-            if t > left:
-                break
-            limit, left = u + 1, left - t
-        able = whole[i] < caps[i]
-        limits.append((s, int(whole[i]), limit if able else 0))
-        short.append((s, limit, float(left) if able else 0.0))
-    # the gap that is left goes to the one further document that fills it best
-    gaps = named.join(F.broadcast(spark.createDataFrame(short, "source string, upto long, gap double")), "source").filter("gap > 0 AND u >= upto")
-    best = gaps.groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("off"), "doc_id", "gap")).alias("b")).collect()  # one row per source
-    last = {r.source: r.b.doc_id for r in best if r.b.off < r.b.gap}
-    table = spark.createDataFrame([(*x, last.get(x[0])) for x in limits], f"source string, whole int, upto long, last {kind}")
-    repeats = (F.col("whole") + F.when((F.col("u") < F.col("upto")) | F.col("doc_id").eqNullSafe(F.col("last")), 1).otherwise(0)).cast("int")
-    labelled_rows = named.join(F.broadcast(table), "source").withColumn("repeats", repeats).filter("repeats > 0").select("doc_id", "source", "tokens", "repeats")
-    chosen = scratch.cut(labelled_rows.unionByName(drawn.select("doc_id", "source", "tokens", "repeats")), "chosen")
-    got = chosen.filter("source IS NOT NULL").groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("labelled_tokens"), F.max("repeats").alias("most_repeats"))
-    info = spark.createDataFrame([(s, plan[i].w, plan[i].cap, float(weight[i] / weight[full].sum()) if full[i] else 0.0, int(labelled[i]), float(soft[i])) for i, s in enumerate(sources)], "source string, weight double, max_repeats int, reachable_weight double, available_tokens long, soft_tokens double")
-    both = info.join(got, "source", "left").withColumns({"labelled_tokens": F.coalesce("labelled_tokens", F.lit(0).cast("long")), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
-    all_tokens = both.agg(F.sum(F.col("labelled_tokens") + F.col("soft_tokens")).alias("all_tokens"))
-    report = both.withColumn("__k", F.lit(1)).join(F.broadcast(all_tokens.withColumn("__k", F.lit(1))), "__k").drop("__k")
-    share = F.coalesce((F.col("labelled_tokens") + F.col("soft_tokens")) / F.nullif("all_tokens", F.lit(0)), F.lit(0.0))
-    return _hand_out(chosen, rows, every, max(1, int(caps.max()))), report.select("source", "weight", "max_repeats", F.round("reachable_weight", 6).alias("reachable_weight"), "available_tokens", "labelled_tokens", F.round("soft_tokens", 3).alias("soft_tokens"), F.round(share, 6).alias("share"), "most_repeats")
+            r, m = rates.of(b)
+            r[(m * b.column("tokens").to_numpy()[:, None] > asked).any(1)] = 0  # alone more than a source may have
+            n = np.floor(r) + (b.column("u").to_numpy() < (r - np.floor(r)) * BINS * BINS)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(n.astype(np.int32))], [*cols, "repeats"])
+
+    cols = ["doc_id", "label", "tokens", "text_key", "soft"]
+    shape = f"doc_id {kind}, label int, tokens bigint, text_key binary, soft binary, repeats int"
+    drawn = scratch.cut(texts.filter("label < 0 AND tokens > 0").mapInArrow(draw, shape).filter("repeats > 0"), "drawn")
+    weigh = lambda b: (b.column("tokens").to_numpy() * b.column("repeats").to_numpy()) @ np.frombuffer(b"".join(b.column("soft").to_pylist()), np.float32).reshape(b.num_rows, k).astype(float)
+    soft = _sums(drawn.select("tokens", "repeats", "soft"), weigh, k)
+    # what the draw left open is the labelled texts' part
+    labelled = texts.filter("label >= 0 AND tokens > 0")
+    cut, gap = _cuts(labelled.select("label", "tokens", "u", "soft"), rates, np.clip(asked - soft, 0, caps * tokens), most)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = (_join_at(rates, b, most) < cut[b.column("label").to_numpy()][:, None]).sum(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(n.astype(np.int32))], [*cols, "repeats"])
+
+    taken = scratch.cut(labelled.mapInArrow(take, shape), "taken")
+    limits = spark.createDataFrame([(i, int(c)) for i, c in enumerate(caps)], "label int, cap int")
+    sizes = Window.partitionBy("label", F.floor(F.log2("tokens"))).orderBy("doc_id")
+    spare: dict[int, list[tuple[int, object]]] = {}
+    for r in taken.join(F.broadcast(limits), "label").filter("repeats < cap").withColumn("i", F.row_number().over(sizes)).filter(F.col("i") <= SPARE).select("label", "tokens", "doc_id").toLocalIterator():  # at most SPARE rows per source and power of two
+        spare.setdefault(r.label, []).append((r.tokens, r.doc_id))
+    more = [(i, d, 1) for i in range(k) if gap[i] > 0 for d in _fill(spare.get(i, []), gap[i])]
+    extra = spark.createDataFrame(more, f"label int, doc_id {kind}, one int")
+    filled = taken.join(F.broadcast(extra), ["label", "doc_id"], "left").withColumn("repeats", F.col("repeats") + F.coalesce("one", F.lit(0))).drop("one").filter("repeats > 0")
+    chosen = scratch.cut(filled.select(drawn.columns).unionByName(drawn), "chosen")
+    mass = _sums(chosen.select("tokens", "repeats", "soft"), weigh, k)
+    got = {r.label: r for r in chosen.filter("label >= 0").groupBy("label").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t"), F.max("repeats").alias("most"), F.count_if(F.col("repeats") > 1).alias("again")).collect()}  # one row per source
+    reached = np.array([got[i].t if i in got else 0 for i in range(k)], float) + soft
+    out = []
+    for i, r in enumerate(plan):
+        g = got.get(i)
+        out.append((
+            r.source, r.w, r.cap, round(float(weight[i] / weight[full].sum()), 6) if full[i] else 0.0, number[i], int(tokens[i]), round(asked[i]), g.t if g else 0, round(float(soft[i]), 3), round(max(0.0, asked[i] - max(reached[i], caps[i] * tokens[i]))),
+            round(float(reached[i] / max(1.0, reached.sum())), 6), round(float(mass[i] / max(1.0, mass.sum())), 6), g.again if g else 0, g.most if g else 0))
+    return _hand_out(chosen, rows, sources, most), spark.createDataFrame(out, REPORT)

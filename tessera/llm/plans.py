@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import documented, lookalikes, mixing, near_dup, packing, splitting, vector_neighbors
 from tessera.runtime import load
@@ -44,9 +45,25 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
-def p8_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares reached if as many tokens are asked for as the labelled texts have, so that small sources come to their caps."""
-    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), total_tokens="labelled")[1]
+def p8_reachable_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the largest mixture in which every source that has texts attains its weight; the scarcest source bounds it."""
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), total_tokens="reachable")[1]
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of p8_mixture and p8_shares: per source its texts, whether no text is repeated beyond the cap, and whether it has its part of the total or its cap.
+
+    The first are counted from the chosen documents themselves, joined with their texts.
+    """
+    docs, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
+    chosen, shares = mixing.mixture(docs, targets)
+    text = docs.filter("text IS NOT NULL").groupBy("doc_id").agg(F.min(F.sha2("text", 256)).alias("h"))
+    times = chosen.join(text, "doc_id").groupBy("source", "h").agg(F.sum("repeats").alias("times"), F.max("tokens").alias("tokens"))
+    taken = times.groupBy("source").agg(F.max("times").alias("times"), F.sum(F.col("times") * F.col("tokens")).alias("tokens"))
+    exhausted = F.col("labelled_tokens") == F.col("max_repeats") * F.col("available_tokens")
+    attained = exhausted | (F.abs(F.col("labelled_tokens") + F.col("soft_tokens") - F.col("asked_tokens")) <= F.greatest(0.01 * F.col("asked_tokens"), F.lit(40)))
+    return shares.join(taken, "source", "left").select(
+        "source", "weight", "available_texts", (F.coalesce("times", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"), (F.coalesce("tokens", F.lit(0)) == F.col("labelled_tokens")).alias("sum_kept"), attained.alias("attained"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +82,11 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p8_full_shares, p9_found, p9_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p8_reachable_shares, p8_check, p9_found, p9_groups)}
 SQL = {
+    "p8_check": """
+WITH t AS (SELECT d.text, m.source, row_number() OVER (PARTITION BY d.text ORDER BY coalesce(m.max_repeats, 1), m.source) AS i FROM documents d JOIN mix_targets m USING (source) WHERE d.text IS NOT NULL AND m.weight > 0)
+SELECT m.source, m.weight, count(t.text) AS available_texts, true AS cap_kept, true AS sum_kept, true AS attained FROM mix_targets m LEFT JOIN t ON t.source = m.source AND t.i = 1 WHERE m.weight > 0 GROUP BY ALL""",
     "p6_found": r"""SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND (octet_length(encode(text)) > 12000
       OR len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')) > 512)""",
     "p5_found": """

@@ -29,7 +29,7 @@ TARGETS = [("a", 0.3, 1, 0.0), ("b", 0.4, 2, 0.0), ("c", 0.2, 3, 0.0), ("empty",
 
 def test_weights_are_reached(spark):
     rows = docs()
-    chosen, rep = run(spark, rows, TARGETS)
+    chosen, rep = run(spark, rows, TARGETS, total_tokens="reachable")
     assert rep["empty"].share == 0 and rep["empty"].available_tokens == 0
     for s, w in (("a", 0.3), ("b", 0.4), ("c", 0.2)):
         assert abs(rep[s].share - w / 0.9) < 0.02 and rep[s].most_repeats <= rep[s].max_repeats
@@ -59,13 +59,34 @@ def test_classifier_on_held_out_documents(spark):
     assert abs(M.posterior(model, "", seen).sum() - 1) < 1e-9
 
 
-def test_fit_uses_unlabelled_documents(spark):
-    soft = [[0.9, 0.1], [0.2, 0.8]] * 50
-    loose = spark.createDataFrame([(i, 10, s, 0) for i, s in enumerate(soft)], "doc_id bigint, tokens bigint, soft array<double>, u bigint")
-    labelled, target, caps = np.array([1000.0, 50.0]), np.array([300.0, 300.0]), np.array([1.0, 1.0])
-    rho, steps, start = M.fit(loose, labelled, target, caps)
-    got = labelled * rho + M._pass(loose, steps, start, 2)
-    assert (rho >= 0).all() and (rho <= caps).all() and abs(got[0] - 300) < 5 and abs(got[1] - 300) < 15
+def test_fit_gives_every_text_its_rate(spark):
+    """Memberships are soft, so texts of one source have different rates; expected tokens meet the targets within the caps."""
+    rng = np.random.default_rng(5)
+    soft = [(lambda p: [p, 1 - p])(x) for x in rng.random(400)]
+    rows = [(i, -1 if i % 4 == 0 else int(m[0] < 0.5), int(rng.integers(5, 50)), i, bytes([i % 256]), np.array(m, np.float32).tobytes()) for i, m in enumerate(soft)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, label int, tokens bigint, u bigint, text_key binary, soft binary")
+    target, caps = np.array([1500.0, 4500.0]), np.array([1.0, 2.0])
+    rates, got = M.fit(texts, target, np.array([0.5, 1.0]), caps)
+    assert np.abs(got - target).max() < 0.02 * target.min()
+    batch = texts.toArrow().combine_chunks().to_batches()[0]
+    r, m = rates.of(batch)
+    label = batch.column("label").to_numpy()
+    assert (r >= 0).all() and (r <= np.append(caps, 1.0)[label]).all() and len(set(np.round(r[label == 1], 6))) > 20
+    assert np.allclose((r * batch.column("tokens").to_numpy()) @ m, got)
+
+
+def test_the_whole_table_is_the_default_total(spark):
+    """Scarce sources repeat up to their caps and say what is missing, the others have their part of the total within one per cent."""
+    rows = docs(2000, 6, 0.05)
+    chosen, rep = run(spark, rows, TARGETS)
+    total = sum(r.asked_tokens for r in rep.values())
+    assert abs(total - sum(M.count(t) for t in {r[1] for r in rows})) <= 4
+    for s, r in rep.items():
+        got, most = r.labelled_tokens + r.soft_tokens, r.max_repeats * r.available_tokens
+        assert abs(r.shortfall_tokens - max(0, r.asked_tokens - max(got, most))) <= 1
+        assert r.labelled_tokens == most or abs(got - r.asked_tokens) <= 0.01 * r.asked_tokens
+    assert rep["c"].most_repeats == 3 and rep["c"].shortfall_tokens > 0 and rep["c"].repeated_texts == rep["c"].available_texts
+    assert sum(r.tokens * r.repeats for r in chosen) == sum(r.labelled_tokens for r in rep.values()) + round(sum(r.soft_tokens for r in rep.values()))
 
 
 def test_nulls_and_empty(spark):
@@ -78,7 +99,7 @@ def test_nulls_and_empty(spark):
 def test_copies_of_a_text_share_its_cap(spark):
     copied = "b1 b2 b3 b4 b5 b6 b7 the of and"
     rows = [r for r in docs(60, 4, 0) if r[2] == "b"] + [(1000 + i, copied, "b", "b") for i in range(60)] + [(2000 + i, copied, s, "b") for i, s in enumerate([None, None, "c"])]
-    chosen, rep = run(spark, rows, [("b", 1.0, 2, 0.0)])
+    chosen, rep = run(spark, rows, [("b", 1.0, 2, 0.0)], total_tokens="reachable")
     text, times = {r[0]: r[1] for r in rows}, {}
     for r in chosen:
         times[text[r.doc_id]] = times.get(text[r.doc_id], 0) + r.repeats
