@@ -74,6 +74,11 @@ def p9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.skeleton_groups(load(spark, sf_dir, "documents"))
 
 
+def p9_wider_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups by the wider table, which also has letters of other typefaces, ligatures, half-width forms and dashes."""
+    return lookalikes.skeleton_groups(load(spark, sf_dir, "documents"), kinds=lookalikes.WIDER)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pairs(spark, sf_dir).select("id")
 
@@ -82,8 +87,27 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p8_reachable_shares, p8_check, p9_found, p9_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p8_reachable_shares, p8_check, p9_found, p9_groups, p9_wider_groups)}
+def _sql_form() -> str:
+    """SQL of a text's plain form by a table of its own: ranges of code points, and letters whose accents are composed with them."""
+    import unicodedata
+
+    pairs = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝӏӀѵҮԌԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳ", "ABESIJKMHOPCTYXaeopcyxsijhdqwlIvYGQWABEZHIKMNOPTYXCJovcj"))
+    for cp in range(0x300, 0x2000):  # accented letters, which the form keeps composed
+        c = unicodedata.normalize("NFD", chr(cp))
+        if len(c) > 1 and c[0] in pairs and len(unicodedata.normalize("NFC", pairs[c[0]] + c[1:])) == 1:
+            pairs[chr(cp)] = unicodedata.normalize("NFC", pairs[c[0]] + c[1:])
+    wide = {chr(cp + 0xFEE0): chr(cp) for cp in range(0x21, 0x7F)} | {"\u3000": " ", "\u00a0": " ", "\u2007": " ", "\u202f": " "}
+    table = pairs | wide
+    letters, plain = "".join(table).replace("'", "''"), "".join(table.values()).replace("'", "''")
+    none = r"[\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}]"
+    return f"nfc_normalize(translate(regexp_replace(nfc_normalize(text), '{none}', '', 'g'), '{letters}', '{plain}'))"
+
+
+_FORMS = f"f AS (SELECT DISTINCT doc_id, text, {_sql_form()} AS form FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
 SQL = {
+    "p9_found": f"WITH {_FORMS} SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p9_groups": f"WITH {_FORMS}, g AS (SELECT form, min(doc_id) AS group_id, count(*) AS n_docs, count(DISTINCT text) AS n_forms FROM f GROUP BY form) SELECT doc_id, group_id, n_docs, n_forms FROM f JOIN g USING (form)",
     "p8_check": """
 WITH t AS (SELECT d.text, m.source, row_number() OVER (PARTITION BY d.text ORDER BY coalesce(m.max_repeats, 1), m.source) AS i FROM documents d JOIN mix_targets m USING (source) WHERE d.text IS NOT NULL AND m.weight > 0)
 SELECT m.source, m.weight, count(t.text) AS available_texts, true AS cap_kept, true AS sum_kept, true AS attained FROM mix_targets m LEFT JOIN t ON t.source = m.source AND t.i = 1 WHERE m.weight > 0 GROUP BY ALL""",
