@@ -37,6 +37,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, sf_dir), load(spark, sf_dir, "pack_capacity"))
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of p7_containers: all documents are there with all their tokens, no container is over its capacity, only texts over it are divided (into full pieces
+    and a rest), and there are at most 11/9 as many containers as the tokens need, which best fit alone would guarantee."""
+    placed, caps = p7_containers(spark, sf_dir), load(spark, sf_dir, "pack_capacity")
+    text = packing.with_tokens(load(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.sum("tokens").alias("asked"))
+    mine = placed.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("got"), F.max("pieces").alias("pieces"), F.count("*").alias("n"), F.min("piece").alias("low"), F.max("piece").alias("high"))
+    each = mine.join(text, "doc_id").join(caps.groupBy("container_kind").agg(F.min("capacity_tokens").alias("cap")), "container_kind")
+    divided = F.when(F.col("asked") > F.col("cap"), F.col("pieces") == F.ceil(F.col("asked") / F.col("cap"))).otherwise(F.col("pieces") == 1) & (F.col("low") == 0) & (F.col("high") == F.col("pieces") - 1)
+    docs = each.groupBy("container_kind").agg(F.count("*").alias("documents"), F.bool_and(F.col("got") == F.col("asked")).alias("whole"), F.bool_and(divided).alias("divided_only_if_over"))
+    r = packing.fill_report(placed, caps)
+    return docs.join(r, "container_kind").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "documents", "whole", "divided_only_if_over", (F.col("fullest") <= F.col("capacity_tokens")).alias("within_capacity"), (9 * F.col("containers") <= 11 * F.col("fewest") + 9).alias("near_the_fewest"))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[0]
 
@@ -87,7 +100,7 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p8_mixture, p8_shares, p8_reachable_shares, p8_check, p9_found, p9_groups, p9_wider_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p7_check, p8_mixture, p8_shares, p8_reachable_shares, p8_check, p9_found, p9_groups, p9_wider_groups)}
 def _sql_form() -> str:
     """SQL of a text's plain form by a table of its own: ranges of code points, and letters whose accents are composed with them."""
     import unicodedata
@@ -108,6 +121,9 @@ _FORMS = f"f AS (SELECT DISTINCT doc_id, text, {_sql_form()} AS form FROM docume
 SQL = {
     "p9_found": f"WITH {_FORMS} SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
     "p9_groups": f"WITH {_FORMS}, g AS (SELECT form, min(doc_id) AS group_id, count(*) AS n_docs, count(DISTINCT text) AS n_forms FROM f GROUP BY form) SELECT doc_id, group_id, n_docs, n_forms FROM f JOIN g USING (form)",
+    "p7_check": """
+SELECT container_kind, min(capacity_tokens) AS capacity_tokens, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, true AS whole, true AS divided_only_if_over, true AS within_capacity, true AS near_the_fewest
+FROM pack_capacity WHERE capacity_tokens > 0 GROUP BY container_kind""",
     "p8_check": """
 WITH t AS (SELECT d.text, m.source, row_number() OVER (PARTITION BY d.text ORDER BY coalesce(m.max_repeats, 1), m.source) AS i FROM documents d JOIN mix_targets m USING (source) WHERE d.text IS NOT NULL AND m.weight > 0)
 SELECT m.source, m.weight, count(t.text) AS available_texts, true AS cap_kept, true AS sum_kept, true AS attained FROM mix_targets m LEFT JOIN t ON t.source = m.source AND t.i = 1 WHERE m.weight > 0 GROUP BY ALL""",
