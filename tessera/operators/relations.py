@@ -159,10 +159,11 @@ def ledger_lookup(texts: DataFrame, ledger: DataFrame, profile: str, kind: str,
     return rows, todo
 
 
-def checkpoint_log(log: DataFrame) -> DataFrame:
-    """Latest row per path of an append-only log of file checkpoints."""
+def checkpoint_log(log: DataFrame, states: list[str] | None = None) -> DataFrame:
+    """Latest row per path of an append-only log of file checkpoints; with states only the paths that are in one of them now."""
     cols = [c for c in log.columns if c not in ("path", "updated_at")]
-    return log.groupBy("path").agg(F.max(F.struct("updated_at", *cols)).alias("r")).select("path", "r.*")
+    out = log.groupBy("path").agg(F.max(F.struct("updated_at", *cols)).alias("r")).select("path", "r.*")
+    return out if states is None else out.filter(F.col("state").isin(states))
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

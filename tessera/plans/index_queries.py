@@ -150,8 +150,10 @@ def id_reconcile(spark, d):
 
 @query("""SELECT embedding_profile, record_kind, text_hash, arg_max(dimension, updated_at) AS dimension, min(created_at) AS created_at, max(updated_at) AS updated_at FROM embedding_ledger GROUP BY ALL""")
 def ledger_merge(spark, d):
+    """The rows of the later half of the time are merged into the earlier ones."""
     led = load(spark, d, "embedding_ledger")
-    return R.ledger_merge(led, led.limit(0)).drop("vector")
+    late = F.coalesce(F.col("updated_at") >= F.lit("2025-10-01T00:00:00Z").cast("timestamp"), F.lit(True))
+    return R.ledger_merge(led.filter(~late), led.filter(late)).drop("vector")
 
 
 @query("""SELECT DISTINCT sha256(text) AS text_hash FROM chunks WHERE sha256(text) NOT IN (SELECT text_hash FROM embedding_ledger WHERE embedding_profile = 'mini-64' AND record_kind = 'chunk')""")

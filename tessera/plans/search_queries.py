@@ -228,11 +228,6 @@ def fusion_allocation(spark, d):
     return X.fuse(hits, X.weights(X.backend_quality(hits, q)))
 
 
-@query()
-def pack_round_robin(spark, d):
-    return X.pack(_hits(spark, d)[0]).drop("tags")
-
-
 @query(f"""WITH {_HITS}, l AS (SELECT * FROM hits WHERE backend = 'exact'), s AS (SELECT * FROM hits WHERE backend = 'symbol'),
 o AS (SELECT l.query_id, l.r, max(s.raw_score + CASE WHEN NOT (l.end_line < s.start_line OR s.end_line < l.start_line) THEN 0.05 WHEN abs(l.start_line - s.start_line) <= 4 THEN 0.02 ELSE 0 END) AS g FROM l JOIN s ON l.query_id = s.query_id AND l.path = s.path GROUP BY ALL),
 x AS (SELECT l.query_id, l.path, l.start_line, l.snippet, l.raw_score, l.r, round(least(1, coalesce(g, 0)), 9) AS overlap FROM l LEFT JOIN o ON o.query_id = l.query_id AND o.r = l.r)
@@ -243,19 +238,6 @@ def rerank_overlap(spark, d):
     return out.select("query_id", "path", "start_line", "snippet", "overlap", F.col("new_idx").cast("long").alias("new_idx"))
 
 
-@query()
-def mixed_rebalance(spark, d):
-    hits, q = _hits(spark, d)
-    return X.rebalance(hits.filter("backend = 'exact'"), q).select("query_id", "path", "start_line", "snippet", "new_idx")
-
-
-@query()
-def decisions(spark, d):
-    hits, q = _hits(spark, d)
-    quality = X.backend_quality(hits, q)
-    return X.decide(X.pack(hits), X.route(quality, q), quality, q)
-
-
 @query(f"""WITH {_HITS}, t AS (SELECT query_id, raw_score, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC) AS i FROM hits)
 SELECT query_id, round(least(1, 0.7 * max(raw_score) + 0.3 * avg(raw_score)), 9) AS confidence FROM t WHERE i <= 3 GROUP BY query_id""")
 def confidence_top3(spark, d):
