@@ -228,6 +228,23 @@ def suggested_prefix(packed: DataFrame) -> DataFrame:
     return files.join(dirs, "query_id", "full_outer").select("query_id", F.coalesce("file", "dir").alias("prefix"))
 
 
+def flags(packed: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, n_hits, auxiliary_only, many_paths, authority_scoped of every query.
+
+    auxiliary_only: code was asked for and all hits are documentation, workflows or examples. authority_scoped: outside code, the first three hits speak with
+    authority and lie in at most two files, or the file or directory that the first hits share is documentation or a workflow.
+    """
+    h = packed.join(queries.select("query_id", "domain"), "query_id")
+    top = F.col("rank") <= 3
+    g = h.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.bool_and((F.col("domain") == "code") & by_domain("domain", lambda d: P.is_auxiliary("path", d))).alias("aux"), F.count_distinct("path").alias("paths"),
+        F.bool_and(F.when(top, (F.col("domain") != "code") & by_domain("domain", lambda d: P.is_authority("path", d)))).alias("auth"), F.count_distinct(F.when(top, F.col("path"))).alias("top_paths"))
+    r = queries.select("query_id").distinct().join(g, "query_id", "left").join(suggested_prefix(packed), "query_id", "left")
+    speaks = F.coalesce(P.is_docs("prefix") | P.is_workflow("prefix"), F.lit(False))
+    no = F.lit(False)
+    return r.select("query_id", F.coalesce("n", F.lit(0)).alias("n_hits"), F.coalesce("aux", no).alias("auxiliary_only"), F.coalesce(F.col("paths") > 1, no).alias("many_paths"), F.coalesce(F.col("auth") & ((F.col("top_paths") <= 2) | speaks), no).alias("authority_scoped"))
+
+
 def decide(packed: DataFrame, routes: DataFrame, quality: DataFrame, queries: DataFrame, rescued: DataFrame | None = None) -> DataFrame:
     """query_id, strategy, n_hits, decisive, next_action, suggested_prefix, status of every query."""
     h = packed.groupBy("query_id").agg(F.count("*").alias("n_hits"), *(F.max(F.when(F.col("rank") == i, F.struct("path", "raw_score", "match_role", "tags", "snippet"))).alias(f"h{i}") for i in (1, 2)))

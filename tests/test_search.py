@@ -200,3 +200,93 @@ def test_confidence_and_evidence(spark):
     e = X.evidence(p, 0.5, 2).first()
     assert (e.n_items, e.n_confident, e.grounded, e.reason) == (4, 2, True, "grounding_ok")
     assert [X.next_top_k(k) for k in (1, 5, 40)] == [2, 10, 64]
+
+
+SEM = "path string, start_line int, end_line int, snippet string, raw_score double"
+
+
+def _about(spark, files, query, near, about="how it mounts", allowed=None, **intent):
+    empty = spark.createDataFrame([], "id string, name string, file_path string, start_line int, end_line int, language string, container_fqname string, signature string, commit_hash string")
+    asked = []
+
+    def semantic(hints, where, k):
+        asked.append(hints.query)
+        return spark.createDataFrame(near, SEM)
+
+    health = None if allowed is None else spark.createDataFrame([(allowed,)], "semantic_allowed boolean")
+    index = R.Index(T.lines(files), O.build(files, empty), semantic, health)
+    hits, decision = R.search(index, query, R.Intent(about=about, **intent))
+    return [(r.path, r.start_line) for r in hits.orderBy("rank").collect()], decision.first(), asked
+
+
+def test_vectors_rescue_a_search_without_hits(spark, files):
+    hits, d, asked = _about(spark, files, "absent thing", [("src/a.py", 3, 9, "x", 0.9), ("src/b.py", 1, 2, "x", 0.5)])
+    assert hits == [("src/a.py", 3)] and (d.strategy, d.assist, d.decisive, d.reason, d.status) == ("semantic", "semantic_rescue", True, "semantic_rescue", "decisive") and asked == ["how it mounts"]
+    hits, d, _ = _about(spark, files, "absent thing", [("src/a.py", 3, 9, "x", 0.9), ("src/b.py", 1, 2, "x", 0.88)])
+    assert hits == [] and d.assist == "none"
+    hits, d, asked = _about(spark, files, "absent thing", [("src/a.py", 3, 9, "x", 0.9)], allowed=False)
+    assert hits == [] and asked == []
+
+
+def test_only_documentation_is_rescued_or_suppressed(spark):
+    docs = spark.createDataFrame([("docs/mount.md", "markdown", "how to mount things\nmount it\n"), ("docs/other.md", "markdown", "mount\n")], "path string, language string, content string")
+    hits, d, _ = _about(spark, docs, "mount", [("src/a.py", 3, 9, "x", 0.95)])
+    assert hits == [("src/a.py", 3)] and d.reason == "semantic_rescue"
+    hits, d, _ = _about(spark, docs, "mount", [("src/a.py", 3, 9, "x", 0.5)])
+    assert hits == [] and (d.strategy, d.reason) == ("suppressed", "semantic_rescue_not_confident")
+    hits, d, _ = _about(spark, docs, "mount guide", [("src/a.py", 3, 9, "x", 0.95)])
+    assert hits and d.strategy != "suppressed" and hits[0][0].startswith("docs/")
+
+
+def test_vectors_reorder_lexical_hits(spark):
+    src = spark.createDataFrame([(f"src/m{i}.py", "python", "x = 1\nreturn mount_order(safe)\n") for i in range(4)], "path string, language string, content string")
+    plain, _, _ = _about(spark, src, "mount order", [])
+    hits, d, _ = _about(spark, src, "mount order", [("src/m3.py", 2, 4, "x", 0.8)])
+    assert hits[0] == ("src/m3.py", 2) and plain[0] != hits[0] and sorted(plain) == sorted(hits) and (d.assist, d.reason) == ("rerank", "semantic_rerank")
+
+
+def test_retry_until_confident(spark):
+    make = lambda k: spark.createDataFrame([("q", 0.3 + 0.1 * min(k, 6))], "query_id string, raw_score double")
+    _, how = R.search_with_retry(make, 1, 0.85, 5)
+    assert (how["final_top_k"], how["retry_attempts"], how["low_confidence"]) == (8, 3, False)
+    assert R.search_with_retry(make, 1, 0.99, 2)[1] == {"initial_confidence": 0.4, "final_confidence": 0.7, "initial_top_k": 1, "final_top_k": 4, "retry_attempts": 2, "retry_performed": True, "low_confidence": True}
+    assert R.search_with_retry(make, 1, 0.85, 0)[1]["retry_performed"] is False
+
+
+def test_contracts(spark):
+    import json
+
+    from tessera.operators import contracts as K
+
+    qs = spark.createDataFrame([("q", "identifier", "code", ["mount"], 3, False, "it's mount", None)], "query_id string, kind string, domain string, tokens array<string>, max_snippets int, literal_first boolean, query string, about string")
+
+    def run(rows):
+        h = spark.createDataFrame(rows, X.HITS)
+        quality = X.backend_quality(h, qs)
+        p = X.pack(h)
+        d = X.decide(p, X.route(quality, qs), quality, qs)
+        return json.loads(K.find_contract(p, d, qs).first().value), K.pack_contract(p, d, qs, K.snapshot(spark.createDataFrame([("last_success_at", "x")], "key string, value string"), "mini"))
+
+    one, _ = run([hit("exact", 0, "src/mount.py", 1, 1, 1.0, ["symbol_match"], "definition"), hit("exact", 1, "src/z.py", 1, 1, 0.5)])
+    assert one["contract_version"] == "find_v1" and len(one["hits"]) == 1 and one["decision"]["target"] == {"kind": "hit", "rank": 1, "path": "src/mount.py", "start_line": 1, "end_line": 1} and "suggested_next_command" not in one["decision"]
+    two, packs = run([hit("exact", 0, "src/mount.py", 1, 1, 1.0), hit("exact", 1, "src/mount.py", 9, 9, 0.99)])
+    assert two["decision"]["suggested_next_command"] == "tessera find 'it'\"'\"'s mount' --file src/mount.py" and two["decision"]["target"] == {"kind": "file", "path": "src/mount.py"} and len(two["hits"]) == 2
+    dirs, _ = run([hit("exact", 0, "src/a b/x.py", 1, 1, 0.9), hit("exact", 1, "src/a b/y.py", 9, 9, 0.9)])
+    assert dirs["decision"]["suggested_next_command"].endswith("--path-prefix 'src/a b'") and dirs["decision"]["target"]["kind"] == "path_prefix"
+    v2 = json.loads(packs.first().value)
+    assert v2["schema_version"] == 2 and v2["summary"]["needs_reindex"] is True and v2["hits"][0]["span"] == {"start_line": 1, "end_line": 1}
+    assert [(r.file, r.line, r.ranking_score) for r in K.legacy_results(packs).orderBy("rank").collect()] == [("src/mount.py", 1, 1.0), ("src/mount.py", 9, 0.99)]
+
+
+def test_state_of_an_index(spark):
+    from tessera.operators import contracts as K
+
+    def state(**m):
+        return K.snapshot(spark.createDataFrame([*m.items()], "key string, value string"), "mini", "2").first()
+
+    good = dict(last_success_at="t", index_profile="mini|edges", vector_cache="passed", chunk_span="passed", tool_version="2")
+    assert state(**good).asDict() == {"needs_reindex": False, "reindex_reason": None, "semantic_allowed": True, "warning_codes": []}
+    assert state(**good | {"index_profile": "big"}).reindex_reason == "embedding profile changed" and not state(**good | {"index_profile": "big"}).semantic_allowed
+    assert state(**good | {"vector_cache": "failed", "tool_version": "1"}).warning_codes == ["tool_version_changed", "vector_integrity_failed"]
+    assert state(build_state="interrupted").warning_codes == ["reindex_required", "index_interrupted", "vector_integrity_missing", "chunk_span_integrity_missing"]
+    assert K.provenance_warnings({}) == ["artifact_manifest_provenance_missing"] and K.provenance_warnings({"provenance": {}}) == []
