@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths as P
 from tessera.functions.text import edge_id, edge_text, file_node_id, lines, reference_tokens, split_lines
 from tessera.functions.vectors import l2, score
-from tessera.runtime import one_per_id
+from tessera.runtime import Scratch, one_per_id
 
 # Confidence by tier of resolution.
 FQNAME, IN_CONTAINER, ONLY_HERE, ONLY_ELSE, MANY_HERE, MANY_ELSE, UNRESOLVED = 0.95, 0.9, 0.85, 0.75, 0.65, 0.45, 0.15
@@ -78,13 +78,15 @@ def _case(pairs: list[tuple[Column, Column]], other: Column) -> Column:
     return out.otherwise(other)
 
 
-def resolve_tests(refs: DataFrame, cat: DataFrame) -> DataFrame:
-    """The same for covered_by entries: by id, by fqname, then by the last part of the name."""
-    t = F.regexp_replace("reference", r"^\s+|\s+$", "")
-    rows = refs.withColumns({"t": t, "target": F.element_at(F.split(F.element_at(F.split(t, ":"), -1), r"\."), -1), "container_fqname": F.lit(None).cast("string")})
+def _trimmed(c: str) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _test_ends(resolved: DataFrame, cat: DataFrame) -> DataFrame:
+    """Adds test_id, test_kind and confidence to covered_by entries (reference) whose last name is resolved: by id, by fqname, then by that name."""
     by_id = cat.select(F.col("id").alias("i_id"), F.col("kind").alias("i_kind"))
     by_fq = _winners(cat)[0].select(F.col("key").alias("f_key"), F.col("to").alias("f_to"), F.col("to_kind").alias("f_kind"))
-    x = resolve(rows, cat, TEST_UNRESOLVED).join(by_id, F.col("t") == F.col("i_id"), "left").join(by_fq, F.col("t") == F.col("f_key"), "left")
+    x = resolved.withColumn("t", _trimmed("reference")).join(by_id, F.col("t") == F.col("i_id"), "left").join(by_fq, F.col("t") == F.col("f_key"), "left")
     lost = F.col("to_kind") == "unresolved"
     pick = [
         (F.col("t") == "", F.lit("unresolved:<empty>"), F.lit("test"), F.lit(0.2)),
@@ -93,7 +95,15 @@ def resolve_tests(refs: DataFrame, cat: DataFrame) -> DataFrame:
         (lost, F.concat(F.lit("unresolved:"), "t"), F.lit("test"), F.lit(TEST_UNRESOLVED)),
     ]
     case = lambda i, other: _case([(p[0], p[i]) for p in pick], other)
-    return x.select(*refs.columns, case(1, F.col("to_id")).alias("test_id"), case(2, F.col("to_kind")).alias("test_kind"), case(3, F.greatest("confidence", F.lit(TEST_LEAST))).alias("confidence"))
+    rest = [c for c in resolved.columns if c not in ("to_id", "to_kind", "confidence")]
+    return x.select(*rest, case(1, F.col("to_id")).alias("test_id"), case(2, F.col("to_kind")).alias("test_kind"), case(3, F.greatest("confidence", F.lit(TEST_LEAST))).alias("confidence"))
+
+
+def resolve_tests(refs: DataFrame, cat: DataFrame) -> DataFrame:
+    """The same for covered_by entries (reference, file): test_id, test_kind and confidence."""
+    last = F.element_at(F.split(F.element_at(F.split(_trimmed("reference"), ":"), -1), r"\."), -1)
+    rows = refs.withColumns({"target": last, "container_fqname": F.lit(None).cast("string")})
+    return _test_ends(resolve(rows, cat), cat).select(*refs.columns, "test_id", "test_kind", "confidence")
 
 
 def import_targets(files: DataFrame) -> DataFrame:
@@ -127,25 +137,39 @@ def extract(files: DataFrame, symbols: DataFrame, others: DataFrame | None = Non
     cat = catalog(own if others is None else others, None if others is None else own)
     base = own.select("id", "name", "kind", "file_path", "start_line", "end_line", "container_id", "container_fqname", "calls", "covered_by", "repo_id", "commit_hash")
     node = file_node_id("repo_id", "file_path")
-    line = F.col("start_line").alias("line")
     keep = ["repo_id", "commit_hash"]
-    shape = lambda df, order, kind, frm, to, fk, tk, conf: df.select(F.lit(order).alias("ord"), F.lit(kind).alias("edge_type"), frm.alias("from_id"), to.alias("to_id"), fk.alias("from_kind"), tk.alias("to_kind"), F.col("file_path"), line, conf.cast("double").alias("confidence"), *keep)
-    defines = shape(base, 0, "DEFINES", node, F.col("id"), F.lit("file"), F.col("kind"), F.lit(1.0))
-    contains = shape(base.filter("container_id <> ''"), 1, "CONTAINS", F.col("container_id"), F.col("id"), F.lit("container"), F.col("kind"), F.lit(1.0))
-    calls = base.select(*base.columns, F.explode("calls").alias("target"), F.col("file_path").alias("file"))
-    calls = shape(resolve(calls.filter("target IS NOT NULL"), cat), 2, "CALLS", F.col("id"), F.col("to_id"), F.col("kind"), F.col("to_kind"), F.col("confidence"))
+    none = F.lit(None).cast("string")
+
+    def known(rows: DataFrame, order: int, kind: str, from_id: Column, from_kind: str) -> DataFrame:
+        return rows.select(F.lit(order).alias("ord"), F.lit(kind).alias("edge_type"), from_id.alias("from_id"), F.col("id").alias("to_id"), F.lit(from_kind).alias("from_kind"), F.col("kind").alias("to_kind"), "file_path", F.col("start_line").alias("line"), F.lit(1.0).alias("confidence"), *keep)
+
+    def named(rows: DataFrame, order: int, kind: str, target: Column, given: Column, own_id: Column, own_kind: Column, line: str, container: str | None) -> DataFrame:
+        """References by name of all kinds in one shape, so that they are resolved together."""
+        return rows.select(F.lit(order).alias("ord"), F.lit(kind).alias("edge_type"), own_id.alias("own_id"), own_kind.alias("own_kind"), F.col("file_path"), F.col(line).alias("line"), *keep, target.alias("target"), given.alias("reference"), F.col("file_path").alias("file"), (F.col(container) if container else none).alias("container_fqname"))
+
+    defines = known(base, 0, "DEFINES", node, "file")
+    contains = known(base.filter("container_id <> ''"), 1, "CONTAINS", F.col("container_id"), "container")
+    calls = base.withColumn("t", F.explode("calls")).filter("t IS NOT NULL")
     text = files.select(F.col("path").alias("file_path"), "content").dropDuplicates(["file_path"])
     body = F.array_join(F.slice(split_lines("content"), F.greatest(F.lit(1), F.col("start_line")), F.greatest(F.lit(0), F.col("end_line") - F.greatest(F.lit(1), F.col("start_line")) + 1)), "\n")
-    refs = base.join(text, "file_path").select(*base.columns, F.explode(reference_tokens(body, "name")).alias("target"), F.col("file_path").alias("file"))
-    refs = shape(resolve(refs, cat).filter("to_id <> id").withColumn("confidence", F.least("confidence", F.lit(REFERENCE_MOST))), 3, "REFERENCES", F.col("id"), F.col("to_id"), F.col("kind"), F.col("to_kind"), F.col("confidence"))
-    tests = base.select(*base.columns, F.explode(F.array_distinct("covered_by")).alias("reference"), F.col("file_path").alias("file")).filter("reference IS NOT NULL")
-    tests = shape(resolve_tests(tests, cat), 4, "TESTS", F.col("test_id"), F.col("id"), F.col("test_kind"), F.col("kind"), F.col("confidence"))
+    used = base.join(text, "file_path").withColumn("t", F.explode(reference_tokens(body, "name")))
+    tests = base.withColumn("r", F.explode(F.array_distinct("covered_by"))).filter("r IS NOT NULL")
+    last = F.element_at(F.split(F.element_at(F.split(_trimmed("r"), ":"), -1), r"\."), -1)
     repo = own.groupBy("file_path").agg(F.min("repo_id").alias("repo_id"), F.min("commit_hash").alias("commit_hash"))
-    imports = import_targets(files.dropDuplicates(["path"])).withColumnRenamed("path", "file_path").join(repo, "file_path").withColumns({"file": F.col("file_path"), "container_fqname": F.lit(None).cast("string"), "start_line": F.col("line")})
-    imports = shape(resolve(imports, cat, IMPORT_LEAST).withColumn("confidence", F.greatest("confidence", F.lit(IMPORT_LEAST))), 5, "IMPORTS", node, F.col("to_id"), F.lit("file"), F.col("to_kind"), F.col("confidence"))
-    out = defines
-    for p in (contains, calls, refs, tests, imports):
-        out = out.unionByName(p)
+    imports = import_targets(files.dropDuplicates(["path"])).withColumnRenamed("path", "file_path").join(repo, "file_path")
+    refs = named(calls, 2, "CALLS", F.col("t"), none, F.col("id"), F.col("kind"), "start_line", "container_fqname")
+    refs = refs.unionByName(named(used, 3, "REFERENCES", F.col("t"), none, F.col("id"), F.col("kind"), "start_line", "container_fqname"))
+    refs = refs.unionByName(named(tests, 4, "TESTS", last, F.col("r"), F.col("id"), F.col("kind"), "start_line", None))
+    refs = refs.unionByName(named(imports, 5, "IMPORTS", F.col("target"), none, node, F.lit("file"), "line", None))
+    scratch = Scratch(symbols.sparkSession, "edges")  # read by the distinct names and by what their answers are joined to
+    refs, cat = scratch.cut(refs, "references"), scratch.cut(cat, "catalog")
+    got = resolve(refs, cat)
+    plain = got.filter("edge_type <> 'TESTS' AND (edge_type <> 'REFERENCES' OR to_id <> own_id)")
+    c = F.col("confidence")
+    weight = F.when(F.col("edge_type") == "REFERENCES", F.least(c, F.lit(REFERENCE_MOST))).when(F.col("edge_type") == "IMPORTS", F.greatest(c, F.lit(IMPORT_LEAST))).otherwise(c)
+    plain = plain.select("ord", "edge_type", F.col("own_id").alias("from_id"), "to_id", F.col("own_kind").alias("from_kind"), "to_kind", "file_path", "line", weight.alias("confidence"), *keep)
+    covered = _test_ends(got.filter("edge_type = 'TESTS'"), cat).select("ord", "edge_type", F.col("test_id").alias("from_id"), F.col("own_id").alias("to_id"), F.col("test_kind").alias("from_kind"), F.col("own_kind").alias("to_kind"), "file_path", "line", "confidence", *keep)
+    out = defines.unionByName(contains).unionByName(plain).unionByName(covered)
     key = ["edge_type", "from_id", "to_id", "file_path", "line"]
     rest = ["from_kind", "to_kind", "confidence", *keep]
     out = out.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("ord", -F.col("confidence"), "to_kind")).alias("r")).select(*key, *(f"r.{c}" for c in rest))
@@ -173,8 +197,10 @@ def incident(edges: DataFrame, anchors: DataFrame, direction: str = "both", edge
 def neighbors(edges: DataFrame, anchors: DataFrame, k: int, direction: str = "both", edge_type: str | None = None) -> DataFrame:
     """Up to k edges of every anchor by endpoint match, confidence, module distance, latest commit, path, line and id."""
     rows = incident(edges, anchors, direction, edge_type)
-    latest = F.max(F.when((F.col("commit_hash") != "unknown") & (F.col("commit_hash") != ""), F.col("commit_hash"))).over(Window.partitionBy("symbol_id"))
-    rows = rows.withColumn("commit_penalty", F.when(F.col("commit_hash") == latest, 0).otherwise(1)).withColumn("module_distance", P.module_distance("anchor_path", "file_path"))
+    named = F.when((F.col("commit_hash") != "unknown") & (F.col("commit_hash") != ""), F.col("commit_hash"))
+    # summed on the map side and joined back, so that the row number below can drop a hub's rows before they are shuffled
+    latest = rows.groupBy(F.col("symbol_id").alias("l_id")).agg(F.max(named).alias("latest"))
+    rows = rows.join(latest, F.col("symbol_id") == F.col("l_id")).withColumn("commit_penalty", F.when(F.col("commit_hash") == F.col("latest"), 0).otherwise(1)).withColumn("module_distance", P.module_distance("anchor_path", "file_path"))
     order = [F.desc("endpoint_match"), F.desc("confidence"), "module_distance", "commit_penalty", "file_path", "line", "edge_id"]
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("symbol_id").orderBy(*order))).filter(F.col("rank") <= k)
     return rows.select("symbol_id", "rank", "edge_id", "edge_type", "from_id", "to_id", "file_path", "line", "confidence", "endpoint_match", "module_distance", "commit_penalty")

@@ -107,7 +107,7 @@ def boosted(hits: DataFrame, h: Hints) -> DataFrame:
         s = s + F.when(P.is_authority("path", h.domain), 0.01 if mixed else 0.03).otherwise(0.0)
         if h.domain == "code":
             dirs = rows.withColumn("dir", P.parent("path"))
-            best = dirs.agg(F.max_by("dir", F.struct("in_file", "raw_score")).alias("dir"))  # one row
+            best = dirs.agg(F.max(F.struct("in_file", "raw_score", "dir")).dir.alias("dir"))  # one row
             size = dirs.groupBy("dir").agg(F.count("*").alias("n")).filter("n >= 2")
             near = best.join(size, "dir").select("dir", F.lit(True).alias("near"))
             rows = dirs.join(F.broadcast(near), "dir", "left")  # at most one row

@@ -5,10 +5,16 @@ Tables are plain files, so a change makes a new relation: rows of touched keys g
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions import paths as P
 
@@ -37,9 +43,10 @@ SCHEMAS = {
         "symbols_added int, symbols_updated int, symbols_removed int, created_at timestamp, updated_at timestamp"
     ),
     "metadata": "key string, value string",
+    "watch_state": "path string, seq bigint, deleted boolean",
 }
 KEYS = {"files": ["path"], "symbols": ["id"], "chunks": ["chunk_id"], "edges": ["edge_id"], "embedding_ledger": ["embedding_profile", "record_kind", "text_hash"], "audits": ["symbol_id"], "audit_files": ["path"], "occurrence_files": ["path"]}
-PATH = {"files": "path", "symbols": "file_path", "chunks": "file_path", "edges": "file_path", "occurrences": "path", "occurrence_files": "path", "audits": "file_path", "audit_files": "path", "checkpoints": "path"}
+PATH = {"files": "path", "symbols": "file_path", "chunks": "file_path", "edges": "file_path", "occurrences": "path", "occurrence_files": "path", "audits": "file_path", "audit_files": "path", "checkpoints": "path", "watch_state": "path"}
 ORDER = {"symbols": ["file_path", "start_line", "id"], "chunks": ["file_path", "start_line", "chunk_part_index", "chunk_id"], "edges": ["file_path", "line", "edge_type", "edge_id"], "files": ["path"], "checkpoints": ["updated_at", "path"]}
 
 
@@ -198,54 +205,181 @@ def reusable_audits(audits: DataFrame, audited: DataFrame, now: DataFrame) -> Da
 
 
 class Store:
-    """Relations under one root; a build is written aside and becomes visible at once by a pointer file.
+    """Relations under one root, in buckets of their paths; a build is written aside and becomes visible at once.
 
-    Readers resolve the pointer first, so they see all relations of one build or of the other. The pointer is written to a new name and
-    renamed; the commit protocol of each table has finished before.
+    A build has a manifest that names, for each bucket of each relation, the build that wrote it, so a build of a few files rewrites the buckets of
+    these files and shares all others. It is published by a numbered pointer that is renamed into place; the newest pointer whose manifest is there
+    counts, and no step removes it, so a crash between any two steps leaves the former build or the new one. The last `keep` builds stay readable
+    for those who have begun to read them; `vacuum` removes what none of them names.
+
+    buckets: choose it so that a bucket of the largest relation is about a task's worth; it stays as it is for the life of a store.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, keep: int = 3):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        now = self._manifest(self.current())
+        self.buckets = now["buckets"] if now else buckets
+
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(f"{self.root}/{folder}")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def _put(self, path: str, text: str) -> None:
+        """A small file, complete or not there: written under another name and renamed."""
+        tmp = self._path(f"{self.root}/tmp/{uuid.uuid4().hex}")
+        out = self._fs.create(tmp, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        to = self._path(f"{self.root}/{path}")
+        self._fs.mkdirs(to.getParent())
+        if not self._fs.rename(tmp, to):
+            raise OSError(f"{path} could not be written")
+
+    def _get(self, path: str) -> str | None:
+        p = self._path(f"{self.root}/{path}")
+        if not self._fs.exists(p):
+            return None
+        r = self._fs.open(p)
+        try:
+            return bytes(r.readAllBytes()).decode()
+        finally:
+            r.close()
+
+    def _manifest(self, build: str | None) -> dict | None:
+        text = self._get(f"builds/{build}/manifest.json") if build else None
+        return json.loads(text) if text else None
 
     def current(self) -> str | None:
-        p = f"{self.root}/CURRENT"
-        return self.spark.read.text(p).first().value if self._fs.exists(self._path(p)) else None
+        """The newest published build whose manifest is there."""
+        for n in reversed(self._names("pointers")):
+            build = n.split("-", 1)[1]
+            if self._fs.exists(self._path(f"{self.root}/builds/{build}/manifest.json")):
+                return build
+        return None
+
+    def _write(self, name: str, rows: DataFrame, build: str, buckets: list[int]) -> dict[str, str]:
+        """Writes rows of the given buckets; returns which of them have rows."""
+        part, at = PATH.get(name), f"{self.root}/builds/{build}/{name}"
+        if part is None:
+            rows.write.mode("overwrite").parquet(f"{at}/bucket=0")
+            return {"0": build}
+        keyed = rows.withColumn("bucket", self._bucket(part))
+        keyed.repartition(max(1, len(buckets)), "bucket").sortWithinPartitions("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(at)  # rows of a file together: min and max prune
+        return {n.split("=")[1]: build for n in self._names(f"builds/{build}/{name}") if n.startswith("bucket=")}
+
+    def _bucket(self, part: str) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(F.col(part), F.lit(""))), F.lit(self.buckets)).cast("int")
 
     def stage(self, tables: dict[str, DataFrame], build: str | None = None) -> str:
-        """Writes the relations of a build; nothing is visible yet."""
+        """Writes whole relations as a build; nothing is visible yet."""
         build = build or uuid.uuid4().hex[:12]
-        for name, df in tables.items():
-            part = PATH.get(name)
-            rows = df if part is None else df.repartition(F.col(part)).sortWithinPartitions(part)  # rows of a file together: min and max prune
-            rows.write.mode("overwrite").parquet(f"{self.root}/builds/{build}/{name}")
+        done = {n: {"schema": df.schema.json(), "parts": self._write(n, df, build, [*range(self.buckets)])} for n, df in tables.items()}
+        self._put(f"builds/{build}/manifest.json", json.dumps({"buckets": self.buckets, "relations": done}))
+        return build
+
+    def stage_changes(self, fresh: dict[str, DataFrame], touched: DataFrame, relations: list[str], build: str | None = None) -> str:
+        """A build in which all rows of the touched paths (path) give way to the fresh ones; only their buckets are read and written."""
+        build, was = build or uuid.uuid4().hex[:12], self._manifest(self.current()) or {"relations": {}}
+        paths = touched.select("path").distinct()
+        hit = [r.b for r in paths.select(self._bucket("path").alias("b")).distinct().collect()]  # at most one row per bucket
+        done = dict(was["relations"])
+        for n in relations:
+            old = was["relations"].get(n)
+            rows = self._read(n, old, hit)
+            if old:
+                rows = rows.join(paths.select(F.col("path").alias(PATH[n])), PATH[n], "left_anti")
+            rows = rows.select(rows.columns if old or n not in fresh else fresh[n].columns)
+            if n in fresh:
+                rows = rows.unionByName(fresh[n].select(rows.columns)) if old else fresh[n]
+            kept = {b: where for b, where in (old["parts"] if old else {}).items() if int(b) not in set(hit)}
+            done[n] = {"schema": rows.schema.json(), "parts": kept | self._write(n, rows, build, hit)}
+        self._put(f"builds/{build}/manifest.json", json.dumps({"buckets": self.buckets, "relations": done}))
         return build
 
     def publish(self, build: str) -> None:
-        """Moves the pointer; the former build is removed only after that."""
-        was, tmp = self.current(), f"{self.root}/.CURRENT-{build}"
-        out = self._fs.create(self._path(tmp), True)
-        out.write(bytearray(build.encode()))
-        out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
-        if not self._fs.rename(self._path(tmp), self._path(f"{self.root}/CURRENT")):
-            raise OSError(f"build {build} could not be published")
-        if was and was != build:
-            self._fs.delete(self._path(f"{self.root}/builds/{was}"), True)
+        """Makes a build the current one; older ones go only when the pointer stands and `keep` newer ones do."""
+        if self._manifest(build) is None:
+            raise ValueError(f"build {build} is not complete")
+        last = max((int(n.split("-")[0]) for n in self._names("pointers")), default=0)
+        self._put(f"pointers/{last + 1:012d}-{build}", build)
+        self.vacuum()
+
+    def vacuum(self) -> list[str]:
+        """Removes pointers beyond the last `keep`, and what is in no build that the others name; returns the builds that went."""
+        pointers = self._names("pointers")
+        for n in pointers[: -self.keep]:
+            self._fs.delete(self._path(f"{self.root}/pointers/{n}"), False)
+        named = {n.split("-", 1)[1] for n in pointers[-self.keep :]}
+        published = {n.split("-", 1)[1] for n in pointers}
+        used = set(named)
+        for b in named:
+            for rel in (self._manifest(b) or {"relations": {}})["relations"].values():
+                used |= set(rel["parts"].values())
+        # a build that was never published may still be written by another process: it is left alone
+        gone = [b for b in self._names("builds") if b not in used and (b in published or self._get(f"builds/{b}/retired") is not None)]
+        for b in self._names("builds"):
+            if b in used and b not in named and self._get(f"builds/{b}/retired") is None:
+                self._put(f"builds/{b}/retired", "")  # its pointer is gone, some of its buckets are still named
+        for b in gone:
+            self._fs.delete(self._path(f"{self.root}/builds/{b}"), True)
+        return gone
 
     def adopt(self, source: str, build: str) -> None:
-        """Takes a build that was written elsewhere on the same file system."""
+        """Takes a build that a store elsewhere on the same file system wrote in one piece."""
         self._fs.mkdirs(self._path(f"{self.root}/builds"))
         if not self._fs.rename(self._path(source), self._path(f"{self.root}/builds/{build}")):
             raise OSError(f"{source} could not be adopted")
+        m = self._manifest(build)
+        for rel in m["relations"].values():
+            rel["parts"] = dict.fromkeys(rel["parts"], build)
+        self._fs.delete(self._path(f"{self.root}/builds/{build}/manifest.json"), False)
+        self._put(f"builds/{build}/manifest.json", json.dumps(m))
+
+    def _read(self, name: str, entry: dict | None, buckets: list[int] | None = None) -> DataFrame:
+        if entry is None:
+            return empty(self.spark, name) if name in SCHEMAS else self.spark.createDataFrame([], "path string")
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        at = [f"{self.root}/builds/{b}/{name}/bucket={k}" for k, b in sorted(entry["parts"].items()) if buckets is None or int(k) in set(buckets)]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
-        build = self.current()
-        if build is None:
-            return empty(self.spark, name)
-        return self.spark.read.parquet(f"{self.root}/builds/{build}/{name}")
+        m = self._manifest(self.current())
+        return self._read(name, m["relations"].get(name) if m else None)
+
+    @contextmanager
+    def writer(self, total_ms: int = 5000, stale_ms: int = 600_000) -> Iterator[None]:
+        """One writer at a time, by a lock file that only one process can create; waits grow from 25 to 250 ms. A lock older than stale_ms is broken."""
+        lock = self._path(f"{self.root}/writer.lock")
+        waits = iter(backoff(total_ms=total_ms))
+        while True:
+            try:
+                self._fs.create(lock, False).close()
+                break
+            except Py4JJavaError:
+                age = time.time() * 1000 - self._fs.getFileStatus(lock).getModificationTime() if self._fs.exists(lock) else 0
+                wait = next(waits, None)
+                if age > stale_ms:
+                    self._fs.delete(lock, False)
+                elif wait is None:
+                    raise TimeoutError(f"another process writes {self.root}") from None
+                else:
+                    time.sleep(wait / 1000)
+        try:
+            yield
+        finally:
+            self._fs.delete(lock, False)
+
+
+def backoff(first_ms: int = 25, most_ms: int = 250, total_ms: int = 5000) -> list[int]:
+    """Waits between tries of a writer: doubled up to a limit, together no longer than the total."""
+    out, wait = [], first_ms
+    while sum(out) + wait <= total_ms:
+        out.append(wait)
+        wait = min(most_ms, wait * 2)
+    return out
 
 
 def first_per(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions import paths as P
-from tessera.operators.relations import PATH, Store
+from tessera.operators.relations import PATH, Store, backoff  # noqa: F401
 from tessera.sources.scan import supported
 
 CHANGE = "seq long, op string, path string"
@@ -65,39 +65,53 @@ def apply_batch(tables: dict[str, DataFrame], work: DataFrame, build: Callable[[
 
 
 def watch(changes: DataFrame, store: Store, build: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, relations: list[str], root: str | None = None, seconds: float | None = 0.3, sticky: bool = False) -> StreamingQuery:
-    """Starts the streaming query over a change stream. seconds None: takes what is there and ends."""
-    spark: SparkSession = changes.sparkSession
-    state_path = f"{store.root}/state"
+    """Starts the streaming query over a change stream. seconds None: takes what is there and ends.
+
+    A batch rewrites the buckets of its paths alone; the state of the paths is a relation of the same build, so both become visible at once.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         """A batch that was published before its commit was recorded is found by its number and left alone."""
         done = store.current()
         if done and done.startswith("batch-") and int(done.split("-")[1]) >= number:
             return
+        df = df.persist()  # read once
         if df.isEmpty():
+            df.unpersist()
             return
-        state = spark.read.parquet(f"{state_path}/{done}") if done and done.startswith("batch-") else None
-        seen = in_scope(df, root)
-        work = newer(state, coalesce(seen, sticky)).persist()
-        name = f"batch-{number}"
-        fold(state, seen, sticky).write.mode("overwrite").parquet(f"{state_path}/{name}")
-        store.stage(apply_batch({r: store.read(r) for r in relations}, work, build), name)
-        work.unpersist()
-        store.publish(name)
+        with store.writer():
+            state = store.read("watch_state") if done and done.startswith("batch-") else None
+            work = newer(state, coalesce(in_scope(df, root), sticky)).persist()
+            fresh = build(work.filter("NOT deleted").select("path"))
+            fresh["watch_state"] = fold(state if state is None else state.join(work.select("path"), "path", "left_semi"), work.select("path", "seq", F.when(F.col("deleted"), "deleted").otherwise("modified").alias("op")))
+            name = store.stage_changes(fresh, work, [*relations, "watch_state"], f"batch-{number}")
+            work.unpersist()
+            df.unpersist()
+            store.publish(name)
 
     w = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if seconds is None else w.trigger(processingTime=f"{int(seconds * 1000)} milliseconds")).start()
 
 
-def status(q: StreamingQuery) -> dict:
+def status(q: StreamingQuery, totals: dict | None = None) -> dict:
     p = q.lastProgress or {}
-    return {"active": q.isActive, "batch": p.get("batchId"), "rows": p.get("numInputRows"), "failure": str(q.exception()) if q.exception() else None}
-
-
-def backoff(first_ms: int = 25, most_ms: int = 250, total_ms: int = 5000) -> list[int]:
-    """Waits between tries of a writer: doubled up to a limit, together no longer than the total."""
-    out, wait = [], first_ms
-    while sum(out) + wait <= total_ms:
-        out.append(wait)
-        wait = min(most_ms, wait * 2)
-    return out
+    return {"active": q.isActive, "batch": p.get("batchId"), "rows": p.get("numInputRows"), "failure": str(q.exception()) if q.exception() else None, **({"totals": totals} if totals is not None else {})}
+
+
+def serve(q: StreamingQuery, beat: Callable[[dict], None], wanted: Callable[[], bool], seconds: float = 1.0) -> dict:
+    """Runs a watch in the foreground until it ends or is no longer wanted (a stop file, a signal); `beat` gets its state and running totals at each heartbeat."""
+    totals, seen = {"batches": 0, "rows": 0}, set()
+
+    def add() -> dict:
+        for p in q.recentProgress:
+            if p["batchId"] not in seen and p["numInputRows"]:
+                seen.add(p["batchId"])
+                totals["batches"], totals["rows"] = totals["batches"] + 1, totals["rows"] + p["numInputRows"]
+        return status(q, dict(totals))
+
+    while q.isActive and wanted():
+        q.awaitTermination(seconds)
+        beat(add())
+    if q.isActive:
+        q.stop()
+    return add()

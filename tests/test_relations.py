@@ -65,7 +65,7 @@ def test_audit_rows(spark):
 
 
 def test_store_publishes_at_once(spark, tmp_path):
-    st = R.Store(spark, str(tmp_path / "s"))
+    st = R.Store(spark, str(tmp_path / "s"), keep=1)
     a = spark.createDataFrame([("a", "x", "h", NOW)], R.SCHEMAS["files"])
     assert st.read("files").count() == 0
     b = st.stage({"files": a}, "one")
@@ -173,3 +173,70 @@ def test_audit_scores_whole_code(spark):
     s = spark.createDataFrame([("s", "some documentation", "go", "c")], "id string, docstring string, language string, commit_hash string")
     whole, cut = (A.scores(s, code, max_code=m).first().semantic_score for m in (None, 4000))
     assert whole != cut
+
+
+def test_a_crash_between_any_two_steps_leaves_a_whole_build(spark, tmp_path):
+    """Every change to the file system is a step; whatever fails, readers see the rows of the former build or those of the new one."""
+    one, two = (spark.createDataFrame([(f"p{i}", "python", h, None) for i in range(6)], R.SCHEMAS["files"]) for h in ("one", "two"))
+    step, failed = 0, True
+    while failed:
+        root = str(tmp_path / f"s{step}")
+        store = R.Store(spark, root, buckets=2, keep=1)
+        store.publish(store.stage({"files": one}, "one"))
+        fs, count = store._fs, [0]
+
+        class Failing:
+            def __getattr__(self, name):
+                f = getattr(fs, name)
+                if name not in ("create", "rename", "delete", "mkdirs"):
+                    return f
+
+                def run(*a):
+                    count[0] += 1
+                    if count[0] == step + 1:
+                        raise RuntimeError("crash")
+                    return f(*a)
+
+                return run
+
+        store._fs, failed = Failing(), False
+        try:
+            store.publish(store.stage({"files": two}, "two"))
+        except RuntimeError:
+            failed = True
+        again = R.Store(spark, root)
+        got = {r.content_hash for r in again.read("files").collect()}
+        assert got in ({"one"}, {"two"}) and again.read("files").count() == 6, step
+        if not failed:
+            assert got == {"two"}
+        step += 1
+    assert step > 5
+
+
+def test_old_builds_stay_for_their_readers(spark, tmp_path):
+    store = R.Store(spark, str(tmp_path / "s"), buckets=4, keep=2)
+    make = lambda h: spark.createDataFrame([(f"p{i}", "python", h, None) for i in range(20)], R.SCHEMAS["files"])
+    store.publish(store.stage({"files": make("0")}, "b0"))
+    reader = store.read("files")
+    store.publish(store.stage_changes({"files": make("1").filter("path = 'p3'")}, make("1").filter("path = 'p3'"), ["files"], "b1"))
+    assert {r.content_hash for r in reader.collect()} == {"0"} and store.read("files").filter("content_hash = '1'").count() == 1
+    for k in range(2, 5):
+        store.publish(store.stage_changes({"files": make(str(k)).filter("path = 'p3'")}, make("1").filter("path = 'p3'"), ["files"], f"b{k}"))
+    assert store.read("files").count() == 20 and {r.content_hash for r in store.read("files").filter("path = 'p3'").collect()} == {"4"}
+    assert "b0" in store._names("builds") and "b1" not in store._names("builds")  # most buckets are still those of the first build
+    store.publish(store.stage({"files": make("9")}, "whole"))
+    store.publish(store.stage({"files": make("8")}, "more"))
+    assert store._names("builds") == ["more", "whole"]
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    import pytest
+
+    store = R.Store(spark, str(tmp_path / "s"))
+    with store.writer():
+        with pytest.raises(TimeoutError), store.writer(total_ms=100):
+            pass
+        with store.writer(total_ms=100, stale_ms=-1):
+            pass
+    with store.writer():
+        pass

@@ -57,3 +57,26 @@ def test_watch_updates_all_relations_once(spark, tmp_path):
 
 def test_backoff():
     assert W.backoff()[:5] == [25, 50, 100, 200, 250] and sum(W.backoff()) <= 5000
+
+
+def test_a_batch_rewrites_one_bucket(spark, tmp_path):
+    src, store = tmp_path / "changes", Store(spark, str(tmp_path / "store"), buckets=8)
+    store.publish(store.stage({"files": spark.createDataFrame([(f"w/{i}.py", "python", "h", None) for i in range(200)], FILES)}, "start"))
+    build = lambda paths: {"files": paths.selectExpr("path", "'python' AS language", "'new' AS content_hash", "CAST(NULL AS TIMESTAMP) AS last_indexed")}
+    spark.createDataFrame([(1, "modified", "w/7.py")], W.CHANGE).write.parquet(str(src))
+    beats = []
+    q = W.watch(spark.readStream.schema(W.CHANGE).parquet(str(src)), store, build, str(tmp_path / "cp"), ["files"], seconds=None)
+    end = W.serve(q, beats.append, lambda: True)
+    assert end["failure"] is None and end["totals"] == {"batches": 1, "rows": 1} and beats
+    parts = store._manifest(store.current())["relations"]["files"]["parts"]
+    assert len(parts) == 8 and sorted(parts.values()).count("batch-0") == 1
+    assert sorted((r.path, r.content_hash) for r in store.read("files").collect()) == sorted((f"w/{i}.py", "new" if i == 7 else "h") for i in range(200))
+
+
+def test_a_watch_that_is_no_longer_wanted_stops(spark, tmp_path):
+    src = tmp_path / "changes"
+    spark.createDataFrame([(1, "modified", "w/7.py")], W.CHANGE).write.parquet(str(src))
+    store = Store(spark, str(tmp_path / "store"))
+    q = W.watch(spark.readStream.schema(W.CHANGE).parquet(str(src)), store, lambda p: {}, str(tmp_path / "cp"), ["files"], seconds=0.1)
+    left = iter([True] * 4)
+    assert W.serve(q, lambda s: None, lambda: next(left, False))["active"] is False
