@@ -23,7 +23,7 @@ def shell_word(c: Column) -> Column:
 
 def target(hits: Column) -> Column:
     """What the next action is about: the first hit, the file or directory that the first hits share, or the first hit's file."""
-    first, prefix, action = hits[0], F.col("suggested_prefix"), F.col("next_action")
+    first, prefix, action = F.get(hits, F.lit(0)), F.col("suggested_prefix"), F.col("next_action")
     none, whole = F.lit(None).cast("int"), F.lit("file")
     make = lambda kind, path, rank=none, start=none, end=none: F.struct(kind.alias("kind"), rank.alias("rank"), path.alias("path"), start.alias("start_line"), end.alias("end_line"))
     known = F.exists(hits, lambda x: x.path == prefix)
@@ -38,7 +38,7 @@ def next_command(hits: Column, query: Column, about: Column) -> Column:
     """One command that narrows an ambiguous search; null if the first hit is the answer or nothing was found."""
     prefix = F.nullif("suggested_prefix", F.lit(""))
     known = F.exists(hits, lambda x: x.path == prefix)
-    where = F.coalesce(prefix, hits[0].path)
+    where = F.coalesce(prefix, F.get(hits, F.lit(0)).path)
     flag = F.when(prefix.isNotNull() & ~known, "--path-prefix").otherwise("--file")
     command = F.concat_ws(" ", F.lit(COMMAND), shell_word(query), flag, shell_word(where), F.when(about.isNotNull(), F.concat(F.lit("--about "), shell_word(about))))
     return F.when((F.col("next_action") != "open_hit_1") & where.isNotNull(), command)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import data_queries, index_queries, relation_queries, search_queries
+from tessera.plans import data_queries, index_queries, pipeline_queries, relation_queries, search_queries
 
-MODULES = [data_queries, index_queries, search_queries, relation_queries]
+MODULES = [data_queries, index_queries, search_queries, relation_queries, pipeline_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
