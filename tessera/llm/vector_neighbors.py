@@ -1,17 +1,21 @@
 """The most similar vectors of every vector, by score-aware quantisation, four-bit table scans and exact reranking.
 
-Per profile and kind: cell centres and code books are fitted on a bounded sample (`SAMPLE` vectors, chosen by hash). Every vector is
+Per profile and kind: cell centres and code books are fitted on a bounded sample (chosen by hash). Every vector is
 then indexed: it goes to the cell of its nearest centre, and what is left of it is coded by pairs of dimensions with 16 code words
-each. Code words are chosen and fitted under the score-aware loss, in which the error parallel to the vector weighs ETA times the
-error across it, because that is what changes the largest inner products. Every vector is also a query against the `probes` best cells: a
-table of 16 inner products per pair of dimensions is made once, the codes of the cell are looked up in it (two codes to a byte), and the best
-are scored again in double precision on the vectors as they were given.
+each. Code words are chosen and fitted under the score-aware loss, in which the error parallel to the vector weighs `eta` times the
+error across it, because that is what changes the largest inner products. With its code a vector keeps the length of its error, which bounds by how much
+a scanned score can be wrong.
 
-What that finds only sets each query's floor: its k-th cosine so far, or `least`. Then the search is completed without a limit on cells or
-members: the angle to a member is at least the difference of the query's and the member's angles to the member's centre, so a cell is passed over
-only if no member of it can reach the floor; all members of the others are scored. The result is exact.
-Cells and queries are cut into blocks of bounded size, so a crowded cell spreads over tasks. Vectors that are equal bit by bit are
-searched once; the copies get their results by a join.
+Every vector is also a query. First it searches its `probes` best cells: a table of 16 inner products per pair of dimensions is made once, the codes of
+a cell are looked up in it (two codes to a byte), and the members whose score plus error can reach the query's floor (`least`, or its k-th cosine so far)
+are scored again in double precision on the vectors as they were given. Then it searches, in the same way, the other cells that may hold a member beyond
+its floor: the angle to a member is at least the difference of the query's and the member's angles to the member's centre. There the codes are
+decoded once for all queries of a cell, which gives the same sums by one matrix product. No cell or member is passed over without such a bound, so the result is
+exact; `complete=False` leaves out the second search, for collections in which an approximate answer is enough.
+
+Cells are put into tiles of about TILE members by halving the centres along their widest direction, so neighbouring cells share a tile and a query is
+sent once per tile, not per cell. A crowded cell is split over several tiles, and the queries of a tile are cut into blocks. Vectors that are equal bit by bit
+are searched once; the copies get their results by a join.
 
 Defined cases: of a key's rows that with the latest time counts (of equal times, the largest vector). A null vector, one of the wrong length, with a
 value that is no number or infinite, or with zeros only has no result and is nobody's neighbour. Equal cosines (9 places) order by
@@ -33,13 +37,14 @@ from pyspark.sql import functions as F
 from tessera.runtime import Scratch
 
 K, LEAST = 3, 0.85
-SAMPLE, CELLS_MOST, PROBES, RERANK = 16384, 2048, 20, 64
-T = 0.2
-MEMBERS, QUERIES = 4096, 16384
+PROBES, T = 8, 0.2
+#: Cells grow as the root of the number of vectors, up to `cells_most` a group; the sample has at least SAMPLE vectors, and PER_CELL for each cell.
+CELLS_MOST, SAMPLE, PER_CELL = 16384, 16384, 16
+TILE, QUERIES = 8192, 16384
 MODELS_MB = 64
-# The completion: vectors of a tile on either side, queries scored at once, hits kept before they are cut to the best, hits of a query in a cell
-# from which the cell is scored in doubles; what single precision and the rounding to 9 places may hide.
-TILE, STEP, HITS, FEW, SLACK, PLACES = 32768, 2048, 500_000, 8, 1e-5, 1e-9
+# Queries scored at once, hits kept before they are cut to the best, hits of a query in a cell from which the cell is scored in doubles by one product;
+# what single precision and the rounding to 9 places may hide; what the angles of two computations may differ by.
+STEP, HITS, FEW, SLACK, PLACES, ANGLE = 2048, 500_000, 8, 1e-5, 1e-9, 1e-6
 
 
 def eta(dims: int, t: float = T) -> float:
@@ -52,15 +57,20 @@ def _pad(x: np.ndarray) -> np.ndarray:
 
 
 def nearest(u: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    """The k best centres of each row, best first."""
-    s = u @ centres.T
-    k = min(k, len(centres))
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(centres) else np.tile(np.arange(k), (len(u), 1))
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+    """The k best centres of each row, best first; in blocks, so that no table of all rows and centres is held."""
+    k, step = min(k, len(centres)), max(1, 16_000_000 // len(centres))
+    out = np.empty((len(u), k), np.int64)
+    for i in range(0, len(u), step):
+        s = u[i : i + step] @ centres.T
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(centres) else np.tile(np.arange(k), (len(s), 1))
+        out[i : i + step] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def encode(u: np.ndarray, left: np.ndarray, book: np.ndarray, weight: float, sweeps: int = 3) -> np.ndarray:
     """Codes (rows x pairs of dimensions) of the residuals `left` of unit vectors `u` under the score-aware loss."""
+    if len(u) > 16384:
+        return np.concatenate([encode(u[i : i + 16384], left[i : i + 16384], book, weight, sweeps) for i in range(0, len(u), 16384)])
     n, m = len(u), len(book)
     x, r = u.reshape(n, m, 2), left.reshape(n, m, 2)
     codes = np.argmin(((r[:, :, None, :] - book[None]) ** 2).sum(-1), axis=2)
@@ -121,6 +131,13 @@ def scan(q: np.ndarray, centre: np.ndarray, book: np.ndarray, packed: np.ndarray
     return out
 
 
+def decode(centre: np.ndarray, book: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for."""
+    m = len(book)
+    codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, :m]
+    return centre + book[np.arange(m), codes].reshape(len(packed), -1)
+
+
 def pack(codes: np.ndarray) -> np.ndarray:
     if codes.shape[1] % 2:
         codes = np.pad(codes, ((0, 0), (0, 1)))
@@ -153,8 +170,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
 
 
-def cell_count(n: int) -> int:
-    return int(min(CELLS_MOST, max(1, round(2 * n**0.5)), max(1, n // 8)))
+def cell_count(n: int, cells_most: int = CELLS_MOST) -> int:
+    return int(min(cells_most, max(1, round(2 * n**0.5)), max(1, n // 8)))
 
 
 def _exact_unit(v: np.ndarray) -> np.ndarray:
@@ -163,45 +180,86 @@ def _exact_unit(v: np.ndarray) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def complete(
-    asked: np.ndarray, qid: np.ndarray, floor: np.ndarray, given: np.ndarray, mid: np.ndarray, home: np.ndarray, names: np.ndarray, centres: np.ndarray, k: int
+def tiles(centres: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Tile of each cell: halved along the widest direction of the centres until a tile has at most `most` members or one cell."""
+    out, todo, n = np.zeros(len(centres), np.int64), [np.arange(len(centres))], 0
+    while todo:
+        idx = todo.pop()
+        if len(idx) == 1 or counts[idx].sum() <= most:
+            out[idx], n = n, n + 1
+            continue
+        c = centres[idx] - centres[idx].mean(0)
+        order = idx[np.argsort(c @ np.linalg.svd(c, full_matrices=False)[2][0], kind="stable")]
+        half = int(np.clip(np.searchsorted(counts[order].cumsum(), counts[order].sum() / 2) + 1, 1, len(order) - 1))
+        todo += [order[half:], order[:half]]
+    return out
+
+
+class Cells:
+    """What the tasks know of a group's cells: centres, code book, angles of the members to their centre, and where the members are."""
+
+    def __init__(self, centres: np.ndarray, book: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray, first_slot: int):
+        self.centres, self.book, self.low, self.high = centres, book, low, high
+        self.tile = tiles(centres, counts, TILE)
+        size = np.bincount(self.tile, counts)
+        self.blocks = np.maximum(1, -(-size // TILE)).astype(np.int64)  # only a tile of one cell has more than one
+        self.slot = first_slot + np.concatenate([[0], np.cumsum(self.blocks)[:-1]])
+        self.slots = int(self.blocks.sum())
+        c = centres.astype(np.float64)
+        self.unit = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+
+    def gap(self, q: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The least angle between each query and any member of each cell; that of cells without members is pi."""
+        angle = np.arccos(np.clip(q @ self.unit[cells, : q.shape[1]].T, -1, 1))
+        return np.maximum(np.maximum(angle - self.high[cells], self.low[cells] - angle), 0)
+
+    def slots_of(self, tile: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.slot[t], self.slot[t] + self.blocks[t]) for t in tile]) if len(tile) else np.zeros(0, np.int64)
+
+
+def look(
+    cells: Cells, asked: np.ndarray, qid: np.ndarray, floor: np.ndarray, probes: np.ndarray, given: np.ndarray, mid: np.ndarray, home: np.ndarray, names: np.ndarray, packed: np.ndarray, eps: np.ndarray, second: bool, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, cosine): of each query the k best members with at least its floor. Members are in order of their cells, then names."""
-    dims = given.shape[1]
+    """(query, member, cosine): of each query the k best members with at least its floor, in the cells that it probes, or (second) in the others that may hold such a member.
+
+    Members are in order of their cells, then names.
+    """
     m = _exact_unit(given)
-    short, rank = m.astype(np.float32), np.argsort(np.argsort(names, kind="stable"))
+    rank = np.argsort(np.argsort(names, kind="stable"))
     cut = [0, *(np.flatnonzero(np.diff(home)) + 1), len(home)]
-    cells = [(a, b) for a, b in zip(cut, cut[1:])]
-    c = centres[[home[a] for a, _ in cells]].astype(np.float64)[:, :dims]
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-    beta = [np.arccos(np.clip(m[a:b] @ c[i], -1, 1)) for i, (a, b) in enumerate(cells)]
-    low, high = np.array([x.min() for x in beta]), np.array([x.max() for x in beta])
+    spans = list(zip(cut, cut[1:]))
+    own = home[cut[:-1]]
+    plain = [decode(cells.centres[c], cells.book, packed[a:b]) for c, (a, b) in zip(own, spans)] if second else []
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in range(0, len(asked), STEP):
         q, ids, bar = _exact_unit(asked[s : s + STEP]), qid[s : s + STEP], floor[s : s + STEP].copy()
-        q32, hits, held = q.astype(np.float32), [], 0
-        angle = np.arccos(np.clip(q @ c.T, -1, 1))
-        gap = np.maximum(np.maximum(angle - high, low - angle), 0) - 1e-6
-        for i in np.argsort(gap.min(0), kind="stable"):
-            a, b = cells[i]
-            rows = np.flatnonzero(np.cos(np.maximum(gap[:, i], 0)) >= bar - PLACES)
+        q32, hits, held = _pad(q.astype(np.float32)), [], 0
+        among = (probes[s : s + STEP, :, None] == own[None, None]).any(1)
+        gap = cells.gap(q, own) - ANGLE
+        reach = np.where(among == second, np.pi, np.maximum(gap, 0))
+        for i in np.argsort(reach.min(0), kind="stable"):
+            a, b = spans[i]
+            rows = np.flatnonzero((among[:, i] != second) & (np.cos(reach[:, i]) >= bar - PLACES))
             if not len(rows):
                 continue
             for at in range(a, b, 4096):
                 to = min(b, at + 4096)
-                hit = q32[rows] @ short[at:to].T >= (bar[rows] - SLACK).astype(np.float32)[:, None]
+                score = q32[rows] @ plain[i][at - a : to - a].T if second else np.concatenate([scan(q32[rows[x : x + 512]], cells.centres[own[i]], cells.book, packed[at:to]) for x in range(0, len(rows), 512)])
+                hit = score + eps[None, at:to] >= (bar[rows] - SLACK).astype(np.float32)[:, None]
                 many = hit.sum(1) > max(FEW, k)
                 if many.any():  # scored in doubles; of equal cosines the smaller names
                     r = rows[many]
                     cos = np.round(q[r] @ m[at:to].T, 9)
                     cos[ids[r][:, None] == mid[None, at:to]] = -2
-                    kth = np.partition(cos, -k, axis=1)[:, -k][:, None]
+                    top = min(k, to - at)
+                    kth = np.partition(cos, -top, axis=1)[:, -top][:, None]
                     equal = cos == kth
-                    keep = (cos > kth) | (equal & (np.cumsum(equal, axis=1) <= k - (cos > kth).sum(1, keepdims=True)))
+                    keep = (cos > kth) | (equal & (np.cumsum(equal, axis=1) <= top - (cos > kth).sum(1, keepdims=True)))
                     x, y = np.nonzero(keep & (cos >= bar[r][:, None] - PLACES))
                     hits.append((r[x], y + at, cos[x, y]))
                     held += len(x)
-                    bar[r] = np.maximum(bar[r], kth[:, 0])
+                    if top == k:
+                        bar[r] = np.maximum(bar[r], kth[:, 0])
                     hit[many] = False
                 x, y = np.nonzero(hit)
                 x, y = rows[x], y + at
@@ -236,31 +294,33 @@ def _best(hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rank: np.ndarra
     return x[keep], y[keep], cos[keep]
 
 
-def _models(classes: DataFrame) -> list[tuple[str, str, int, np.ndarray, np.ndarray]]:
-    """profile, kind, dimension, centres, book of each group of vectors; one group's sample is at most SAMPLE vectors."""
+def _models(classes: DataFrame, cells_most: int, sample: int) -> list[tuple[str, str, int, np.ndarray, np.ndarray]]:
+    """profile, kind, dimension, centres, book of each group of vectors, fitted on a bounded sample of it; groups in tasks of their own."""
     group = ["profile", "kind", "dims"]
     sizes = classes.groupBy(group).agg(F.count("*").alias("n"))
+    cells = F.least(F.lit(cells_most), F.greatest(F.lit(1), F.round(2 * F.sqrt("n"))))
+    sizes = sizes.withColumn("most", F.greatest(F.lit(sample), PER_CELL * cells))
     # about twice the sample by hash before the window, so that what a task receives doesn't grow with the number of tasks
-    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")) * float(1 << 30)
+    share = F.least(F.lit(1.0), 2.0 * F.col("most") / F.col("n")) * float(1 << 30)
     near = classes.join(sizes, group).filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= share)
     w = Window.partitionBy(group).orderBy(F.xxhash64("key"), "key")
-    sample = near.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= SAMPLE)
+    taken = near.repartition(16, *group).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= F.col("most"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        centres, book = fit(_unit(_vectors(pdf.vec.tolist())), cell_count(int(pdf.n.iloc[0])))
+        centres, book = fit(_unit(_vectors(pdf.vec.tolist())), cell_count(int(pdf.n.iloc[0]), cells_most))
         return pd.DataFrame({"profile": pdf.profile[:1], "kind": pdf.kind[:1], "dims": pdf.dims[:1], "centres": [centres.tobytes()], "book": [book.tobytes()]})
 
     out = []
-    for r in sample.groupBy(group).applyInPandas(run, "profile string, kind string, dims int, centres binary, book binary").toLocalIterator():
+    for r in taken.groupBy(group).applyInPandas(run, "profile string, kind string, dims int, centres binary, book binary").toLocalIterator():
         wide = r.dims + r.dims % 2
         out.append((r.profile, r.kind, r.dims, np.frombuffer(r.centres, np.float32).reshape(-1, wide), np.frombuffer(r.book, np.float32).reshape(-1, 16, 2)))
     return sorted(out, key=lambda m: m[:3])
 
 
-def _search(classes: DataFrame, models: list, scratch: Scratch, label: str, k: int, least: float, probes: int, rerank: int) -> DataFrame:
+def _search(classes: DataFrame, models: list, scratch: Scratch, label: str, k: int, least: float, probes: int, complete: bool) -> DataFrame:
     """(rid, other, name, cos): up to k neighbours of each class among the classes of its group."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    context = classes.sparkSession.sparkContext
+    shared = context.broadcast(models)
     where = {m[:3]: i for i, m in enumerate(models)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,95 +330,125 @@ def _search(classes: DataFrame, models: list, scratch: Scratch, label: str, k: i
                 t = b.take(pa.array([i for i, x in enumerate(names) if where.get(x) == g], pa.int32()))
                 _, _, _, centres, book = shared.value[g]
                 u = _pad(_unit(_vectors(t.column("vec").to_pylist())))
-                cells = nearest(u, centres, probes)
-                codes = pack(encode(u, u - centres[cells[:, 0]], book, eta(u.shape[1])))
-                n = len(u)
+                near = nearest(u, centres, probes)
+                home, n = near[:, 0], len(u)
+                codes = encode(u, u - centres[home], book, eta(u.shape[1]))
+                eps = np.linalg.norm(u - centres[home] - book[np.arange(len(book)), codes].reshape(n, -1), axis=1)
+                unit = centres[home].astype(np.float64)
+                unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+                angle = np.arccos(np.clip((_pad(_exact_unit(_vectors(t.column("vec").to_pylist()))) * unit).sum(1), -1, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, g, np.int32)), t.column("rid"), t.column("name"), t.column("vec"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(cells[:, 0].astype(np.int32)), pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))],
-                    ["g", "rid", "name", "vec", "codes", "home", "probes"])
-
-    placed = scratch.cut(classes.mapInArrow(place, "g int, rid bigint, name string, vec binary, codes binary, home int, probes array<int>"), f"placed{label}")
-    asks = placed.select("g", "rid", "vec", F.explode("probes").alias("cell"))
-    # at most CELLS_MOST rows a model
-    mb = placed.groupBy("g", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mbs"))
-    qb = placed.select("g", F.explode("probes").alias("cell")).groupBy("g", "cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qbs"))
-    blocks = mb.join(qb, ["g", "cell"])
-    spread = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = placed.withColumn("cell", F.col("home")).join(F.broadcast(blocks), ["g", "cell"]).withColumn("mb", spread("mbs")).withColumn("qb", every("qbs")).select("g", "cell", "mb", "qb", "rid", "vec", "codes", "name")
-    queries = asks.join(F.broadcast(blocks), ["g", "cell"]).withColumn("qb", spread("qbs")).withColumn("mb", every("mbs")).select("g", "cell", "mb", "qb", "rid", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("string").alias("name"))
-
-    def cell(t: pa.Table) -> pa.Table:
-        g, c = t.column("g")[0].as_py(), t.column("cell")[0].as_py()
-        _, _, _, centres, book = shared.value[g]
-        own = t.column("name").is_valid()
-        mem, ask = t.filter(own), t.filter(pa.compute.invert(own))
-        empty = pa.table({"rid": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
-        if not len(mem) or not len(ask):
-            return empty
-        packed = np.frombuffer(b"".join(mem.column("codes").to_pylist()), np.uint8).reshape(len(mem), -1)
-        mv, mid, names = _vectors(mem.column("vec").to_pylist()).astype(np.float64), mem.column("rid").to_numpy(), np.array(mem.column("name").to_pylist(), object)
-        mv /= np.abs(mv).max(1, keepdims=True)
-        mn = np.linalg.norm(mv, axis=1)
-        qall, qid = _vectors(ask.column("vec").to_pylist()), ask.column("rid").to_numpy()
-        out: list[tuple] = []
-        step = max(1, 2_000_000 // len(mem))
-        for s in range(0, len(qid), step):
-            q, qi = qall[s : s + step].astype(np.float64), qid[s : s + step]
-            q /= np.abs(q).max(1, keepdims=True)
-            qn = np.linalg.norm(q, axis=1)
-            score = scan(_pad((q / qn[:, None]).astype(np.float32)), centres[c], book, packed)
-            score[qi[:, None] == mid[None]] = -np.inf
-            r = min(rerank, len(mem))
-            top = np.argpartition(-score, r - 1, axis=1)[:, :r] if r < len(mem) else np.tile(np.arange(r), (len(qi), 1))
-            cos = np.round(np.einsum("qd,qrd->qr", q, mv[top], optimize=True) / (qn[:, None] * mn[top]), 9)
-            cos[np.take_along_axis(score, top, 1) == -np.inf] = -2
-            for i in np.flatnonzero(cos.max(1) >= least):
-                ok = np.flatnonzero(cos[i] >= least)
-                if len(ok) > k:
-                    edge = np.partition(cos[i][ok], -k)[-k]
-                    ok = ok[cos[i][ok] >= edge]
-                out += sorted(((int(qi[i]), int(mid[top[i, j]]), names[top[i, j]], float(cos[i, j])) for j in ok), key=lambda x: (-x[3], x[2]))[:k]
-        return pa.table(dict(zip(("rid", "other", "name", "cos"), map(list, zip(*out)))), schema=empty.schema) if out else empty
-
-    found = members.unionByName(queries).groupBy("g", "cell", "mb", "qb").applyInArrow(cell, "rid bigint, other bigint, name string, cos double")
+                    [pa.array(np.full(n, g, np.int32)), t.column("rid"), t.column("name"), t.column("vec"), pa.array([c.tobytes() for c in pack(codes)], pa.binary()), pa.array(home.astype(np.int32)), pa.array([p.tobytes() for p in near.astype(np.int32)], pa.binary()), pa.array(eps.astype(np.float32)), pa.array(angle)],
+                    ["g", "rid", "name", "vec", "codes", "home", "probes", "eps", "angle"])
+
+    placed = scratch.cut(classes.mapInArrow(place, "g int, rid bigint, name string, vec binary, codes binary, home int, probes binary, eps float, angle double"), f"placed{label}")
+    stats = [(np.zeros(len(m[3]), np.int64), np.full(len(m[3]), 4 * np.pi), np.full(len(m[3]), -4 * np.pi)) for m in models]
+    for r in placed.groupBy("g", "home").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).toLocalIterator():  # at most one row per cell
+        for a, v in zip(stats[r.g], (r.n, r.low, r.high)):
+            a[r.home] = v
+    cells: list[Cells] = []
+    for m, (n, low, high) in zip(models, stats):
+        cells.append(Cells(m[3], m[4], n, low, high, cells[-1].slot[0] + cells[-1].slots if cells else 0))
+    known = context.broadcast(cells)
+
+    def sent(b: pa.RecordBatch, second: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, slot): where the queries of a batch go."""
+        rows, slots = [], []
+        group, floor, ps = b.column("g").to_numpy(), b.column("floor").to_numpy(), b.column("probes").to_pylist()
+        for g in np.unique(group):
+            c, mine = known.value[g], np.flatnonzero(group == g)
+            p = np.frombuffer(b"".join(ps[i] for i in mine), np.int32).reshape(len(mine), -1)
+            for x in range(0, len(mine), STEP):
+                part = mine[x : x + STEP]
+                want = np.zeros((len(part), len(c.centres)), bool)
+                np.put_along_axis(want, p[x : x + STEP].astype(np.int64), True, 1)
+                if second:
+                    q = _exact_unit(_vectors(b.column("vec").take(pa.array(part)).to_pylist()))
+                    want = ~want & (np.cos(np.maximum(c.gap(q) - 2 * ANGLE, 0)) >= floor[part][:, None] - PLACES) & (c.low < 4)[None]
+                tile = np.zeros((len(part), len(c.blocks)), bool)
+                np.logical_or.at(tile.T, c.tile, want.T)
+                r, t = np.nonzero(tile)
+                n = c.blocks[t]
+                rows.append(np.repeat(part[r], n))
+                slots.append(c.slots_of(t))
+        return (np.concatenate(rows), np.concatenate(slots)) if rows else (np.zeros(0, int), np.zeros(0, int))
+
+    def round_(asked: DataFrame, second: bool) -> DataFrame:
+        total = sum(c.slots for c in cells)
+
+        def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(total, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    n += np.bincount(sent(b, second)[1], minlength=total)
+            i = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n[i])], ["slot", "n"])
+
+        loads = np.zeros(total, np.int64)
+        for r in asked.mapInArrow(load, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # one row per tile
+            loads[r.slot] = r.n
+        blocks = context.broadcast(-(-loads // QUERIES))  # 0 where nobody asks
+        names = ["slot", "qb", "g", "rid", "name", "vec", "codes", "home", "eps", "floor", "probes"]
+        shape = "slot bigint, qb bigint, g int, rid bigint, name string, vec binary, codes binary, home int, eps float, floor double, probes binary"
+        nulls = lambda n, kind: pa.nulls(n, kind)
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                group, home, rid = b.column("g").to_numpy(), b.column("home").to_numpy(), b.column("rid").to_numpy()
+                slot = np.empty(b.num_rows, np.int64)
+                for g in np.unique(group):
+                    c, mine = known.value[g], group == g
+                    t = c.tile[home[mine]]
+                    slot[mine] = c.slot[t] + (rid[mine] * 2654435761 % 4294967296) % c.blocks[t]
+                times = blocks.value[slot]
+                row = np.repeat(np.arange(b.num_rows), times)
+                qb = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                t, n = b.take(pa.array(row)), len(row)
+                yield pa.RecordBatch.from_arrays([pa.array(slot[row]), pa.array(qb), *(t.column(c) for c in ("g", "rid", "name", "vec", "codes", "home", "eps")), nulls(n, pa.float64()), nulls(n, pa.binary())], names)
+
+        def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, slot = sent(b, second) if b.num_rows else (np.zeros(0, int), np.zeros(0, int))
+                t, n = b.take(pa.array(row, pa.int64())), len(row)
+                qb = (t.column("rid").to_numpy() * 2246822519 % 4294967296) % np.maximum(1, blocks.value[slot])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(qb), t.column("g"), t.column("rid"), nulls(n, pa.string()), t.column("vec"), nulls(n, pa.binary()), nulls(n, pa.int32()), nulls(n, pa.float32()), t.column("floor"), t.column("probes")], names)
+
+        def tile(t: pa.Table) -> pa.Table:
+            own = t.column("codes").is_valid()
+            mem, ask = t.filter(own).sort_by([("home", "ascending"), ("name", "ascending")]), t.filter(pa.compute.invert(own))
+            empty = pa.table({"rid": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
+            if not len(mem) or not len(ask):
+                return empty
+            mid, qid, c = mem.column("rid").to_numpy(), ask.column("rid").to_numpy(), known.value[t.column("g")[0].as_py()]
+            p = np.frombuffer(b"".join(ask.column("probes").to_pylist()), np.int32).reshape(len(ask), -1)
+            packed = np.frombuffer(b"".join(mem.column("codes").to_pylist()), np.uint8).reshape(len(mem), -1)
+            q, m, cos = look(c, _vectors(ask.column("vec").to_pylist()), qid, ask.column("floor").to_numpy(), p, _vectors(mem.column("vec").to_pylist()), mid, mem.column("home").to_numpy(), mem.column("name").to_numpy(), packed, mem.column("eps").to_numpy(), second, k)
+            return pa.table({"rid": qid[q], "other": mid[m], "name": mem.column("name").take(pa.array(m)), "cos": cos}, schema=empty.schema)
+
+        both = placed.mapInArrow(members, shape).unionByName(asked.mapInArrow(queries, shape))
+        return both.groupBy("slot", "qb").applyInArrow(tile, "rid bigint, other bigint, name string, cos double")
+
     w = Window.partitionBy("rid").orderBy(F.desc("cos"), "name")
     best = lambda df: df.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k).drop("i")
-    kth = best(found).groupBy("rid").agg(F.count("*").alias("n"), F.min("cos").alias("kth")).filter(F.col("n") >= k).select("rid", "kth")
-    asked = placed.select("g", "rid", "name", "vec", "home").join(kth, "rid", "left").withColumn("floor", F.coalesce("kth", F.lit(float(least)))).drop("kth")
-
-    def tile(t: pa.Table) -> pa.Table:
-        centres = shared.value[t.column("g")[0].as_py()][3]
-        own = t.column("floor").is_null()
-        mem, ask = t.filter(own), t.filter(pa.compute.invert(own))
-        empty = pa.table({"rid": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
-        if not len(mem) or not len(ask):
-            return empty
-        mem = mem.sort_by([("home", "ascending"), ("name", "ascending")])
-        names, mid, qid = mem.column("name"), mem.column("rid").to_numpy(), ask.column("rid").to_numpy()
-        q, m, cos = complete(_vectors(ask.column("vec").to_pylist()), qid, ask.column("floor").to_numpy(), _vectors(mem.column("vec").to_pylist()), mid, mem.column("home").to_numpy(), names.to_numpy(), centres, k)
-        return pa.table({"rid": qid[q], "other": mid[m], "name": names.take(pa.array(m)), "cos": cos}, schema=empty.schema)
-
-    n = placed.groupBy("g").agg(F.count("*").alias("n"))
-    # few vectors are split by queries, so that they spread over tasks
-    tiles = n.select("g", F.ceil(F.col("n") / TILE).cast("int").alias("mbs"), F.greatest(F.ceil(F.col("n") / TILE), F.least(F.lit(4), F.ceil(F.col("n") / 4096))).cast("int").alias("qbs"))
-    sides = [asked.withColumn("floor", F.lit(None).cast("double")), asked]
-    own, ask = (x.join(F.broadcast(tiles), "g") for x in sides)
-    own = own.withColumn("mb", spread("mbs")).withColumn("qb", every("qbs"))
-    ask = ask.withColumn("qb", spread("qbs")).withColumn("mb", every("mbs"))
-    cols = ["g", "mb", "qb", "rid", "name", "vec", "home", "floor"]
-    return best(own.select(cols).unionByName(ask.select(cols)).groupBy("g", "qb", "mb").applyInArrow(tile, "rid bigint, other bigint, name string, cos double"))
-
-
-def neighbors(ledger: DataFrame, k: int = K, least: float = LEAST, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
-    """embedding_profile, record_kind, text_hash, neighbor_hash, cosine: up to k other usable vectors with the highest cosine."""
+    ask = placed.select("g", "rid", "vec", "probes")
+    found = best(round_(ask.withColumn("floor", F.lit(float(least))), False))
+    if not complete or all(len(m[3]) <= probes for m in models):
+        return found
+    found = scratch.cut(found, f"found{label}")
+    kth = found.groupBy("rid").agg(F.count("*").alias("n"), F.min("cos").alias("kth")).filter(F.col("n") >= k).select("rid", "kth")
+    more = round_(ask.join(kth, "rid", "left").withColumn("floor", F.coalesce("kth", F.lit(float(least)))).drop("kth"), True)
+    return best(found.unionByName(more))
+
+
+def neighbors(ledger: DataFrame, k: int = K, least: float = LEAST, probes: int = PROBES, complete: bool = True, cells_most: int = CELLS_MOST, sample: int = SAMPLE) -> DataFrame:
+    """embedding_profile, record_kind, text_hash, neighbor_hash, cosine: up to k other usable vectors with the highest cosine, if at least `least`."""
     scratch = Scratch(ledger.sparkSession, "neighbors")
     named = ledger.select(F.col("embedding_profile").alias("profile"), F.col("record_kind").alias("kind"), F.col("text_hash").alias("name"), "vector", "dimension", "updated_at").filter("profile IS NOT NULL AND kind IS NOT NULL AND name IS NOT NULL")
     last = named.groupBy("profile", "kind", "name").agg(F.max(F.struct("updated_at", "vector", "dimension")).alias("r")).select("profile", "kind", "name", "r.vector", "r.dimension")
     rows = scratch.cut(_usable(last), "rows")
     one = rows.groupBy("profile", "kind", "key").agg(F.first("vec").alias("vec"), F.min("name").alias("name"), F.count("*").alias("copies"))
     classes = scratch.cut(one.withColumns({"rid": F.monotonically_increasing_id(), "dims": (F.octet_length("vec") / 4).cast("int")}), "classes")
-    models, found, batch, mb = _models(classes), None, [], 0.0
+    models, found, batch, mb = _models(classes, cells_most, sample), None, [], 0.0
     passes = []
     for m in models:  # what is broadcast at once stays under MODELS_MB
         size = (m[3].nbytes + m[4].nbytes) / 1e6
@@ -368,7 +458,7 @@ def neighbors(ledger: DataFrame, k: int = K, least: float = LEAST, probes: int =
         batch.append(m)
         mb += size
     for i, b in enumerate([*passes, batch] if batch else []):
-        part = _search(classes, b, scratch, str(i), k, least, probes, rerank)
+        part = _search(classes, b, scratch, str(i), k, least, probes, complete)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return ledger.limit(0).selectExpr("embedding_profile", "record_kind", "text_hash", "text_hash AS neighbor_hash", "CAST(NULL AS DOUBLE) AS cosine")
