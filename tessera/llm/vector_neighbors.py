@@ -40,7 +40,7 @@ K, LEAST = 3, 0.85
 PROBES, T = 8, 0.2
 #: Cells grow as the root of the number of vectors, up to `cells_most` a group; the sample has at least SAMPLE vectors, and PER_CELL for each cell.
 CELLS_MOST, SAMPLE, PER_CELL = 16384, 16384, 16
-TILE, QUERIES = 8192, 16384
+TILE, QUERIES = 32768, 16384
 MODELS_MB = 64
 # Queries scored at once, hits kept before they are cut to the best, hits of a query in a cell from which the cell is scored in doubles by one product;
 # what single precision and the rounding to 9 places may hide; what the angles of two computations may differ by.
@@ -62,6 +62,9 @@ def nearest(u: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     out = np.empty((len(u), k), np.int64)
     for i in range(0, len(u), step):
         s = u[i : i + step] @ centres.T
+        if k == 1:
+            out[i : i + step, 0] = s.argmax(1)
+            continue
         top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(centres) else np.tile(np.arange(k), (len(s), 1))
         out[i : i + step] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
     return out
@@ -73,18 +76,19 @@ def encode(u: np.ndarray, left: np.ndarray, book: np.ndarray, weight: float, swe
         return np.concatenate([encode(u[i : i + 16384], left[i : i + 16384], book, weight, sweeps) for i in range(0, len(u), 16384)])
     n, m = len(u), len(book)
     x, r = u.reshape(n, m, 2), left.reshape(n, m, 2)
-    codes = np.argmin(((r[:, :, None, :] - book[None]) ** 2).sum(-1), axis=2)
-    err = r - book[np.arange(m), codes]
-    along = (err * x).sum(-1)  # the part of each pair's error that is parallel to the vector
+    # per pair and code word: the squared error without the residual's own length, and the part of the error that is parallel to the vector
+    far = (book * book).sum(-1)[None] - 2 * np.matmul(r.transpose(1, 0, 2), book.transpose(0, 2, 1)).transpose(1, 0, 2)
+    par = (r * x).sum(-1)[:, :, None] - np.matmul(x.transpose(1, 0, 2), book.transpose(0, 2, 1)).transpose(1, 0, 2)
+    codes, rows = far.argmin(2), np.arange(n)
+    along = np.take_along_axis(par, codes[:, :, None], 2)[:, :, 0]
     total = along.sum(1)
     for _ in range(sweeps):
         for j in range(m):
-            e = r[:, j, None, :] - book[j][None]
-            p = (e * x[:, j, None, :]).sum(-1)
-            loss = (e * e).sum(-1) + (weight - 1) * (total[:, None] - along[:, j, None] + p) ** 2
-            c = loss.argmin(1)
-            total += p[np.arange(n), c] - along[:, j]
-            along[:, j], codes[:, j] = p[np.arange(n), c], c
+            p = par[:, j]
+            rest = total - along[:, j]
+            c = (far[:, j] + (weight - 1) * (rest[:, None] + p) ** 2).argmin(1)
+            along[:, j], codes[:, j] = p[rows, c], c
+            total = rest + along[:, j]
     return codes.astype(np.uint8)
 
 
@@ -111,9 +115,8 @@ def fit(u: np.ndarray, cells: int, seed: int = 7) -> tuple[np.ndarray, np.ndarra
             xj, rj = x[:, j].astype(np.float64), r[:, j].astype(np.float64)
             a = np.eye(2) + (w - 1) * xj[:, :, None] * xj[:, None, :]
             b = rj + (w - 1) * (rest[:, j] + (rj * xj).sum(1))[:, None] * xj
-            left_side, right_side = np.zeros((16, 2, 2)), np.zeros((16, 2))
-            np.add.at(left_side, codes[:, j], a)
-            np.add.at(right_side, codes[:, j], b)
+            one = (codes[:, j, None] == np.arange(16)).astype(np.float64)
+            left_side, right_side = (one.T @ a.reshape(n, 4)).reshape(16, 2, 2), one.T @ b
             used = np.bincount(codes[:, j], minlength=16) > 0
             book[j, used] = np.linalg.solve(left_side[used], right_side[used][..., None])[..., 0]
     return centres, book.astype(np.float32)
@@ -122,8 +125,12 @@ def fit(u: np.ndarray, cells: int, seed: int = 7) -> tuple[np.ndarray, np.ndarra
 def scan(q: np.ndarray, centre: np.ndarray, book: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate inner products (queries x members of a cell) by table look-up; packed holds two codes in a byte."""
     m = len(book)
-    table = np.einsum("qmd,mkd->qmk", q.reshape(len(q), m, 2), book, optimize=True)
+    table = np.matmul(q.reshape(len(q), m, 2).transpose(1, 0, 2), book.transpose(0, 2, 1)).transpose(1, 0, 2)
     out = np.repeat((q @ centre)[:, None], len(packed), 1)
+    if len(packed) < 192:  # a table of pairs would cost more than it saves
+        for j in range(m):
+            out += np.take(table[:, j], packed[:, j // 2] >> 4 if j % 2 else packed[:, j // 2] & 15, axis=1)
+        return out
     for i in range(0, m, 2):
         t = table[:, i, None, :]
         two = (table[:, i + 1, :, None] + t if i + 1 < m else np.repeat(t, 16, 1)).reshape(len(q), 256)
@@ -237,9 +244,10 @@ def look(
         among = (probes[s : s + STEP, :, None] == own[None, None]).any(1)
         gap = cells.gap(q, own) - ANGLE
         reach = np.where(among == second, np.pi, np.maximum(gap, 0))
+        most = np.cos(reach)
         for i in np.argsort(reach.min(0), kind="stable"):
             a, b = spans[i]
-            rows = np.flatnonzero((among[:, i] != second) & (np.cos(reach[:, i]) >= bar - PLACES))
+            rows = np.flatnonzero((among[:, i] != second) & (most[:, i] >= bar - PLACES))
             if not len(rows):
                 continue
             for at in range(a, b, 4096):
@@ -294,7 +302,7 @@ def _best(hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rank: np.ndarra
     return x[keep], y[keep], cos[keep]
 
 
-def _models(classes: DataFrame, cells_most: int, sample: int) -> list[tuple[str, str, int, np.ndarray, np.ndarray]]:
+def _models(classes: DataFrame, scratch: Scratch, cells_most: int, sample: int) -> list[tuple[str, str, int, np.ndarray, np.ndarray]]:
     """profile, kind, dimension, centres, book of each group of vectors, fitted on a bounded sample of it; groups in tasks of their own."""
     group = ["profile", "kind", "dims"]
     sizes = classes.groupBy(group).agg(F.count("*").alias("n"))
@@ -311,7 +319,8 @@ def _models(classes: DataFrame, cells_most: int, sample: int) -> list[tuple[str,
         return pd.DataFrame({"profile": pdf.profile[:1], "kind": pdf.kind[:1], "dims": pdf.dims[:1], "centres": [centres.tobytes()], "book": [book.tobytes()]})
 
     out = []
-    for r in taken.groupBy(group).applyInPandas(run, "profile string, kind string, dims int, centres binary, book binary").toLocalIterator():
+    fitted = scratch.cut(taken.groupBy(group).applyInPandas(run, "profile string, kind string, dims int, centres binary, book binary"), "models")  # all groups at once
+    for r in fitted.toLocalIterator():
         wide = r.dims + r.dims % 2
         out.append((r.profile, r.kind, r.dims, np.frombuffer(r.centres, np.float32).reshape(-1, wide), np.frombuffer(r.book, np.float32).reshape(-1, 16, 2)))
     return sorted(out, key=lambda m: m[:3])
@@ -448,7 +457,7 @@ def neighbors(ledger: DataFrame, k: int = K, least: float = LEAST, probes: int =
     rows = scratch.cut(_usable(last), "rows")
     one = rows.groupBy("profile", "kind", "key").agg(F.first("vec").alias("vec"), F.min("name").alias("name"), F.count("*").alias("copies"))
     classes = scratch.cut(one.withColumns({"rid": F.monotonically_increasing_id(), "dims": (F.octet_length("vec") / 4).cast("int")}), "classes")
-    models, found, batch, mb = _models(classes, cells_most, sample), None, [], 0.0
+    models, found, batch, mb = _models(classes, scratch, cells_most, sample), None, [], 0.0
     passes = []
     for m in models:  # what is broadcast at once stays under MODELS_MB
         size = (m[3].nbytes + m[4].nbytes) / 1e6
