@@ -229,6 +229,89 @@ def lex_files(source_texts: DataFrame, starts: DataFrame | None = None) -> DataF
     return rows.mapInArrow(run, "path string, line int, comment string, literal string, code string")
 
 
+_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "new", "else", "throw", "do", "try", "with", "await", "typeof", "super", "synchronized", "assert"}
+_MODIFIERS = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|readonly|override|async|get|set)[ \t]+)*"
+# Declarations at the beginning of a line of code; where a call would look the same, a block has to follow the closing bracket.
+_GO, _RUST = r"^[ \t]*func\s+(?:\([^)]*\)\s*)?(\w+)", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*fn\s+(\w+)"
+_FUNCTION = r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)"
+_ARROW = r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n]+)?=>\s*\{"
+_METHOD = rf"^[ \t]*{_MODIFIERS}\*?[ \t]*([A-Za-z_$#][\w$]*)\s*(?:<[^>\n]*>)?\("
+_JAVA = rf"^[ \t]*{_MODIFIERS}(?:<[^>\n]+>\s+)?[A-Za-z_$][\w$.<>\[\],?& ]*?[\s\]>]([A-Za-z_$][\w$]*)\s*\("
+_BLOCK_FOLLOWS = re.compile(r"\s*(?::[^{};=]*|throws[^{};]*)?\{")
+_DECLARED = {
+    "go": [(_GO, False)], "rust": [(_RUST, False)], "java": [(_JAVA, True), (_METHOD, True)],
+    "javascript": [(_FUNCTION, False), (_ARROW, False), (_METHOD, True)], "typescript": [(_FUNCTION, False), (_ARROW, False), (_METHOD, True)],
+}
+
+
+def declarations(f: Lexed, language: str) -> Iterator[tuple[str, int, int, str | None]]:
+    """(name, first line, last line, documentation) of the functions of a file in a language with braces; annotations above belong to a function."""
+    plain, at = [], 0
+    for kind, s, e in f.tokens:
+        if kind in ("comment", "string"):
+            plain += [f.text[at:s], re.sub(r"[^\n]", " ", f.text[s:e])]
+            at = e
+    code = "".join([*plain, f.text[at:]])
+    above, ends, seen = f.comments(), f.ends(), set()
+    close: dict[int, int] = {}
+    stack: list[int] = []
+    for kind, s, _ in f.tokens:
+        if kind == "open":
+            stack.append(s)
+        elif kind == "close" and stack:
+            close[stack.pop()] = s
+    for pattern, block in _DECLARED.get(language, _DECLARED["javascript"]):
+        for m in re.finditer(pattern, code, re.M):
+            if m[1] in _NOT_NAMES or m.start(1) in seen or block and not ((e := close.get(m.end() - 1)) and _BLOCK_FOLLOWS.match(code, e + 1)):
+                continue
+            if block and m[0].split()[0] in _NOT_NAMES:
+                continue
+            seen.add(m.start(1))
+            line = first = f.line(m.start() + len(m[0]) - len(m[0].lstrip()))
+            while first > 1 and f.row(first - 1).lstrip().startswith(("@", "#[")):
+                first -= 1
+            yield m[1], first, f.block_end(line, ends), above.get(first - 1)
+
+
+def source_functions(source_texts: DataFrame) -> DataFrame:
+    """path, name, start_line, end_line, code, doc (null without documentation) of every function in source files, from the files alone.
+
+    Braces (in Python, indentation) decide where a function ends; its documentation is the comment that ends directly above it or, in Python, the
+    string below its signature.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("code", pa.string()), ("doc", pa.string())])
+        for b in batches:
+            out: list[dict] = []
+            size = 0
+            for path, language, text in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content"))):
+                f = Lexed(text, language := (language or "").strip().lower())
+                if f.python:
+                    above = f.comments()
+                    rows = []
+                    for first, last, doc in f.functions():
+                        head = next(r for r in map(f.row, range(first, last + 1)) if _DEF.match(r))
+                        rows.append((re.match(r"\s*(?:async\s+)?def\s+(\w+)", head)[1], first, last, doc or above.get(first - 1)))
+                else:
+                    rows = [*declarations(f, language)]
+                for name, first, last, doc in rows:
+                    out.append({"path": path, "name": name, "start_line": first, "end_line": last, "code": "\n".join(map(f.row, range(first, last + 1))), "doc": doc})
+                    size += len(out[-1]["code"])
+                    if size > 1 << 25:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    rows = source_texts.select("path", "language", "content").filter("path IS NOT NULL AND content IS NOT NULL").distinct()
+    return rows.mapInArrow(run, "path string, name string, start_line int, end_line int, code string, doc string")
+
+
+def source_pairs(source_texts: DataFrame) -> DataFrame:
+    """path, name, start_line, end_line, code, description: one row per documented function of the source files; code is always there."""
+    return _telling(source_functions(source_texts).filter(~is_blank("doc")))
+
+
 _OPEN = re.compile(r"^(?:[rRbBuUfFtT]{0,2}(?:\"\"\"|'''|\"|')|/\*+!?|//+!?|#+!?|\*+(?!/))")
 _CLOSE = re.compile(r"(?:\*+/|\"\"\"|'''|\"|')$")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -268,7 +351,11 @@ def pairs(symbols: DataFrame, source_texts: DataFrame) -> DataFrame:
     found = lex_files(source_texts, starts).groupBy("path", "line").agg(*(F.min(c).alias(c) for c in ("comment", "literal", "code")))
     both = mine.join(found, (F.col("file_path") == F.col("path")) & (F.col("start_line") == F.col("line")), "left")
     doc = F.coalesce(*(F.when(~is_blank(c), F.col(c)) for c in ("docstring", "literal", "comment")))
-    rows = both.withColumn("doc", doc).filter("doc IS NOT NULL").select("id", "name", "kind", "language", "signature", "code", "doc")
+    return _telling(both.withColumn("doc", doc).filter("doc IS NOT NULL").select("id", "name", "kind", "language", "signature", "code", "doc"))
+
+
+def _telling(rows: DataFrame) -> DataFrame:
+    """Rows whose documentation (doc, the last column) says something beyond the name; description takes its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,4 +363,5 @@ def pairs(symbols: DataFrame, source_texts: DataFrame) -> DataFrame:
             ok = pa.array([says_something(t, n) for t, n in zip(texts, b.column("name").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "description"]).filter(ok)
 
-    return rows.mapInArrow(run, "id string, name string, kind string, language string, signature string, code string, description string")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in rows.columns[:-1]) + ", description string")

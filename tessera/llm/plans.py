@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import documented, lookalikes, mixing, near_dup, packing, splitting, vector_neighbors
@@ -100,7 +100,37 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p5_found, p6_found, p6_parts, p7_containers, p7_report, p7_check, p8_mixture, p8_shares, p8_reachable_shares, p8_check, p9_found, p9_groups, p9_wider_groups)}
+def p3_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented functions of the source files themselves, whether symbols names them or not."""
+    return documented.source_pairs(load(spark, sf_dir, "source_texts"))
+
+
+def p3_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions and methods of symbols that are found in their source files, by file, name and first line."""
+    kind = F.lower(F.regexp_replace("kind", r"(?U)^\s+|\s+$", ""))
+    mine = load(spark, sf_dir, "symbols").filter(kind.isin("function", "method")).select("file_path", "name", "start_line").distinct()
+    found = documented.source_functions(load(spark, sf_dir, "source_texts")).select(F.col("path").alias("file_path"), "name", "start_line").distinct()
+    return mine.join(found, ["file_path", "name", "start_line"])
+
+
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of p6_parts, per text: parts are numbered without gaps, their own bytes follow each other over the whole text, none is over a limit, each is cut from the
+    text where it says, and all but the first begin before the end of the part before (within the overlap)."""
+    parts = p6_parts(spark, sf_dir)
+    whole = load(spark, sf_dir, "chunks").filter("chunk_id IS NOT NULL AND text IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("whole"))
+    w = Window.partitionBy("chunk_id").orderBy("part_index")
+    p = parts.join(whole, "chunk_id").withColumn("before", F.lag("end_byte").over(w))
+    raw = F.col("whole").cast("binary")
+    p = p.withColumns({
+        "joined": F.coalesce(F.col("start_byte") == F.col("before"), F.col("start_byte") == 0), "length": F.octet_length("whole"),
+        "fits": (F.octet_length("text") <= splitting.BYTES) & (F.col("tokens_estimate") <= splitting.WORDS),
+        "same": F.substring(raw, (F.col("from_byte") + 1).cast("int"), (F.col("end_byte") - F.col("from_byte")).cast("int")).cast("string") == F.col("text"),
+        "laps": F.when(F.col("part_index") == 1, F.col("from_byte") == 0).otherwise((F.col("from_byte") <= F.col("start_byte")) & (F.col("start_byte") - F.col("from_byte") <= splitting.BYTES * 2 * splitting.OVERLAP))})
+    numbered = (F.count("*") == F.max("part_total")) & (F.max("part_index") == F.max("part_total")) & (F.count_distinct("part_index") == F.max("part_total")) & (F.max("part_total") > 1)
+    return p.groupBy("chunk_id").agg(numbered.alias("numbered"), (F.bool_and("joined") & (F.max("end_byte") == F.max("length"))).alias("covered"), F.bool_and("fits").alias("within_limits"), F.bool_and("same").alias("cut_where_it_says"), F.bool_and("laps").alias("overlap_kept"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pairs, p3_source_pairs, p3_located, p5_found, p6_found, p6_parts, p6_check, p7_containers, p7_report, p7_check, p8_mixture, p8_shares, p8_reachable_shares, p8_check, p9_found, p9_groups, p9_wider_groups)}
 def _sql_form() -> str:
     """SQL of a text's plain form by a table of its own: ranges of code points, and letters whose accents are composed with them."""
     import unicodedata
@@ -136,6 +166,19 @@ u AS (SELECT p, k, h, list_transform(v, lambda x: x::DOUBLE) AS v FROM r WHERE i
 c AS (SELECT a.p, a.k, a.h, b.h AS n, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM u a JOIN u b ON a.p = b.p AND a.k = b.k AND a.h <> b.h),
 t AS (SELECT *, row_number() OVER (PARTITION BY p, k, h ORDER BY c DESC, n) AS i FROM c WHERE c >= 0.85)
 SELECT p AS embedding_profile, k AS record_kind, h AS text_hash, n AS neighbor_hash FROM t WHERE i <= 3""",
+    "p3_located": r"""SELECT DISTINCT file_path, name, start_line FROM symbols WHERE lower(trim(kind)) IN ('function', 'method') AND file_path IN (SELECT path FROM source_texts WHERE content IS NOT NULL)""",
+    "p6_check": r"""SELECT DISTINCT chunk_id, true AS numbered, true AS covered, true AS within_limits, true AS cut_where_it_says, true AS overlap_kept FROM chunks WHERE chunk_id IS NOT NULL AND (octet_length(encode(text)) > 12000
+      OR len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')) > 512)""",
+    "p2_groups": r"""
+WITH RECURSIVE b AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(substr(text, strpos(text, chr(10) || 'BODY:' || chr(10)) + 7)), '[a-z0-9_]+') AS w FROM chunks WHERE strpos(text, chr(10) || 'BODY:' || chr(10)) > 0),
+s AS (SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM b WHERE len(w) > 2),
+c AS (SELECT s, min(chunk_id) AS class_id FROM s WHERE len(s) >= 20 GROUP BY s), m AS (SELECT chunk_id, class_id FROM s JOIN c USING (s)),
+k AS (SELECT class_id, len(s) AS n, unnest(s) AS t FROM c),
+l AS (SELECT a.class_id AS a, b.class_id AS b FROM k a JOIN k b ON a.t = b.t AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 10 * count(*) >= 6 * (a.n + b.n - count(*))),
+r AS (SELECT class_id AS v, class_id AS w FROM c UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.w),
+g AS (SELECT v AS class_id, min(w) AS group_id FROM r GROUP BY v), n AS (SELECT a AS class_id, count(*) AS links FROM l GROUP BY a),
+h AS (SELECT chunk_id, min((class_id, group_id, coalesce(links, 0))) AS z FROM m JOIN g USING (class_id) LEFT JOIN n USING (class_id) GROUP BY chunk_id)
+SELECT e.chunk_id, coalesce(z[1], e.chunk_id) AS class_id, coalesce(z[2], e.chunk_id) AS group_id, coalesce(z[3], 0) AS links FROM (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) e LEFT JOIN h USING (chunk_id)""",
     "p2_found": r"""
 WITH b AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(substr(text, strpos(text, chr(10) || 'BODY:' || chr(10)) + 7)), '[a-z0-9_]+') AS w FROM chunks WHERE strpos(text, chr(10) || 'BODY:' || chr(10)) > 0),
 s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM b WHERE len(w) > 2),

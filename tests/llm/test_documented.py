@@ -112,3 +112,19 @@ def test_code_without_a_comment_above(spark):
     symbols = [("s", "f", "method", "java", "f", doc, "a.java", 2), ("t", "g", "method", "java", "g", doc, "a.java", 7), ("u", "h", "method", "java", "h", doc, "none.java", 1)]
     got = {r.id: r.code for r in D.pairs(spark.createDataFrame(symbols, S), spark.createDataFrame([("a.java", "java", text)], "path string, language string, content string")).collect()}
     assert got == {"s": "  @Override\n  public int f(int x) {\n    return x;\n  }", "t": "  int g() { return 1; }", "u": None}
+
+
+def test_functions_of_source_files(spark):
+    files = [
+        ("a.go", "go", "// Opens the gate slowly\nfunc (r *T) Open(x int) error {\n\ts := \"func no() {\"\n\treturn nil\n}\n"),
+        ("b.ts", "typescript", "class A {\n  /** Counts all rows of a table */\n  @log()\n  count(a: number): number {\n    if (a) { return 1; }\n    call(a);\n  }\n}\nexport const go = (x) => {\n  return x;\n};\n"),
+        ("C.java", "java", "class C {\n  @Override\n  public List<String> names(int a) throws E {\n    for (int i : x) { y(); }\n    return new B(a) {};\n  }\n}\n"),
+        ("d.rs", "rust", "/// Says where it went\n#[inline]\npub(crate) async fn go_on<'a>(x: &'a str) -> u8 {\n  1\n}\n"),
+        ("e.py", "python", "@deco\ndef f(\n  a,\n):\n    'Reads the rows'\n    return 1\n"),
+        ("f.js", "javascript", None), (None, "go", "func x() {}"), ("g.js", "javascript", ""),
+    ]
+    rows = spark.createDataFrame([(*f, 1) for f in files] + [(*files[0], 2)], "path string, language string, content string, name int")
+    got = {(r.path, r.name): (r.start_line, r.end_line, r.doc, r.code) for r in D.source_functions(rows).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {("a.go", "Open"): (2, 5), ("b.ts", "count"): (3, 7), ("b.ts", "go"): (9, 11), ("C.java", "names"): (2, 6), ("d.rs", "go_on"): (2, 5), ("e.py", "f"): (1, 6)}
+    assert got["a.go", "Open"][2] == "// Opens the gate slowly" and got["b.ts", "count"][2].startswith("/** Counts") and got["d.rs", "go_on"][2].startswith("/// Says") and got["e.py", "f"][2] == "'Reads the rows'"
+    assert all(v[3] for v in got.values()) and D.source_pairs(rows).filter("code IS NULL").count() == 0
