@@ -28,19 +28,19 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vect
     return d.orderBy("distance", "id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", block: int = 2048, parts: int | None = None) -> DataFrame:
-    """query_id, id, distance: the k nearest of every query (query_id, vector), exact.
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", block: int = 8192, part: int = 65536) -> DataFrame:
+    """query_id, id, distance, rank: the k nearest of every query (query_id, vector), exact.
 
-    Queries are packed into blocks of bounded size and each block visits every part of the vectors; a part keeps k per query, so
-    what is shuffled is queries x parts x k. The stated query set goes against all rows in blocks of matrix products.
+    The vectors are cut into parts and the queries into blocks, both of bounded size by their counts; each block meets each part in a task of its own, as matrix
+    products, and keeps k per query, so what is shuffled is vectors x blocks, queries x parts, and queries x parts x k of results.
     """
-    spark = vectors.sparkSession
-    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL")
     asks = queries.select(F.col("query_id").cast("string").alias("id"), "vector").filter("id IS NOT NULL AND vector IS NOT NULL")
-    hashed = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    left = rows.withColumn("part", hashed("id", n))
-    blocks = asks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    n_parts, n_blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, part), (asks, block)))
+    hashed = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = rows.withColumn("part", hashed(n_parts)).withColumn("block", every(n_blocks))
+    blocks = asks.withColumn("block", hashed(n_blocks)).withColumn("part", every(n_parts))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -49,8 +49,9 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
             if not len(y) or not dims:
                 continue
             xs, ids = np.array(x.vector.tolist(), np.float64), x.id.to_numpy()
-            for s in range(0, len(y), block):
-                q = np.array(y.vector.iloc[s : s + block].tolist(), np.float64)
+            step = max(1, 16_000_000 // len(xs))  # distances held at once
+            for s in range(0, len(y), step):
+                q = np.array(y.vector.iloc[s : s + step].tolist(), np.float64)
                 rough = (q * q).sum(1)[:, None] + (xs * xs).sum(1)[None] - 2 * q @ xs.T
                 m = min(len(xs), k + 8)  # the product rounds, so a few more are measured again
                 top = np.argpartition(rough, m - 1, axis=1)[:, :m]
@@ -62,7 +63,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
                         out.append((y.id.iloc[s + i], ids[cand[j]], d[j]))
         return pd.DataFrame(out, columns=["query_id", "id", "distance"])
 
-    found = left.groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(near, "query_id string, id string, distance double")
+    found = left.groupBy("part", "block").cogroup(blocks.groupBy("part", "block")).applyInPandas(near, "query_id string, id string, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -95,7 +95,7 @@ def test_knn_batch_is_exact(spark):
     v = spark.createDataFrame([(f"{i:03d}", x[i].tolist()) for i in range(300)] + [("odd", [1.0])], "id string, vector array<float>")
     q = v.filter("id < '007'").withColumnRenamed("id", "query_id")
     got = {}
-    for r in S.knn_batch(v, q, 4, parts=3).orderBy("query_id", "rank").collect():
+    for r in S.knn_batch(v, q, 4, block=3, part=70).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     for i in range(7):
         d = ((x.astype(float) - x[i].astype(float)) ** 2).sum(1)
