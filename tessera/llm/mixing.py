@@ -40,6 +40,8 @@ from tessera.runtime import Scratch
 BUCKETS, BINS, TEMPER, PRIOR_WORDS = 4096, 4096, 32, 2000
 #: Share of a known source in a text's membership; rounds at most, and the relative error at which they end; the least rate by which a text may join.
 TRUST, ROUNDS, ENOUGH, LEAST = 0.9, 25, 2e-3, 1e-3
+#: A round that lowers the squared error by less than this part is the last; what is added to the products so that sources without members stay apart.
+GAIN, RIDGE = 0.02, 1e-4
 #: Texts per source and power of two of tokens that the last gap may be filled from.
 SPARE = 4
 _WORD = re.compile(r"\w+")
@@ -198,7 +200,8 @@ def _sums(texts: DataFrame, make, n: int) -> np.ndarray:
 def fit(texts: DataFrame, target: np.ndarray, start: np.ndarray, caps: np.ndarray, rounds: int = ROUNDS) -> tuple[Rates, np.ndarray]:
     """(rates, expected tokens by source): projected gradient descent on the squared errors of the expected tokens of every source.
 
-    The squares are scaled by each source's own curvature and rates by their tokens, so the step that can't overshoot is the inverse of the largest row sum.
+    Errors are weighed by the inverse of the memberships' token-weighted products, as in generalised least squares, and rates by their tokens. The largest curvature is then
+    1, so a step of 1 can't overshoot, and only caps and zero need more than one.
     """
     k, rates, rows = len(target), Rates(start, caps), texts.select("label", "tokens", "soft")
 
@@ -207,8 +210,8 @@ def fit(texts: DataFrame, target: np.ndarray, start: np.ndarray, caps: np.ndarra
         return ((m * b.column("tokens").to_numpy()[:, None]).T @ m).ravel()
 
     gram = _sums(rows, curve, k * k).reshape(k, k)
-    own = np.maximum(np.diag(gram), 1e-9)
-    pace = 1 / max(1.0, (gram / own[:, None]).sum(1).max())
+    weigh = np.linalg.inv(gram + np.diag(np.full(k, RIDGE * max(1.0, np.trace(gram) / k))))
+    before = np.inf
     for i in range(rounds + 1):
 
         def expected(b: pa.RecordBatch) -> np.ndarray:
@@ -217,9 +220,10 @@ def fit(texts: DataFrame, target: np.ndarray, start: np.ndarray, caps: np.ndarra
 
         got = _sums(rows, expected, k)
         error = got - target
-        if i == rounds or np.abs(error).max(initial=0) <= ENOUGH * max(1.0, target.sum()) / k:
+        loss = float(error @ weigh @ error)
+        if i == rounds or loss > (1 - GAIN) * before or np.abs(error).max(initial=0) <= ENOUGH * max(1.0, target.sum()) / k:
             return rates, got
-        rates.steps = np.vstack([rates.steps, pace * error / own])
+        rates.steps, before = np.vstack([rates.steps, weigh @ error]), loss
 
 
 def _join_at(rates: Rates, b: pa.RecordBatch, most: int) -> np.ndarray:

@@ -193,7 +193,7 @@ def plans(counts: DataFrame) -> DataFrame:
         out.insert(0, "container_kind", pdf.container_kind.iloc[0])
         return out
 
-    return counts.groupBy("container_kind").applyInPandas(run, "container_kind string, size bigint, lo bigint, hi bigint, each bigint, first bigint")
+    return counts.repartition(32, "container_kind").groupBy("container_kind").applyInPandas(run, "container_kind string, size bigint, lo bigint, hi bigint, each bigint, first bigint")
 
 
 def _numbered(sized: DataFrame) -> DataFrame:
