@@ -7,8 +7,8 @@ import shlex
 from dataclasses import dataclass, field
 
 # Flags without effect here, and flags whose value is skipped.
-IGNORED_FLAGS = "-n -H -r -R -l -c -o -h -s -I -E -P -a -u -uu -uuu --line-number --no-heading --color --hidden --recursive --files-with-matches --count --with-filename".split()
-VALUE_FLAGS = "-A -B -C -m -t -T -j -d --after-context --before-context --context --max-count --type --type-not --threads --max-depth --sort".split()
+IGNORED_FLAGS = ["-n", "-H", "-r", "-R", "-l", "-c", "-o", "-h", "-s", "-I", "-E", "-P", "-a", "-u", "-uu", "-uuu", "--line-number", "--no-heading", "--color", "--hidden", "--recursive", "--files-with-matches", "--count", "--with-filename"]
+VALUE_FLAGS = ["-A", "-B", "-C", "-m", "-t", "-T", "-j", "-d", "--after-context", "--before-context", "--context", "--max-count", "--type", "--type-not", "--threads", "--max-depth", "--sort"]
 
 
 @dataclass(frozen=True)

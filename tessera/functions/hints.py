@@ -9,8 +9,8 @@ from dataclasses import dataclass, field
 DECLARATION_WORDS = ["def", "class", "function", "method", "struct", "interface", "trait", "enum"]
 DECLARATION_MODIFIERS = ["async", "public", "private", "protected", "static", "export"]
 STOPWORDS = ["the", "and", "for", "with", "from", "error", "line"]
-QUESTION_WORDS = "what where when why how which who should does order tuple table safe safety return returns behavior behaviour".split()
-PROCESS_WORDS = "absolute alias config configs footer forwarded format order parity preserve redirect tuple uri workflow workflows".split()
+QUESTION_WORDS = ["what", "where", "when", "why", "how", "which", "who", "should", "does", "order", "tuple", "table", "safe", "safety", "return", "returns", "behavior", "behaviour"]
+PROCESS_WORDS = ["absolute", "alias", "config", "configs", "footer", "forwarded", "format", "order", "parity", "preserve", "redirect", "tuple", "uri", "workflow", "workflows"]
 WORKFLOW_PHRASES = [
     "ci", "workflow", "workflows", ".github", "github actions", "matrix", "label", "labels", "backport", "stable branch", "stable/", "subject prefix", "commit prefix", "backport footer",
     "contributing", "review stage", "trac", "lane", "migrations workflow", "pyproject.toml", "tox.ini",
@@ -18,6 +18,7 @@ WORKFLOW_PHRASES = [
 DOCS_PHRASES = ["docs", "docs/internals", "readme", "changelog", "history", "release notes", "release-notes", "deprecation", "paper trail", "warning", "warnings"]
 LITERAL_SIGNS = "[](){}<>/=+-."
 
+# The patterns of words, dotted names, quoted literals, paths, stack lines, identifiers, and of usage and test intent.
 _WORD = re.compile(r"\b[A-Za-z_][A-Za-z0-9_]*\b")
 _DOTTED = re.compile(r"\b[A-Za-z_][A-Za-z0-9_]*(?:[.:#][A-Za-z_][A-Za-z0-9_]*)*\b")
 _QUOTED = re.compile(r"[\"']([^\"']+)[\"']")

@@ -181,12 +181,12 @@ def _hits(spark, d) -> tuple[DataFrame, DataFrame]:
     ext = load(spark, d, "externals").select("name").filter("name IS NOT NULL").distinct()
     q = ext.select(F.col("name").alias("query_id"), F.lit("mixed").alias("kind"), F.lit("code").alias("domain"), F.array(F.lower("name")).alias("tokens"), F.lit(12).alias("max_snippets"), F.lit(False).alias("literal_first"))
     e = load(spark, d, "edges").dropDuplicates(["edge_id"]).filter("file_path IS NOT NULL AND line IS NOT NULL")
-    e = e.withColumn("name", F.regexp_extract("to_id", "^unresolved:(.*)$", 1)).join(F.broadcast(ext), "name")
+    e = e.withColumn("name", F.regexp_extract("to_id", "^unresolved:(.*)$", 1)).join(ext, "name")
     none = F.array().cast("array<string>")
     top = lambda df, k: df.withColumn("idx", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "path", "start_line", "snippet")) - 1).filter(F.col("idx") < k)
     a = e.select(F.col("name").alias("query_id"), F.lit("exact").alias("backend"), F.col("file_path").alias("path"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.concat_ws(" ", "edge_type", "name").alias("snippet"), F.col("confidence").alias("raw_score"), none.alias("tags"), F.lit("reference").alias("match_role")).distinct()
     s = one_per_id(load(spark, d, "symbols")).select("name", "file_path", "start_line", "end_line", F.explode(F.array_distinct("calls")).alias("call"))
-    s = s.join(F.broadcast(ext.withColumnRenamed("name", "call")), "call")
+    s = s.join(ext.withColumnRenamed("name", "call"), "call")
     b = s.select(F.col("call").alias("query_id"), F.lit("symbol").alias("backend"), F.col("file_path").alias("path"), "start_line", "end_line", F.col("name").alias("snippet"), F.lit(0.74).alias("raw_score"), F.array(F.lit("symbol_ref")).alias("tags"), F.lit("reference").alias("match_role")).distinct()
     return top(a, RT.TOP_K["exact"]).unionByName(top(b, RT.TOP_K["symbol"])), q
 

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import json
+import shutil
 import tarfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,33 +37,50 @@ def write_by_file(df: DataFrame, path: str, file_col: str, buckets: int = 64) ->
     rows.repartition("file_bucket").sortWithinPartitions(file_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(path)
 
 
-def archive(files: dict[str, bytes], path: str, provenance: dict | None = None) -> str:
-    """tar.gz with a manifest, the same bytes for the same content; returns its SHA-256."""
-    entries = [{"path": n, "bytes": len(b), "sha256": hashlib.sha256(b).hexdigest()} for n, b in sorted(files.items())]
-    all_ = {"manifest.json": json.dumps({"files": entries, "provenance": provenance or {}}, sort_keys=True).encode()} | files
-    raw = io.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w", format=tarfile.PAX_FORMAT) as t:
-        for n in sorted(all_):
+def _digest(read) -> tuple[int, str]:
+    n, h = 0, hashlib.sha256()
+    while part := read(1 << 20):
+        n, _ = n + len(part), h.update(part)
+    return n, h.hexdigest()
+
+
+def archive(files: dict[str, bytes | Path], path: str, provenance: dict | None = None) -> str:
+    """tar.gz with a manifest, the same bytes for the same content; returns its SHA-256. Files given by path are streamed, never held."""
+    source = lambda f: io.BytesIO(f) if isinstance(f, bytes) else open(f, "rb")
+    entries = []
+    for n, f in sorted(files.items()):
+        with source(f) as r:
+            size, digest = _digest(r.read)
+        entries.append({"path": n, "bytes": size, "sha256": digest})
+    manifest = json.dumps({"files": entries, "provenance": provenance or {}}, sort_keys=True).encode()
+    sizes = {e["path"]: e["bytes"] for e in entries} | {"manifest.json": len(manifest)}
+    every = {"manifest.json": manifest} | files
+    with open(path, "wb") as raw, gzip.GzipFile(fileobj=raw, mode="wb", mtime=0, filename="") as g, tarfile.open(fileobj=g, mode="w", format=tarfile.PAX_FORMAT) as t:
+        for n in sorted(every):
             info = tarfile.TarInfo(n)
-            info.size, info.mtime, info.mode = len(all_[n]), 0, 0o644
-            t.addfile(info, io.BytesIO(all_[n]))
-    out = io.BytesIO()
-    with gzip.GzipFile(fileobj=out, mode="wb", mtime=0, filename="") as g:
-        g.write(raw.getvalue())
-    Path(path).write_bytes(out.getvalue())
-    return hashlib.sha256(out.getvalue()).hexdigest()
+            info.size, info.mtime, info.mode = sizes[n], 0, 0o644
+            with source(every[n]) as r:
+                t.addfile(info, r)
+    with open(path, "rb") as r:
+        return _digest(r.read)[1]
 
 
 def check_archive(path: str) -> list[tuple[str, str]]:
-    """(path, problem) of members that differ from the manifest; names that leave the archive are a problem too."""
+    """(path, problem) of members that differ from the manifest; names that leave the archive are a problem too. Members are streamed."""
+    got, manifest = {}, None
     with tarfile.open(path, "r:gz") as t:
-        got = {m.name: t.extractfile(m).read() for m in t.getmembers() if m.isfile()}
-    if "manifest.json" not in got:
+        for m in t:
+            if m.isfile():
+                if m.name == "manifest.json":
+                    manifest = json.loads(t.extractfile(m).read())
+                else:
+                    got[m.name] = _digest(t.extractfile(m).read)[1]
+    if manifest is None:
         return [("manifest.json", "missing")]
-    want = {e["path"]: e for e in json.loads(got["manifest.json"])["files"]}
+    want = {e["path"]: e for e in manifest["files"]}
     bad = [(n, "unsafe") for n in got if n.startswith("/") or ".." in n.split("/")]
-    bad += [(n, "missing") for n in want if n not in got] + [(n, "unexpected") for n in got if n not in want and n != "manifest.json"]
-    return sorted(bad + [(n, "changed") for n, e in want.items() if n in got and hashlib.sha256(got[n]).hexdigest() != e["sha256"]])
+    bad += [(n, "missing") for n in want if n not in got] + [(n, "unexpected") for n in got if n not in want]
+    return sorted(bad + [(n, "changed") for n, e in want.items() if n in got and got[n] != e["sha256"]])
 
 
 def restore_archive(path: str, target: str, overwrite: bool = False) -> list[str]:
@@ -76,6 +94,7 @@ def restore_archive(path: str, target: str, overwrite: bool = False) -> list[str
             if p.exists() and not overwrite:
                 raise FileExistsError(p)
             p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_bytes(t.extractfile(m).read())
+            with open(p, "wb") as out:
+                shutil.copyfileobj(t.extractfile(m), out)
             done.append(m.name)
     return sorted(done)

@@ -131,3 +131,49 @@ def test_macro_symbols():
     rows = parse.parse_text("d/x.cpp", "cpp", text, "r")
     assert {(r["kind"], r["fqname"].split("x.")[-1]) for r in rows if r["name"] in ("Widget", "run")} == {("class", "Widget"), ("method", "Widget.run")}
     assert len([r for r in rows if r["name"] == "Known"]) == 1
+
+
+def test_archive_of_files_on_disk(tmp_path):
+    from tessera.sources import sinks
+
+    (tmp_path / "big").write_bytes(b"x" * 3_000_000)
+    a, b = tmp_path / "a.tgz", tmp_path / "b.tgz"
+    assert sinks.archive({"big": tmp_path / "big", "s": b"1"}, str(a)) == sinks.archive({"s": b"1", "big": b"x" * 3_000_000}, str(b)) and sinks.check_archive(str(a)) == []
+    sinks.restore_archive(str(a), str(tmp_path / "out"))
+    assert (tmp_path / "out/big").read_bytes() == b"x" * 3_000_000
+
+
+def test_factories_by_name():
+    import pytest
+
+    from tessera.sources import plugins
+
+    r = plugins.Registry("tessera.none", {"a": dict}, {"x": "a"})
+    assert r.resolve("x") is dict and r.available() == [("a", "builtin")]
+    assert r.resolve("whatever", "collections:OrderedDict").__name__ == "OrderedDict"
+    with pytest.raises(LookupError):
+        r.resolve("b")
+    with pytest.raises(LookupError):
+        r.resolve("b", "collections:nothing")
+    assert plugins.stores().resolve("parquet").__name__ == "Store" and plugins.hosts().resolve("default").__name__ == "serve"
+
+
+def test_vectors_from_a_matrix_file(spark, tmp_path):
+    import json
+
+    import numpy as np
+    import pytest
+
+    from tessera.sources.vector_files import load_vectors
+
+    x = np.arange(40, dtype=np.float32).reshape(10, 4)
+    np.save(tmp_path / "v.npy", x)
+    (tmp_path / "ids.json").write_text(json.dumps({"schema_version": 2, "ids": {f"c{i}": i for i in range(12)}}))
+    got = {r.id: list(r.vector) for r in load_vectors(spark, str(tmp_path / "v.npy"), str(tmp_path / "ids.json"), step=4).collect()}
+    assert got == {f"c{i}": x[i].tolist() for i in range(10)}
+    (tmp_path / "ids.json").write_text(json.dumps({"order": ["a", "b"]}))
+    assert {r.id: r.position for r in load_vectors(spark, str(tmp_path / "v.npy"), str(tmp_path / "ids.json")).collect()} == {"a": 0, "b": 1}
+    assert load_vectors(spark, str(tmp_path / "none.npy"), str(tmp_path / "ids.json")).count() == 0
+    (tmp_path / "ids.json").write_text(json.dumps({"schema_version": 1}))
+    with pytest.raises(ValueError):
+        load_vectors(spark, str(tmp_path / "v.npy"), str(tmp_path / "ids.json"))
