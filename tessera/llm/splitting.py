@@ -55,10 +55,11 @@ def ranges_of_files(spark: SparkSession, paths: list[str], size: int = RANGE, ha
     """The same for files that all executors reach: each worker opens a file and reads its range alone."""
     from pyarrow import fs
 
-    sizes = []
-    for p in paths:
-        system, inner = fs.FileSystem.from_uri(p if "://" in p else f"file://{p}")
-        sizes.append((p, system.get_file_info(inner).size))
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column("id").to_pylist()
+            found = [fs.FileSystem.from_uri(p if "://" in p else f"file://{p}") for p in names]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([system.get_file_info(inner).size for system, inner in found], pa.int64())], ["id", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,7 +72,8 @@ def ranges_of_files(spark: SparkSession, paths: list[str], size: int = RANGE, ha
                     out.append({"item": xxhash.xxh3_128_hexdigest(p), "id": p, "length": length, "at": at, "before": lead, "part": f.read(lead + size + halo)})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("item", pa.string()), ("id", pa.string()), ("length", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("part", pa.binary())]))
 
-    files = spark.createDataFrame(sizes, "id string, length bigint")
+    # sizes are asked for in tasks, as there may be millions of files
+    files = spark.createDataFrame([(p,) for p in paths], "id string").repartition(max(1, min(200, len(paths) // 1000))).mapInArrow(sizes, "id string, length bigint")
     rows = files.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1).cast("long"), F.lit(size).cast("long"))))
     return rows.repartition("id", "at").mapInArrow(run, "item string, id string, length bigint, at bigint, before int, part binary")
 
