@@ -24,8 +24,10 @@ RRF = 60
 HITS = "query_id string, backend string, idx int, path string, start_line int, end_line int, snippet string, raw_score double, tags array<string>, match_role string"
 
 
-def by_domain(domain: str, make) -> Column:
-    """A column expression that depends on each row's domain of query."""
+def by_domain(domain: str, make, only: str | None = None) -> Column:
+    """A column expression that depends on each row's domain of query; where all queries are of one domain, that of this domain alone."""
+    if only is not None:
+        return make(only)
     return F.when(F.col(domain) == "docs_policy", make("docs_policy")).when(F.col(domain) == "workflow_config", make("workflow_config")).otherwise(make("code"))
 
 
@@ -35,12 +37,12 @@ def token_overlap(text: Column, tokens: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), F.size(F.array_intersect(own, tokens)) / n)).otherwise(0.0)
 
 
-def backend_quality(hits: DataFrame, queries: DataFrame) -> DataFrame:
+def backend_quality(hits: DataFrame, queries: DataFrame, only: str | None = None) -> DataFrame:
     """query_id, backend, n_hits, quality, support, top_score, threshold_met: one group per query and backend, one more for the modal directory."""
     q = queries.select("query_id", "domain", "tokens", "max_snippets")
     h = hits.join(q, "query_id")
     over = token_overlap(F.concat_ws("\n", "path", "snippet"), F.col("tokens"))
-    h = h.withColumns({"pq": by_domain("domain", lambda d: P.quality("path", d)), "ov": over, "auth": by_domain("domain", lambda d: P.is_authority("path", d)).cast("int"), "dir": P.parent("path")})
+    h = h.withColumns({"pq": by_domain("domain", lambda d: P.quality("path", d), only), "ov": over, "auth": by_domain("domain", lambda d: P.is_authority("path", d), only).cast("int"), "dir": P.parent("path")})
     h = h.withColumn("i", F.row_number().over(Window.partitionBy("query_id", "backend").orderBy(F.desc("raw_score"), "idx")))
     tag = lambda *t: F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, t)))
     tagged = F.when(F.col("backend") == "exact", tag("literal_match", "symbol_match")).when(F.col("backend") == "symbol", tag("symbol_def", "symbol_ref")).otherwise(tag("semantic_high_conf"))
@@ -228,7 +230,7 @@ def suggested_prefix(packed: DataFrame) -> DataFrame:
     return files.join(dirs, "query_id", "full_outer").select("query_id", F.coalesce("file", "dir").alias("prefix"))
 
 
-def flags(packed: DataFrame, queries: DataFrame) -> DataFrame:
+def flags(packed: DataFrame, queries: DataFrame, only: str | None = None) -> DataFrame:
     """query_id, n_hits, auxiliary_only, many_paths, authority_scoped of every query.
 
     auxiliary_only: code was asked for and all hits are documentation, workflows or examples. authority_scoped: outside code, the first three hits speak with
@@ -237,15 +239,15 @@ def flags(packed: DataFrame, queries: DataFrame) -> DataFrame:
     h = packed.join(queries.select("query_id", "domain"), "query_id")
     top = F.col("rank") <= 3
     g = h.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.bool_and((F.col("domain") == "code") & by_domain("domain", lambda d: P.is_auxiliary("path", d))).alias("aux"), F.count_distinct("path").alias("paths"),
-        F.bool_and(F.when(top, (F.col("domain") != "code") & by_domain("domain", lambda d: P.is_authority("path", d)))).alias("auth"), F.count_distinct(F.when(top, F.col("path"))).alias("top_paths"))
+        F.count("*").alias("n"), F.bool_and((F.col("domain") == "code") & by_domain("domain", lambda d: P.is_auxiliary("path", d), only)).alias("aux"), F.count_distinct("path").alias("paths"),
+        F.bool_and(F.when(top, (F.col("domain") != "code") & by_domain("domain", lambda d: P.is_authority("path", d), only))).alias("auth"), F.count_distinct(F.when(top, F.col("path"))).alias("top_paths"))
     r = queries.select("query_id").distinct().join(g, "query_id", "left").join(suggested_prefix(packed), "query_id", "left")
     speaks = F.coalesce(P.is_docs("prefix") | P.is_workflow("prefix"), F.lit(False))
     no = F.lit(False)
     return r.select("query_id", F.coalesce("n", F.lit(0)).alias("n_hits"), F.coalesce("aux", no).alias("auxiliary_only"), F.coalesce(F.col("paths") > 1, no).alias("many_paths"), F.coalesce(F.col("auth") & ((F.col("top_paths") <= 2) | speaks), no).alias("authority_scoped"))
 
 
-def decide(packed: DataFrame, routes: DataFrame, quality: DataFrame, queries: DataFrame, rescued: DataFrame | None = None) -> DataFrame:
+def decide(packed: DataFrame, routes: DataFrame, quality: DataFrame, queries: DataFrame, rescued: DataFrame | None = None, only: str | None = None) -> DataFrame:
     """query_id, strategy, n_hits, decisive, next_action, suggested_prefix, status of every query."""
     h = packed.groupBy("query_id").agg(F.count("*").alias("n_hits"), *(F.max(F.when(F.col("rank") == i, F.struct("path", "raw_score", "match_role", "tags", "snippet"))).alias(f"h{i}") for i in (1, 2)))
     met = quality.filter("threshold_met").select("query_id", F.col("backend").alias("strategy"), F.lit(True).alias("met"))
@@ -254,7 +256,7 @@ def decide(packed: DataFrame, routes: DataFrame, quality: DataFrame, queries: Da
     same, one, gap = F.col("h1.path") == F.col("h2.path"), F.col("n_hits") == 1, F.round(F.col("h1.raw_score") - F.col("h2.raw_score"), 9)
     code, mixed, named = F.col("domain") == "code", F.col("kind") == "mixed", F.col("kind").isin("identifier", "declaration")
     defines = (F.col("h1.match_role") == "definition") | F.array_contains("h1.tags", "symbol_def") | F.col("h1.snippet").rlike(DEFINITION)
-    auth = by_domain("domain", lambda d: P.is_authority(F.col("h1.path"), d))
+    auth = by_domain("domain", lambda d: P.is_authority(F.col("h1.path"), d), only)
     ok = (
         F.when(code & named & ~F.coalesce(defines, F.lit(False)), False)
         .when(code & mixed & ~F.coalesce("literal_first", F.lit(False)), F.when(~P.is_source(F.col("h1.path")) | P.is_test(F.col("h1.path")), False).when(one, s1 >= 0.93).otherwise(same & (s1 >= 0.92) & (gap >= 0.08)))

@@ -80,8 +80,11 @@ def semantic_hits(index: Index, h: Hints, where: Column | None) -> DataFrame:
 
 
 def _fixed(df: DataFrame) -> DataFrame:
-    """The rows of a bounded result (the top k of a query) as a local table, so that what reads them next doesn't search again."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """The rows of a bounded result (the top k of a query) as a local table, so that what reads them next doesn't search again.
+
+    It has one partition, which meets what any window, aggregate or join asks for, so the steps on it need no shuffle.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
 
 
 def auxiliary_asked(query: str, i: Intent) -> bool:
@@ -117,7 +120,7 @@ def search(index: Index, query: str, intent: Intent | None = None) -> tuple[Data
     g = grep_compat.parse(query)
     h = analyze(g.pattern if g.pattern else query)
     spark, where = index.lines.sparkSession, _where(i, g)
-    queries = spark.createDataFrame([("q", h.kind, h.domain, h.tokens, i.max_snippets, h.literal_first)], "query_id string, kind string, domain string, tokens array<string>, max_snippets int, literal_first boolean")
+    queries = spark.createDataFrame([("q", h.kind, h.domain, h.tokens, i.max_snippets, h.literal_first)], "query_id string, kind string, domain string, tokens array<string>, max_snippets int, literal_first boolean").coalesce(1)
     wanted = MODES[i.mode]
     vectors = "semantic" in wanted and index.semantic is not None and (index.health is None or index.health.first().semantic_allowed)
     hits = None
@@ -132,27 +135,27 @@ def search(index: Index, query: str, intent: Intent | None = None) -> tuple[Data
     if vectors and (hits is None or i.mode == "hybrid" or _needs_vectors(hits, queries, h, i)):
         more = _fixed(semantic_hits(index, analyze(i.about) if i.about else h, where))
         hits = more if hits is None else hits.unionByName(more)
-    quality = fusion.backend_quality(hits, queries)
+    quality = _fixed(fusion.backend_quality(hits, queries, h.domain))  # read by the route, the weights and the decision
     routes = _route_to(queries, "hybrid", "forced_mode") if i.mode == "hybrid" else _fixed(fusion.route(quality, queries))
     strategy = routes.first().strategy
     packed = _fixed(fusion.pack(_choose(hits, quality, strategy, queries, h, i.max_snippets), _keeps_order(strategy, h), i.max_files, i.max_snippets))
-    return packed, _decision(packed, routes, quality, queries)
+    return packed, _decision(h, packed, routes, quality, queries)
 
 
-def _decision(packed: DataFrame, routes: DataFrame, quality: DataFrame, queries: DataFrame, rescued: DataFrame | None = None, assist: str = "none") -> DataFrame:
-    return _fixed(fusion.decide(packed, routes, quality, queries, rescued).join(routes.select("query_id", "reason"), "query_id").withColumn("assist", F.lit(assist)))
+def _decision(h: Hints, packed: DataFrame, routes: DataFrame, quality: DataFrame, queries: DataFrame, rescued: DataFrame | None = None, assist: str = "none") -> DataFrame:
+    return _fixed(fusion.decide(packed, routes, quality, queries, rescued, h.domain).join(routes.select("query_id", "reason"), "query_id").withColumn("assist", F.lit(assist)))
 
 
 def _about(index: Index, i: Intent, h: Hints, hits: DataFrame, queries: DataFrame, where: Column | None, vectors: bool, auxiliary_wanted: bool) -> tuple[DataFrame, DataFrame]:
     """Lexical hits decide; if they don't, or only documentation and examples came up, vectors rescue the search with one sure hit or reorder the hits."""
-    quality = fusion.backend_quality(hits, queries)
+    quality = _fixed(fusion.backend_quality(hits, queries, h.domain))  # read by the route, the weights and the decision
     routes = _route_to(queries, "hybrid", "forced_mode") if i.mode == "hybrid" else _fixed(fusion.route(quality, queries, lexical_only=True))
     strategy, reason = routes.first().strategy, routes.first().reason
     chosen, keep = _choose(hits, quality, strategy, queries, h, i.max_snippets), _keeps_order(strategy, h)
     pack = lambda df, preserve: _fixed(fusion.pack(df, preserve, i.max_files, i.max_snippets))
     packed = pack(chosen, keep)
-    decision = _decision(packed, routes, quality, queries)
-    flags, d = fusion.flags(packed, queries).first(), decision.first()
+    decision = _decision(h, packed, routes, quality, queries)
+    flags, d = fusion.flags(packed, queries, h.domain).first(), decision.first()
     auxiliary_only = bool(flags.auxiliary_only) and not auxiliary_wanted
     if not vectors or not auxiliary_only and (flags.authority_scoped or d.decisive and not flags.many_paths):
         return packed, decision
@@ -161,27 +164,27 @@ def _about(index: Index, i: Intent, h: Hints, hits: DataFrame, queries: DataFram
         sure = _fixed(fusion.rescue(near, queries))
         if sure.count():
             packed = pack(sure, True)
-            return packed, _decision(packed, _route_to(queries, "semantic", "semantic_rescue"), quality, queries, sure, "semantic_rescue")
+            return packed, _decision(h, packed, _route_to(queries, "semantic", "semantic_rescue"), quality, queries, sure, "semantic_rescue")
         if auxiliary_only:
             packed = packed.limit(0)
-            return packed, _decision(packed, _route_to(queries, "suppressed", "semantic_rescue_not_confident"), quality, queries)
+            return packed, _decision(h, packed, _route_to(queries, "suppressed", "semantic_rescue_not_confident"), quality, queries)
         return packed, decision
     order = _fixed(fusion.rerank(chosen, near))
     if order.filter("overlap > 0 AND new_idx <> idx").isEmpty():
         return packed, decision
     packed = pack(order.drop("idx", "overlap").withColumnRenamed("new_idx", "idx"), True)
-    return packed, _decision(packed, _route_to(queries, strategy, "semantic_rerank"), quality, queries, assist="rerank")
+    return packed, _decision(h, packed, _route_to(queries, strategy, "semantic_rerank"), quality, queries, assist="rerank")
 
 
 def _needs_vectors(hits: DataFrame, queries: DataFrame, h: Hints, i: Intent) -> bool:
     if h.kind in ("identifier", "declaration") or h.literal_first:
         return hits.isEmpty()
-    quality = fusion.backend_quality(hits, queries)
+    quality = fusion.backend_quality(hits, queries, h.domain)
     strategy = fusion.route(quality, queries).first().strategy
     if strategy not in ("hybrid", "suppressed"):
         return False
     first = fusion.pack(_choose(hits, quality, strategy, queries, h, i.max_snippets), strategy == "hybrid", i.max_files, i.max_snippets)
-    return not fusion.flags(first, queries).first().authority_scoped
+    return not fusion.flags(first, queries, h.domain).first().authority_scoped
 
 
 def search_with_retry(find: Callable[[int], DataFrame], k: int, threshold: float, attempts: int) -> tuple[DataFrame, dict]:
