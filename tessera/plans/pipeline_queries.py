@@ -12,11 +12,12 @@ from tessera.operators import contracts as K
 from tessera.operators import coverage as V
 from tessera.operators import fusion as X
 from tessera.operators import relations as R
-from tessera.plans.index_queries import _COV, _LINES, _SRC, _SYM, _coverage
+from tessera.plans.index_queries import _COV, _LINES, _SRC, _SYM, _coverage, sources
 from tessera.plans.relation_queries import _IMP, _OCC, _SIG
 from tessera.plans.relation_queries import SQL as _RELATION_SQL
 from tessera.plans.search_queries import _DEF, _HITS, _IMP as _IMPORT_LINE, _SOURCE, _TEST, _hits
 from tessera.runtime import Scratch, load
+from tessera.sources import parse as PA
 from tessera.streaming import watch as W
 
 QUERIES: dict = {}
@@ -179,12 +180,19 @@ def grep_commands(spark, d):
 @query(f"WITH {_SRC}, {_LINES} SELECT path, count(*) FILTER (regexp_matches(text, '(?i)registry')) AS smart_lower, count(*) FILTER (contains(text, 'Registry')) AS smart_upper, count(*) FILTER (contains(text, 'self.')) AS literal FROM lines_ GROUP BY path")
 def case_modes(spark, d):
     """Smart case folds only patterns in lower case; fixed strings are no expressions."""
-    from tessera.plans.index_queries import sources
-
     has = lambda p, **k: F.count_if(F.col("text").rlike(grep_compat.java_pattern(p, **k)))
     return T.lines(sources(spark, d)).groupBy("path").agg(has("registry", case="smart").alias("smart_lower"), has("Registry", case="smart").alias("smart_upper"), has("self.", fixed=True).alias("literal"))
 
 
+@query(f"WITH {_SRC} SELECT DISTINCT file_path, name, start_line, lower(trim(kind)) = 'class' AS is_class FROM symbols JOIN src ON path = file_path")
+def parsed_located(spark, d):
+    """The symbols that parsing finds again, by file, name, first line and whether they are classes."""
+    found = PA.symbols(sources(spark, d), "repo").select("file_path", "name", "start_line", (F.col("kind") == "class").alias("is_class")).distinct()
+    kind = F.lower(F.trim("kind"))
+    mine = load(spark, d, "symbols").select("file_path", "name", "start_line", (kind == "class").alias("is_class")).distinct()
+    return mine.join(found, ["file_path", "name", "start_line", "is_class"])
+
+
 @query(f"WITH {_COV} SELECT test_id, path, line FROM cov")
 def coverage_json_rows(spark, d):
     """Every row of a coverage after it was written as JSON and read again."""

@@ -80,11 +80,11 @@ def _row(path: str, repo: str, language: str, kind: str, name: str, above: list[
 
 
 def parse_python(path: str, text: str, repo: str) -> list[dict]:
-    """Functions and classes with decorators, docstring, calls in order and assertions; a file with an error gives none."""
+    """Functions and classes with decorators, docstring, calls in order and assertions; a file with an error is scanned by its indentation."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return scan_python(path, text, repo)
     lines, out = text.split("\n"), []
 
     def visit(node: ast.AST, above: list[dict]) -> None:
@@ -105,6 +105,55 @@ def parse_python(path: str, text: str, repo: str) -> list[dict]:
     return out
 
 
+_PY_SKIP = re.compile(r"[rRbBuUfF]{0,2}(?:\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|#[^\n]*", re.S)
+_PY_HEAD = re.compile(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)")
+_PY_CALL = re.compile(r"(?<!def )(?<!class )(?<![\w.])([A-Za-z_][\w.]*)[ \t]*\(")
+_PY_DOC = re.compile(r"\s*[rRuU]?(\"\"\"|\'\'\'|\"|')(.*?)\1", re.S)
+_PY_WORDS = {"def", "class", "if", "elif", "while", "for", "in", "and", "or", "not", "return", "yield", "lambda", "assert", "with", "await", "except", "import", "is", "raise", "del"}
+
+
+def scan_python(path: str, text: str, repo: str) -> list[dict]:
+    """What can be told of a file that is no valid Python: headers by line, their extent by indentation, with strings and comments blanked first."""
+    lines = text.split("\n")
+    plain = _PY_SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text).split("\n")
+    starts = [0]
+    for r in lines:
+        starts.append(starts[-1] + len(r) + 1)
+    width = lambda r: len(r) - len(r.lstrip())
+    out: list[dict] = []
+    open_: list[tuple[int, dict]] = []
+    for i, r in enumerate(plain):
+        m = _PY_HEAD.match(r)
+        if not m:
+            continue
+        depth, head = 0, i
+        while True:  # to the line on which the header's brackets close
+            depth += sum(plain[head].count(c) for c in "([{") - sum(plain[head].count(c) for c in ")]}")
+            if depth <= 0 or head + 1 == len(plain):
+                break
+            head += 1
+        last = head
+        for j in range(head + 1, len(plain)):
+            if plain[j].strip():
+                if width(plain[j]) <= len(m[1]) and plain[j].lstrip()[0] not in ")]}":
+                    break
+                last = j
+            elif lines[j].strip() and width(lines[j]) > len(m[1]):
+                last = j  # a line of a string
+        first = i
+        while first and plain[first - 1].lstrip().startswith("@") and width(plain[first - 1]) == len(m[1]):
+            first -= 1
+        while open_ and open_[-1][0] >= len(m[1]):
+            open_.pop()
+        doc = _PY_DOC.match(text, starts[min(head + 1, len(lines))])
+        calls = list(dict.fromkeys(c for c in _PY_CALL.findall("\n".join(plain[head + 1 : last + 1])) if c not in _PY_WORDS))
+        claims = [x.strip()[7:] for x in lines[head + 1 : last + 1] if x.strip().startswith("assert ")]
+        row = _row(path, repo, "python", "class" if m[2] == "class" else "function", m[3], [a for _, a in open_], first + 1, last + 1, lines, lines[i].strip().rstrip(":"), doc[2] if doc else None, calls, claims, [x.strip()[1:] for x in lines[first:i]])
+        out.append(row)
+        open_.append((len(m[1]), row))
+    return out
+
+
 _SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|`(?:\\.|[^`\\])*`?|'(?:\\.|[^'\\\n])'|'(?:[^'\\\n]|\\.)*'(?=[\s,;)\]}])", re.S)
 
 
@@ -133,6 +182,8 @@ def parse_braces(path: str, text: str, language: str, repo: str) -> list[dict]:
             if not m or m.group(1) in _NOT_CALLS:
                 continue
             inside = bool(above) and above[-1]["kind"] in _CONTAINERS
+            if kind == "method" and language == "java" and not above:
+                kind = "function"  # outside of any class
             if kind == "method" and not inside and language not in ("go",) or kind == "function" and "=" not in m.group() and language in ("rust", "c", "cpp") and inside:
                 if kind == "method":
                     continue

@@ -177,3 +177,13 @@ def test_vectors_from_a_matrix_file(spark, tmp_path):
     (tmp_path / "ids.json").write_text(json.dumps({"schema_version": 1}))
     with pytest.raises(ValueError):
         load_vectors(spark, str(tmp_path / "v.npy"), str(tmp_path / "ids.json"))
+
+
+def test_python_with_an_error_is_scanned():
+    from tessera.sources.parse import parse_python, scan_python
+
+    good = "@d\nclass A:\n    \"\"\"Doc of A (\n    def no(): pass\n    \"\"\"\n    async def f(\n        self,\n    ):\n        'Says x'\n        return g.h(1)\n\n    x = 1\n\ndef z():  # def y():\n    assert a > 1\n"
+    keep = ("name", "kind", "fqname", "start_line", "end_line", "docstring", "calls", "invariants")
+    assert [{k: r[k] for k in keep} for r in scan_python("m.py", good, "r")] == [{k: r[k] for k in keep} for r in parse_python("m.py", good, "r")]
+    bad = good + "\ndef w(:\n    return ((\n"
+    assert [r["name"] for r in parse_python("m.py", bad, "r")] == ["A", "f", "z", "w"] and scan_python("m.py", "", "r") == []
